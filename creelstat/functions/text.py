@@ -16,6 +16,12 @@ STROKES = {
     "Ø": "O", "ø": "o", "Đ": "D", "đ": "d", "Ð": "D", "ð": "d",
     "Ħ": "H", "ħ": "h", "ı": "i", "Ł": "L", "ł": "l", "Ŧ": "T", "ŧ": "t",
 }
+# White space as Unicode defines it, and the shorter set trimmed from legacy text.
+WHITE_SPACE = (
+    "\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+LEGACY_WHITE_SPACE = " \t\r\n"
 # End of fixed values.
 
 _LATIN_LETTERS = range(0xC0, 0x180)
@@ -33,9 +39,9 @@ def _accent_table() -> dict[str, str]:
 _ACCENTS = _accent_table()
 
 
-def strip(col: Column) -> Column:
+def strip(col: Column, space: str = WHITE_SPACE) -> Column:
     """Trim any white space, tabs and line ends included."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.btrim(col, F.lit(space))
 
 
 def blank_to_null(col: Column) -> Column:

@@ -1,9 +1,8 @@
-"""The result tables of an analysis."""
+"""What an analysis offers: its published tables, its checks and the joined raw data."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field, fields, replace
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +10,16 @@ from pyspark.sql import functions as F
 from ..config import SurveyPeriod
 from ..domains import SURVEY
 
+ESTIMATES = [
+    "licence_summary", "survey_summary", "survey_sample_sizes", "survey_specific_variance",
+    "detail_estimated_catch", "summary_estimated_catch", "total_variance",
+]
+PUBLISHED = [*ESTIMATES, "log"]
+
 
-@dataclass(frozen=True)
 class Bundle:
-    """Lazy result tables. Each carries ``survey_id``; a month has one survey, a year twelve."""
+    """Result tables by attribute. Each is a lazy frame that carries ``survey_id``, and it is only planned
+    when asked for; a month has one survey, a year twelve."""
 
     licence_summary: DataFrame
     survey_summary: DataFrame
@@ -24,15 +29,12 @@ class Bundle:
     summary_estimated_catch: DataFrame
     total_variance: DataFrame
     log: DataFrame
-    violations: DataFrame = field(repr=False)
-    raw_data: DataFrame = field(repr=False)
+    violations: DataFrame
+    raw_data: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
         """The eight published tables."""
-        return {f.name: getattr(self, f.name) for f in fields(self) if f.name not in ("violations", "raw_data")}
-
-    def map_estimates(self, change: Callable[[DataFrame], DataFrame]) -> Bundle:
-        return replace(self, **{n: change(t) for n, t in self.tables().items() if n != "log"})
+        return {name: getattr(self, name) for name in PUBLISHED}
 
 
 def stack_periods(df: DataFrame, periods: Sequence[SurveyPeriod]) -> DataFrame:
@@ -51,6 +53,12 @@ def stack_periods(df: DataFrame, periods: Sequence[SurveyPeriod]) -> DataFrame:
     return rows.select("_tag.year", "_tag.month_id", "_tag.month", *rest).orderBy("year", "month_id")
 
 
+def stacked_tables(bundle: Bundle, periods: Sequence[SurveyPeriod]) -> dict[str, DataFrame]:
+    """The published tables of a year, estimates tagged with their month; the log keeps its survey id."""
+    tables = bundle.tables()
+    return {n: t if n == "log" else stack_periods(t, periods) for n, t in tables.items()}
+
+
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> None:
     """Checkpoints go to the folder the cluster names; a folder of our own is only for local sessions."""
     context = spark.sparkContext

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from .bundle import Bundle
 Keep = Callable[[DataFrame], DataFrame]
 
 
-def _lazy(df: DataFrame) -> DataFrame:
+def lazy(df: DataFrame) -> DataFrame:
     return df
 
 
@@ -43,111 +44,178 @@ def instant_strata(periods: Sequence[SurveyPeriod]) -> list[str]:
     return [*PERIOD_STRATA, *(["stamp"] if stamped.pop() else [])]
 
 
-def instant_registry(registry: DataFrame, periods: Sequence[SurveyPeriod]) -> DataFrame:
-    """Eligible licences of each survey with their strata."""
-    return period_strata(eligible(registry, periods))
+class _Analysis(Bundle):
+    """What both analyses share once the stratum-by-cell tables are there.
+
+    Subclasses give ``strata``, ``pop``, and two tables: ``sums`` per ``sum_cells`` for the estimates and
+    ``spread`` per ``spread_cells`` for the variances.
+    """
+
+    strata: Sequence[str]
+    sum_cells: Sequence[str]
+    spread_cells: Sequence[str]
+    need_area = False
+
+    @cached_property
+    def full(self) -> DataFrame:
+        return est.full_from_cells(self.sums, self.pop, self.strata, self.sum_cells, self.need_area)
+
+    @cached_property
+    def survey_summary(self) -> DataFrame:
+        return est.survey_summary(self.full)
+
+    @cached_property
+    def survey_sample_sizes(self) -> DataFrame:
+        return est.survey_sample_sizes(self.full)
+
+    @cached_property
+    def survey_specific_variance(self) -> DataFrame:
+        return est.variance_from_cells(self.spread, self.strata, self.spread_cells)
+
+    @cached_property
+    def detail_estimated_catch(self) -> DataFrame:
+        return est.estimate_detail(self.full)
+
+    @cached_property
+    def summary_estimated_catch(self) -> DataFrame:
+        return est.estimate_summary(self.detail_estimated_catch)
+
+    @cached_property
+    def total_variance(self) -> DataFrame:
+        return est.total_from_cells(self.spread, self.pop, self.strata, self.spread_cells)
+
+    @cached_property
+    def log(self) -> DataFrame:
+        return dq.diagnostics(self.violations)
+
+
+class InstantAnalysis(_Analysis):
+    """Instant-selection analysis: responses carry the access key of a licence."""
+
+    def __init__(
+        self, periods: Sequence[SurveyPeriod], registry: DataFrame, responses: DataFrame,
+        cell_cols: Sequence[str] = DETAIL_CELLS, keep: Keep = lazy,
+    ) -> None:
+        self.responses = drop_pii(with_survey(responses, periods))
+        self.licences = period_strata(eligible(registry, periods))
+        self.strata = instant_strata(periods)
+        self.expected_cells = cell_cols
+        self.sum_cells = self.spread_cells = [c for c in cell_cols if c in responses.columns]
+        self.keep = keep
+
+    @cached_property
+    def pop(self) -> DataFrame:
+        return self.keep(est.population(self.licences, "licence_id", self.strata))
+
+    @property
+    def licence_summary(self) -> DataFrame:
+        return self.pop
+
+    @cached_property
+    def sums(self) -> DataFrame:
+        return self.keep(est.stratum_cells(
+            self.responses, self.licences, "surveykey", "survey_access_key", self.strata, self.sum_cells
+        ))
+
+    @property
+    def spread(self) -> DataFrame:
+        return self.sums
+
+    @cached_property
+    def violations(self) -> DataFrame:
+        known = self.licences.select(SURVEY, F.col("survey_access_key").alias("surveykey"))
+        known = known.where(F.col("surveykey").isNotNull())
+        answers = self.responses.select(SURVEY, "surveykey", "did_not_fish").distinct()
+        return self.keep(union_aligned(
+            dq.unknown_ids(self.responses, known, "surveykey"),
+            dq.mixed_dnf(answers.join(known.distinct(), [SURVEY, "surveykey"], "left_semi"), "surveykey"),
+            dq.duplicate_licences(self.licences, "licence_id", self.strata),
+            dq.missing_strata_cols(self.responses, self.expected_cells),
+            dq.nonpositive_cells(self.sums, self.strata),
+        ))
+
+    @cached_property
+    def raw_data(self) -> DataFrame:
+        return attach_responses(self.responses, self.licences.select(SURVEY, "survey_access_key", *self.strata))
+
+
+class DrawAnalysis(_Analysis):
+    """Pre/post-draw analysis: responses carry a licence id, and vendor sales add to the population."""
+
+    strata = DRAW_STRATA
+    spread_cells = AREA_METHOD
+    need_area = True
+
+    def __init__(
+        self, periods: Sequence[SurveyPeriod], registry: DataFrame, responses: DataFrame,
+        vendor: DataFrame, year: LicenceYear, keep: Keep = lazy,
+    ) -> None:
+        self.responses = drop_pii(with_survey(responses, periods), dates=True)
+        self.vendor = vendor
+        self.sales = vendor_summary(vendor, periods, year)
+        licences = collapse_age(eligible(registry, periods), self.sales)
+        self.licences = draw_type(licences, F.col("survey_start"), F.col("survey_end"))
+        self.sum_cells = [c for c in DRAW_SUM_CELLS if c in responses.columns]
+        self.keep = keep
+
+    @cached_property
+    def licence_summary(self) -> DataFrame:
+        return self.keep(adult_population(self.licences, self.sales))
+
+    @cached_property
+    def pop(self) -> DataFrame:
+        return self.licence_summary.select(SURVEY, *DRAW_STRATA, "lic_total")
+
+    @cached_property
+    def members(self) -> DataFrame:
+        return drop_out_of_period(self.licences, F.col("survey_start"), F.col("survey_end"))
+
+    def _cells(self, cells: Sequence[str]) -> DataFrame:
+        return self.keep(est.stratum_cells(
+            self.responses, self.members, "licence_id", "licence_id", DRAW_STRATA, cells, est.is_surveyed()
+        ))
+
+    @cached_property
+    def sums(self) -> DataFrame:
+        return self._cells(self.sum_cells)
+
+    @cached_property
+    def spread(self) -> DataFrame:
+        return self._cells(self.spread_cells)
+
+    @cached_property
+    def violations(self) -> DataFrame:
+        counted = self.sums.where(F.col(est.COUNTED) > 0)
+        return self.keep(union_aligned(
+            dq.unknown_ids(self.responses, self.licences, "licence_id"),
+            dq.catch_without_area(
+                counted.select(SURVEY, *DRAW_STRATA, *self.sum_cells, *measure_cols(counted))
+            ),
+            dq.period_outside(self.licences, self.responses),
+            dq.vendor_domains(self.vendor),
+            dq.nonpositive_cells(self.spread, DRAW_STRATA),
+        ))
+
+    @cached_property
+    def raw_data(self) -> DataFrame:
+        return attach_inner(self.responses, self.members.drop(*CALENDAR_COLUMNS))
 
 
 def estimate_inst(
-    periods: Sequence[SurveyPeriod],
-    registry: DataFrame,
-    responses: DataFrame,
-    cell_cols: Sequence[str] = DETAIL_CELLS,
-    keep: Keep = _lazy,
+    periods: Sequence[SurveyPeriod], registry: DataFrame, responses: DataFrame,
+    cell_cols: Sequence[str] = DETAIL_CELLS, keep: Keep = lazy,
 ) -> Bundle:
-    """Instant-selection analysis of cleaned registry and normalised responses.
+    """Instant-selection analysis of a cleaned registry and normalised responses.
 
-    ``keep`` is applied to the small tables that all results derive from; jobs pass a checkpoint so that the
-    responses are read once for all eight results.
+    ``keep`` is applied to the small tables that all results derive from. Jobs pass a checkpoint, so that the
+    responses are read once for all results.
     """
-    strata = instant_strata(periods)
-    responses = drop_pii(with_survey(responses, periods))
-    licences = instant_registry(registry, periods)
-    pop = keep(est.population(licences, "licence_id", strata))
-    cells = [c for c in cell_cols if c in responses.columns]
-
-    table = keep(est.stratum_cells(responses, licences, "surveykey", "survey_access_key", strata, cells))
-    full = est.full_from_cells(table, pop, strata, cells)
-    detail = est.estimate_detail(full)
-
-    members = licences.select(SURVEY, "survey_access_key", *strata)
-    known = members.select(SURVEY, F.col("survey_access_key").alias("surveykey")).where("surveykey is not null")
-    violations = keep(union_aligned(
-        dq.unknown_ids(responses, known, "surveykey"),
-        dq.mixed_dnf(_answered(responses, known), "surveykey"),
-        dq.duplicate_licences(licences, "licence_id", strata),
-        dq.missing_strata_cols(responses, cell_cols),
-        dq.nonpositive_cells(table, strata),
-    ))
-    return Bundle(
-        licence_summary=pop,
-        survey_summary=est.survey_summary(full),
-        survey_sample_sizes=est.survey_sample_sizes(full),
-        survey_specific_variance=est.variance_from_cells(table, strata, cells),
-        detail_estimated_catch=detail,
-        summary_estimated_catch=est.estimate_summary(detail),
-        total_variance=est.total_from_cells(table, pop, strata, cells),
-        log=dq.diagnostics(violations),
-        violations=violations,
-        raw_data=attach_responses(responses, members),
-    )
-
-
-def _answered(responses: DataFrame, known: DataFrame) -> DataFrame:
-    """What each known respondent answered, one row per answer: copies are dropped before the join."""
-    answers = responses.select(SURVEY, "surveykey", "did_not_fish").distinct()
-    return answers.join(known.distinct(), [SURVEY, "surveykey"], "left_semi")
-
-
-def drawn_registry(registry: DataFrame, periods: Sequence[SurveyPeriod], sales: DataFrame) -> DataFrame:
-    """Eligible licences of each survey with their draw, in the vendors' age categories."""
-    licences = collapse_age(eligible(registry, periods), sales)
-    return draw_type(licences, F.col("survey_start"), F.col("survey_end"))
+    return InstantAnalysis(periods, registry, responses, cell_cols, keep)
 
 
 def estimate_prepost(
-    periods: Sequence[SurveyPeriod],
-    registry: DataFrame,
-    responses: DataFrame,
-    vendor: DataFrame,
-    year: LicenceYear,
-    keep: Keep = _lazy,
+    periods: Sequence[SurveyPeriod], registry: DataFrame, responses: DataFrame, vendor: DataFrame,
+    year: LicenceYear, keep: Keep = lazy,
 ) -> Bundle:
-    """Pre/post-draw analysis: licences are joined by licence id and vendor sales add to the population."""
-    responses = drop_pii(with_survey(responses, periods), dates=True)
-    sales = vendor_summary(vendor, periods, year)
-    licences = drawn_registry(registry, periods, sales)
-    summary = keep(adult_population(licences, sales))
-    pop = summary.select(SURVEY, *DRAW_STRATA, "lic_total")
-    members = drop_out_of_period(licences, F.col("survey_start"), F.col("survey_end"))
-
-    def cells_table(cells: Sequence[str]) -> DataFrame:
-        return keep(est.stratum_cells(
-            responses, members, "licence_id", "licence_id", DRAW_STRATA, cells, est.is_surveyed()
-        ))
-
-    sum_cells = [c for c in DRAW_SUM_CELLS if c in responses.columns]
-    sums, spread = cells_table(sum_cells), cells_table(AREA_METHOD)
-    full = est.full_from_cells(sums, pop, DRAW_STRATA, sum_cells, need_area=True)
-    detail = est.estimate_detail(full)
-    violations = keep(union_aligned(
-        dq.unknown_ids(responses, licences, "licence_id"),
-        dq.catch_without_area(sums.where(F.col(est.COUNTED) > 0).select(
-            SURVEY, *DRAW_STRATA, *sum_cells, *measure_cols(sums)
-        )),
-        dq.period_outside(licences, responses),
-        dq.vendor_domains(vendor),
-        dq.nonpositive_cells(spread, DRAW_STRATA),
-    ))
-    return Bundle(
-        licence_summary=summary,
-        survey_summary=est.survey_summary(full),
-        survey_sample_sizes=est.survey_sample_sizes(full),
-        survey_specific_variance=est.variance_from_cells(spread, DRAW_STRATA, AREA_METHOD),
-        detail_estimated_catch=detail,
-        summary_estimated_catch=est.estimate_summary(detail),
-        total_variance=est.total_from_cells(spread, pop, DRAW_STRATA, AREA_METHOD),
-        log=dq.diagnostics(violations),
-        violations=violations,
-        raw_data=attach_inner(responses, members.drop(*CALENDAR_COLUMNS)),
-    )
+    """Pre/post-draw analysis of a cleaned registry, normalised responses and vendor sales."""
+    return DrawAnalysis(periods, registry, responses, vendor, year, keep)

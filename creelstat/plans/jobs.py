@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +19,7 @@ from ..operators.registry import clean_registry
 from ..operators.responses import VALID_FISHING_CODES, Labels, drop_pii, load_responses, response_key
 from ..operators.strata import CALENDAR_COLUMNS, eligible, stamp_flag
 from ..sources import read_adjustments, read_exclude, read_registry, read_responses, read_vendor_sales
-from .bundle import Bundle, ensure_checkpoint_dir, stack_periods
+from .bundle import Bundle, ensure_checkpoint_dir, stacked_tables
 from .estimators import estimate_inst, estimate_prepost
 
 
@@ -125,8 +125,8 @@ def run(spark: SparkSession, cfg: JobConfig) -> Bundle:
         bundle = estimate_inst(periods, registry, responses, keep=DataFrame.checkpoint)
     dq.enforce(bundle.violations)
     log = dq.diagnostics(before, bundle.violations)
-    folded = {c: ascii_fold(F.col(c)) for c in ("detail", "sample")}
-    return replace(bundle, log=log.withColumns(folded))
+    bundle.log = log.withColumns({c: ascii_fold(F.col(c)) for c in ("detail", "sample")})
+    return bundle
 
 
 def run_month(spark: SparkSession, cfg: JobConfig) -> Bundle:
@@ -134,16 +134,15 @@ def run_month(spark: SparkSession, cfg: JobConfig) -> Bundle:
     if len(cfg.periods) != 1:
         raise ValueError("A month has exactly one survey.")
     bundle = run(spark, cfg)
-    sinks.write_bundle(bundle, cfg.output, cfg.output_format)
+    sinks.write_bundle(bundle.tables(), cfg.output, cfg.output_format)
     return bundle
 
 
 def run_annual(spark: SparkSession, cfg: JobConfig) -> Bundle:
     """Analyse all surveys of a licence year in one plan and write the stacked tables."""
     bundle = run(spark, cfg)
-    stacked = bundle.map_estimates(lambda df: stack_periods(df, cfg.periods))
-    sinks.write_annual(stacked, cfg.output, cfg.output_format)
-    return stacked
+    sinks.write_annual(stacked_tables(bundle, cfg.periods), cfg.output, cfg.output_format)
+    return bundle
 
 
 def export_responses(registry: DataFrame, responses: DataFrame, period: SurveyPeriod) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
 
-from .plans.bundle import Bundle
+from pyspark.sql import DataFrame
 
 NEVER_OVERWRITE = "errorifexists"
 
@@ -24,19 +24,19 @@ def write_csv(df: DataFrame, path: str) -> None:
     write_table(df, path, "csv")
 
 
-def write_bundle(bundle: Bundle, path: str, fmt: str = "parquet") -> list[str]:
+def write_bundle(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet") -> list[str]:
     """One dataset per result table below ``path``; returns where they went."""
     written = []
-    for name, table in bundle.tables().items():
+    for name, table in tables.items():
         written.append(f"{path}/{name}")
         write_table(table, written[-1], fmt)
     return written
 
 
-def write_annual(bundle: Bundle, path: str, fmt: str = "parquet") -> list[str]:
+def write_annual(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet") -> list[str]:
     """Like ``write_bundle`` for tables tagged with their month; files are laid out by year and month."""
     written = []
-    for name, table in bundle.tables().items():
+    for name, table in tables.items():
         written.append(f"{path}/{name}")
         tagged = [c for c in ("year", "month") if c in table.columns]
         write_table(table, written[-1], fmt, tagged)

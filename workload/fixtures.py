@@ -7,6 +7,7 @@ covers whole tables: which respondents are incomplete, excluded or adjusted foll
 from __future__ import annotations
 
 import datetime as dt
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -160,18 +161,21 @@ class Fixture:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
         self.sf_dir = sf_dir
-        for name in BASE_TABLES:
-            self.base(name).createOrReplaceTempView(name)
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
+        for table in BASE_TABLES:
+            if re.search(rf"\b{table}\b", VIEWS[name]):
+                self.base(table).createOrReplaceTempView(table)
         return self.spark.sql(VIEWS[name])
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
             return self.view(name)
+        if name in BASE_TABLES:
+            return self.base(name)
         raise AttributeError(name)
 
     @cached_property
