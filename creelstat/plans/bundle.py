@@ -68,3 +68,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> N
     if shared is None:
         raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
     context.setCheckpointDir(shared)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The frame computed once and read back from the shared checkpoint folder."""
+    return df.checkpoint()

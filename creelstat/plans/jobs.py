@@ -19,7 +19,7 @@ from ..operators.registry import clean_registry
 from ..operators.responses import VALID_FISHING_CODES, Labels, drop_pii, load_responses, response_key
 from ..operators.strata import CALENDAR_COLUMNS, eligible, stamp_flag
 from ..sources import read_adjustments, read_exclude, read_registry, read_responses, read_vendor_sales
-from .bundle import Bundle, ensure_checkpoint_dir, stacked_tables
+from .bundle import Bundle, checkpointed, ensure_checkpoint_dir, stacked_tables
 from .estimators import estimate_inst, estimate_prepost
 
 
@@ -111,7 +111,8 @@ def run(spark: SparkSession, cfg: JobConfig) -> Bundle:
     periods, responses, response_findings = load_surveys(spark, cfg)
     calendar = calendar_frame(spark, cfg.year, periods)
     calendar_findings = union_aligned(dq.period_same_month(calendar), dq.split_date_in_year(calendar))
-    before = union_aligned(registry_findings, response_findings, calendar_findings).checkpoint()
+    before = union_aligned(registry_findings, response_findings, calendar_findings)
+    before = checkpointed(before)
     dq.enforce(before)
 
     if cfg.year.start.year < FIRST_INSTANT_YEAR:
@@ -120,9 +121,9 @@ def run(spark: SparkSession, cfg: JobConfig) -> Bundle:
         vendor = read_vendor_sales(spark, cfg.vendor_sales)
         for period in periods:
             dq.enforce(dq.vendor_months(vendor, period.month_name, cfg.year))
-        bundle = estimate_prepost(periods, registry, responses, vendor, cfg.year, DataFrame.checkpoint)
+        bundle = estimate_prepost(periods, registry, responses, vendor, cfg.year, checkpointed)
     else:
-        bundle = estimate_inst(periods, registry, responses, keep=DataFrame.checkpoint)
+        bundle = estimate_inst(periods, registry, responses, keep=checkpointed)
     dq.enforce(bundle.violations)
     log = dq.diagnostics(before, bundle.violations)
     bundle.log = log.withColumns({c: ascii_fold(F.col(c)) for c in ("detail", "sample")})

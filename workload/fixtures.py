@@ -156,16 +156,19 @@ def with_views(*names: str) -> str:
 
 
 class Fixture:
-    """Inputs of the queries at one scale, as lazy frames."""
+    """Inputs of the queries at one scale, as lazy frames. ``prepared`` holds some of them as written tables."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str, prepared: dict[str, str] | None = None) -> None:
         self.spark = spark
         self.sf_dir = sf_dir
+        self.prepared = prepared or {}
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
+        if name in self.prepared:
+            return self.spark.read.parquet(self.prepared[name])
         for table in BASE_TABLES:
             if re.search(rf"\b{table}\b", VIEWS[name]):
                 self.base(table).createOrReplaceTempView(table)

@@ -321,10 +321,10 @@ COUNT_RULES = [
 COUNTS_SOURCE = """(SELECT *, lic_type_cat_code AS code, try_cast(substr(lic_type_cat_code, 2, 1) AS INT) AS term,
   greatest(start_date, coalesce(purchase_date, start_date)) BETWEEN DATE '2020-04-01' AND DATE '2021-03-31' AS in_year
   FROM dated)"""
-REGISTRY_COUNTS = " UNION ALL ".join(
+REGISTRY_COUNTS = "SELECT * FROM (" + " UNION ALL ".join(
     violation("registry_counts", level, f"'{name}'", f"CAST(count(*) FILTER (WHERE {test}) AS VARCHAR)", COUNTS_SOURCE)
     for name, level, test in COUNT_RULES
-)
+) + ") WHERE severity = 'INFO' OR detail <> '0'"
 CATEGORY_CODES = " UNION ALL ".join(
     f"SELECT DISTINCT 'category_codes' AS \"check\", 'ERROR' AS severity, letter AS key, 'unknown code for {part}' AS detail "
     f"FROM (SELECT substr(lic_type_cat_code, {at}, 1) AS letter FROM reg) WHERE letter NOT IN ({known})"
