@@ -1,5 +1,8 @@
 """Stratified expansion estimates and their variances.
 
+Expressions that repeat for every measure are SQL text: a survey has up to some hundred measures, and building
+such plans column by column takes longer than running them.
+
 Two forms are offered. The single-step operators (``respondent_sums`` to ``total_variance``) each take and
 return one table. ``stratum_cells`` computes everything an estimate needs in one pass over the responses; the
 jobs are built on it. Both give the same numbers.
@@ -14,12 +17,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..domains import AREA_METHOD, SURVEY, measure_cols, sample_cols, size_col
-from .joins import full_join_ns
+from .joins import full_join_ns, quoted
 
 BITS = 62
 COPIES, COUNTED, LEADER, SURVEYED = "_copies", "_counted", "_leader", "_surveyed"
 
 
+def per_measure(measures: Sequence[str], template: str) -> list[Column]:
+    """One expression per measure: ``{m}`` is its column, ``{x}`` its bare name in derived names."""
+    return [F.expr(template.replace("{m}", quoted(m)).replace("{x}", m)) for m in measures]
+
+
 def is_counted() -> Column:
     """Rows that say whether the respondent fished."""
     return F.col("did_not_fish").isNotNull()
@@ -30,9 +38,8 @@ def is_surveyed() -> Column:
     return (F.col("effort_days") > 0) | F.col("did_not_fish")
 
 
-def total(col: Column | str) -> Column:
-    """Sum in which missing values, even all of them, count as zero."""
-    return F.coalesce(F.sum(col), F.lit(0))
+# Missing values, even all of them, count as zero.
+TOTAL = "coalesce(sum({m}), 0) AS {m}"
 
 
 def by_survey(df: DataFrame, cols: Sequence[str]) -> list[str]:
@@ -49,22 +56,22 @@ def population(registry: DataFrame, unit: str, strata: Sequence[str]) -> DataFra
 def respondent_sums(df: DataFrame, unit: str, strata: Sequence[str], cells: Sequence[str]) -> DataFrame:
     """Measure totals per respondent, stratum and cell."""
     keys = by_survey(df, [unit, *strata, *cells])
-    return df.groupBy(*keys).agg(*(total(m).alias(m) for m in measure_cols(df)))
+    return df.groupBy(*keys).agg(*per_measure(measure_cols(df), TOTAL))
 
 
 def cell_sums(df: DataFrame, strata: Sequence[str], cells: Sequence[str], counted: Column | None = None) -> DataFrame:
     """Measure totals per stratum and cell over the rows that count."""
     rows = df.where(is_counted() if counted is None else counted)
-    return rows.groupBy(*by_survey(df, [*strata, *cells])).agg(*(total(m).alias(m) for m in measure_cols(df)))
+    return rows.groupBy(*by_survey(df, [*strata, *cells])).agg(*per_measure(measure_cols(df), TOTAL))
 
 
 def sample_sizes(df: DataFrame, unit: str, strata: Sequence[str]) -> DataFrame:
     """Respondents per stratum whose every row has a value, measure by measure."""
     measures, keys = measure_cols(df), by_survey(df, strata)
     complete = df.where(is_surveyed()).groupBy(*keys, unit).agg(
-        *(F.bool_and(F.col(m).isNotNull()).alias(m) for m in measures)
+        *per_measure(measures, "bool_and({m} IS NOT NULL) AS {m}")
     )
-    return complete.groupBy(*keys).agg(*(F.count_if(F.col(m)).alias(size_col(m)) for m in measures))
+    return complete.groupBy(*keys).agg(*per_measure(measures, "count_if({m}) AS `n_{x}`"))
 
 
 def max_sample_sizes(sizes: DataFrame, strata: Sequence[str]) -> DataFrame:
@@ -73,14 +80,14 @@ def max_sample_sizes(sizes: DataFrame, strata: Sequence[str]) -> DataFrame:
     return known.groupBy(*by_survey(sizes, strata)).agg(*(F.max(n).alias(n) for n in sample_cols(sizes)))
 
 
-def padded_variance(k: Column, mean: Column, spread: Column, n: Column) -> Column:
-    """Sample variance of ``n`` values of which ``k`` are known and the others are zero.
+def padded_variance(k: str, mean: str, spread: str, n: str) -> str:
+    """Sample variance of ``n`` values of which ``k`` are known and the others are zero, as SQL text.
 
     ``mean`` and ``spread`` are the average and population variance of the known ones. NULL for ``n <= 1``.
     """
-    centre = k * mean / F.when(n > 1, n)
-    squares = k * spread + k * F.pow(mean - centre, 2) + (n - k) * F.pow(centre, 2)
-    return squares / F.when(n > 1, n - 1)
+    centre = f"({k} * {mean} / if({n} > 1, {n}, NULL))"
+    squares = f"{k} * {spread} + {k} * pow({mean} - {centre}, 2) + ({n} - {k}) * pow({centre}, 2)"
+    return f"({squares}) / if({n} > 1, {n} - 1, NULL)"
 
 
 def specific_variance(sums: DataFrame, sizes: DataFrame, strata: Sequence[str], cells: Sequence[str]) -> DataFrame:
@@ -88,20 +95,17 @@ def specific_variance(sums: DataFrame, sizes: DataFrame, strata: Sequence[str],
     measures, keys = measure_cols(sums), by_survey(sums, strata)
     spread = sums.groupBy(*keys, *cells).agg(
         F.count("*").alias("k"),
-        *(F.avg(m).alias(f"avg_{m}") for m in measures),
-        *(F.var_pop(m).alias(f"var_{m}") for m in measures),
+        *per_measure(measures, "avg({m}) AS `avg_{x}`"),
+        *per_measure(measures, "var_pop({m}) AS `var_{x}`"),
     )
     joined = full_join_ns(sizes, spread, keys)
-    values = [
-        padded_variance(F.col("k"), F.col(f"avg_{m}"), F.col(f"var_{m}"), F.col(size_col(m))).alias(m)
-        for m in measures
-    ]
-    return joined.select(*keys, *cells, *values)
+    kernel = padded_variance("k", "`avg_{x}`", "`var_{x}`", "`n_{x}`")
+    return joined.select(*keys, *cells, *per_measure(measures, kernel + " AS {m}"))
 
 
-def _cell_variance(measure: str) -> Column:
-    n_h, size = F.col("lic_total").cast("double"), F.col(size_col(measure))
-    return total(F.try_divide(n_h * (n_h - size), size) * F.col(measure)).alias(measure)
+CELL_VARIANCE = (
+    "coalesce(sum(try_divide(CAST(lic_total AS DOUBLE) * (lic_total - `n_{x}`), `n_{x}`) * {m}), 0) AS {m}"
+)
 
 
 def total_variance(
@@ -114,7 +118,7 @@ def total_variance(
     measures, keys = measure_cols(variance), by_survey(variance, strata)
     weights = full_join_ns(max_sample_sizes(sizes, strata), pop.select(*keys, "lic_total"), keys)
     joined = full_join_ns(weights, variance, keys)
-    return joined.groupBy(*by_survey(variance, cells)).agg(*(_cell_variance(m) for m in measures))
+    return joined.groupBy(*by_survey(variance, cells)).agg(*per_measure(measures, CELL_VARIANCE))
 
 
 def survey_full(pop: DataFrame, sums: DataFrame, sizes: DataFrame, strata: Sequence[str]) -> DataFrame:
@@ -125,22 +129,23 @@ def survey_full(pop: DataFrame, sums: DataFrame, sizes: DataFrame, strata: Seque
 
 def expansion_rate(full: DataFrame) -> DataFrame:
     """Each sample size replaced by the population units that one respondent stands for."""
-    n_h = F.coalesce(F.col("lic_total"), F.lit(0)).cast("double")
-    return full.withColumns({n: F.try_divide(n_h, F.col(n)) for n in sample_cols(full)})
+    sizes = sample_cols(full)
+    rest = [c for c in full.columns if c not in sizes]
+    rate = "try_divide(CAST(coalesce(lic_total, 0) AS DOUBLE), {m}) AS {m}"
+    return full.select(*rest, *per_measure(sizes, rate))
 
 
 def estimate_detail(full: DataFrame) -> DataFrame:
     """Expanded totals per stratum and cell."""
     rates = expansion_rate(full)
-    rates = rates.withColumns({m: F.col(m) * F.col(size_col(m)) for m in measure_cols(full)})
-    return rates.drop(*sample_cols(full))
+    measures = measure_cols(full)
+    rest = [c for c in full.columns if c not in measures and c not in sample_cols(full)]
+    return rates.select(*rest, *per_measure(measures, "{m} * `n_{x}` AS {m}"))
 
 
 def estimate_summary(detail: DataFrame, cells: Sequence[str] = AREA_METHOD) -> DataFrame:
     """Expanded totals per cell over all strata."""
-    return detail.groupBy(*by_survey(detail, cells)).agg(
-        *(total(m).alias(m) for m in measure_cols(detail))
-    )
+    return detail.groupBy(*by_survey(detail, cells)).agg(*per_measure(measure_cols(detail), TOTAL))
 
 
 def survey_summary(full: DataFrame) -> DataFrame:
@@ -154,19 +159,19 @@ def survey_sample_sizes(full: DataFrame) -> DataFrame:
 # --- one pass over the responses ---------------------------------------------------------------------------
 
 
-def _gap_words(measures: Sequence[str]) -> dict[str, Column]:
-    """Which measures are missing in a row, one bit per measure."""
-    words = {}
-    for at in range(0, len(measures), BITS):
-        word = F.lit(0).cast("bigint")
-        for bit, m in enumerate(measures[at:at + BITS]):
-            word = word.bitwiseOR(F.when(F.col(m).isNull(), F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint"))
-        words[f"_gaps{at // BITS}"] = word
-    return words
+def _gap_words(measures: Sequence[str]) -> dict[str, str]:
+    """Which measures are missing in a row, one bit per measure, as SQL text per word."""
+    return {
+        f"_gaps{at // BITS}": " | ".join(
+            f"if({quoted(m)} IS NULL, {1 << bit}L, 0L)" for bit, m in enumerate(measures[at:at + BITS])
+        )
+        for at in range(0, len(measures), BITS)
+    }
 
 
-def _has_value(i: int) -> Column:
-    return F.col(f"_gaps{i // BITS}").bitwiseAND(F.lit(1 << (i % BITS)).cast("bigint")) == 0
+def _complete(i: int) -> str:
+    """Whether the respondent has a value of measure ``i`` in every row."""
+    return f"(_gaps{i // BITS} & {1 << (i % BITS)}L) = 0"
 
 
 def respondent_cells(responses: DataFrame, unit: str, cells: Sequence[str], counted: Column) -> DataFrame:
@@ -177,13 +182,13 @@ def respondent_cells(responses: DataFrame, unit: str, cells: Sequence[str], coun
     """
     measures = measure_cols(responses)
     gaps = _gap_words(measures)
-    surveyed = F.coalesce(is_surveyed(), F.lit(False))
-    rows = responses.groupBy(SURVEY, unit, *cells).agg(
-        F.count_if(counted).alias(COUNTED),
-        F.bool_or(surveyed).alias(SURVEYED),
-        *(F.bit_or(F.when(surveyed, word).otherwise(F.lit(0).cast("bigint"))).alias(g) for g, word in gaps.items()),
-        *(total(m).alias(m) for m in measures),
-        *(total(F.when(counted, F.col(m))).alias(f"counted_{m}") for m in measures),
+    flagged = responses.withColumns({COUNTED: counted, SURVEYED: F.coalesce(is_surveyed(), F.lit(False))})
+    rows = flagged.groupBy(SURVEY, unit, *cells).agg(
+        *(F.expr(f"bit_or(if({SURVEYED}, {word}, 0L)) AS {g}") for g, word in gaps.items()),
+        *per_measure(measures, TOTAL),
+        *per_measure(measures, f"coalesce(sum({{m}}) FILTER (WHERE {COUNTED}), 0) AS `counted_{{x}}`"),
+        F.count_if(F.col(COUNTED)).alias(COUNTED),
+        F.bool_or(SURVEYED).alias(SURVEYED),
     )
     ordered = Window.partitionBy(SURVEY, unit).orderBy(*cells)
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -218,21 +223,23 @@ def stratum_cells(
     members = members.groupBy(SURVEY, response_unit, *strata).agg(F.count("*").alias(COPIES))
     joined = people.join(members, [SURVEY, response_unit])
 
-    first = F.col(LEADER) & F.col(SURVEYED)
+    first = f"{LEADER} AND {SURVEYED}"
     table = joined.groupBy(SURVEY, *strata, *cells).agg(
         F.count("*").alias("k"),
         F.sum(COUNTED).alias(COUNTED),
-        F.count_if(first).alias(SURVEYED),
-        *(F.count_if(first & _has_value(i)).alias(size_col(m)) for i, m in enumerate(measures)),
-        *(F.sum(F.col(m) * F.col(COPIES)).alias(f"sum_{m}") for m in measures),
-        *(F.var_pop(F.col(m) * F.col(COPIES)).alias(f"var_{m}") for m in measures),
-        *(F.sum(F.col(f"counted_{m}") * F.col(COPIES)).alias(m) for m in measures),
+        F.expr(f"count_if({first}) AS {SURVEYED}"),
+        *(F.expr(f"count_if({first} AND {_complete(i)}) AS {quoted(size_col(m))}") for i, m in enumerate(measures)),
+        *per_measure(measures, f"sum({{m}} * {COPIES}) AS `sum_{{x}}`"),
+        *per_measure(measures, f"var_pop({{m}} * {COPIES}) AS `var_{{x}}`"),
+        *per_measure(measures, f"sum(`counted_{{x}}` * {COPIES}) AS {{m}}"),
     )
-    stratum = Window.partitionBy(SURVEY, *strata)
-    sizes = {
-        size_col(m): F.when(F.sum(SURVEYED).over(stratum) > 0, F.sum(size_col(m)).over(stratum)) for m in measures
-    }
-    return table.withColumns(sizes).drop(SURVEYED)
+    keys = ", ".join(quoted(k) for k in [SURVEY, *strata])
+    over = f"OVER (PARTITION BY {keys})"
+    sizes = per_measure(
+        measures, f"if(sum({SURVEYED}) {over} > 0, sum(`n_{{x}}`) {over}, NULL) AS `n_{{x}}`"
+    )
+    kept = [c for c in table.columns if c != SURVEYED and c not in map(size_col, measures)]
+    return table.select(*kept, *sizes)
 
 
 def full_from_cells(
@@ -247,32 +254,21 @@ def full_from_cells(
     stratum = Window.partitionBy(*keys)
     spare = (F.row_number().over(stratum.orderBy(*cells)) == 1) & ~F.bool_or(shown).over(stratum)
     rows = table.withColumns({"_shown": shown, "_spare": spare}).where("_shown or _spare")
-    blank = {c: F.when(F.col("_shown"), F.col(c)) for c in [*cells, *measures]}
-    rows = rows.withColumns(blank).select(*keys, *cells, *measures, *sizes)
-    return full_join_ns(pop, rows, keys)
+    blank = per_measure([*cells, *measures], "if(_shown, {m}, NULL) AS {m}")
+    return full_join_ns(pop, rows.select(*keys, *blank, *sizes), keys)
+
+
+CELL_KERNEL = padded_variance("k", "(`sum_{x}` / k)", "`var_{x}`", "`n_{x}`") + " AS {m}"
 
 
 def variance_from_cells(table: DataFrame, strata: Sequence[str], cells: Sequence[str]) -> DataFrame:
     """``specific_variance`` from ``stratum_cells``."""
-    values = [
-        padded_variance(
-            F.col("k"), F.col(f"sum_{m}") / F.col("k"), F.col(f"var_{m}"), F.col(size_col(m))
-        ).alias(m)
-        for m in measure_cols(table)
-    ]
-    return table.select(SURVEY, *strata, *cells, *values)
+    return table.select(SURVEY, *strata, *cells, *per_measure(measure_cols(table), CELL_KERNEL))
 
 
 def total_from_cells(table: DataFrame, pop: DataFrame, strata: Sequence[str], cells: Sequence[str]) -> DataFrame:
     """``total_variance`` from ``stratum_cells``."""
     measures, keys = measure_cols(table), [SURVEY, *strata]
-    sizes = [size_col(m) for m in measures]
-    values = [
-        padded_variance(
-            F.col("k"), F.col(f"sum_{m}") / F.col("k"), F.col(f"var_{m}"), F.col(size_col(m))
-        ).alias(m)
-        for m in measures
-    ]
-    variance = table.select(*keys, *cells, *sizes, *values)
+    variance = table.select(*keys, *cells, *map(size_col, measures), *per_measure(measures, CELL_KERNEL))
     joined = full_join_ns(pop.select(*keys, "lic_total"), variance, keys)
-    return joined.groupBy(SURVEY, *cells).agg(*(_cell_variance(m) for m in measures))
+    return joined.groupBy(SURVEY, *cells).agg(*per_measure(measures, CELL_VARIANCE))

@@ -13,13 +13,19 @@ from ..domains import SURVEY
 REGISTRY_ONLY = ["lic_year", "survey_definition_id", "fisher_id"]
 
 
+def quoted(name: str, side: str | None = None) -> str:
+    """A column name as SQL text."""
+    plain = "`" + name.replace("`", "``") + "`"
+    return f"{side}.{plain}" if side else plain
+
+
 def full_join_ns(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Full outer join in which NULL keys match NULL keys and each key comes out once."""
     a, b = left.alias("a"), right.alias("b")
-    condition = reduce(Column.__and__, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys))
-    merged = [F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in keys]
-    rest = [F.col(f"{side}.{c}") for side, df in (("a", left), ("b", right)) for c in df.columns if c not in keys]
-    return a.join(b, condition, "full").select(*merged, *rest)
+    condition = F.expr(" AND ".join(f"{quoted(k, 'a')} <=> {quoted(k, 'b')}" for k in keys))
+    merged = [f"coalesce({quoted(k, 'a')}, {quoted(k, 'b')}) AS {quoted(k)}" for k in keys]
+    rest = [quoted(c, side) for side, df in (("a", left), ("b", right)) for c in df.columns if c not in keys]
+    return a.join(b, condition, "full").selectExpr(*merged, *rest)
 
 
 def _key_list(key: str | Sequence[str]) -> list[str]:

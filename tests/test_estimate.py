@@ -109,13 +109,13 @@ def test_one_pass_equals_single_steps(spark, hot):
 def test_variance_is_that_of_the_padded_sample(spark):
     values, n = [3, 5, 0, 9], 11
     df = spark.createDataFrame([(v,) for v in values], "x int")
-    kernel = est.padded_variance(F.count("*"), F.avg("x"), F.var_pop("x"), F.lit(n))
+    kernel = F.expr(est.padded_variance("count(*)", "avg(x)", "var_pop(x)", str(n)))
     assert df.agg(kernel.alias("v")).first().v == pytest.approx(statistics.variance(values + [0] * (n - len(values))))
 
 
 def test_zero_respondents_equal_a_larger_sample(spark):
     df = spark.createDataFrame([(3,), (5,), (0,), (0,)], "x int")
-    kernel = est.padded_variance(F.count("*"), F.avg("x"), F.var_pop("x"), F.lit(6))
+    kernel = F.expr(est.padded_variance("count(*)", "avg(x)", "var_pop(x)", "6"))
     assert df.agg(kernel.alias("v")).first().v == pytest.approx(df.where("x > 0").agg(kernel.alias("v")).first().v)
 
 

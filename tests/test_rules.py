@@ -36,11 +36,11 @@ def test_full_join_matches_null_keys(spark):
 
 def test_sum_of_missing_is_zero(spark):
     df = spark.createDataFrame([("s", None), ("s", None)], "k string, salmon_x int")
-    assert df.groupBy("k").agg(est.total("salmon_x").alias("t")).first().t == 0
+    assert est.respondent_sums(df, "k", [], []).first().salmon_x == 0
 
 
 def test_variance_of_one_is_null_and_zero_size_is_safe(spark):
-    expr = est.padded_variance(F.col("k"), F.col("m"), F.col("v"), F.col("n"))
+    expr = F.expr(est.padded_variance("k", "m", "v", "n"))
     rows = [(1, 3.0, 0.0, 1), (1, 3.0, 0.0, 0), (1, 3.0, 0.0, None), (1, 4.0, 0.0, 2)]
     assert one(spark, "k long, m double, v double, n long", rows, expr) == [None, None, None, 8.0]
 

@@ -497,7 +497,7 @@ def agg_zero_padded_variance(fx):
         F.count("*").alias("k"), F.avg("l_quantity").alias("mean"), F.var_pop("l_quantity").alias("spread")
     )
     n = fx.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n"))
-    value = est.padded_variance(F.col("k"), F.col("mean"), F.col("spread"), F.col("n"))
+    value = F.expr(est.padded_variance("k", "mean", "spread", "n"))
     return per_cell.join(n, "l_suppkey").select(
         "l_suppkey", "l_linestatus", "l_returnflag", "k", "n", F.round(value, 4).alias("variance")
     )
