@@ -64,10 +64,9 @@ def _find_responses(spark: SparkSession, cfg: JobConfig, period: SurveyPeriod) -
 
 
 def _load_survey(
-    spark: SparkSession, cfg: JobConfig, period: SurveyPeriod, raw: DataFrame
+    spark: SparkSession, cfg: JobConfig, period: SurveyPeriod, raw: DataFrame, exclude: DataFrame | None
 ) -> tuple[DataFrame, DataFrame]:
     raw = raw.withColumn(SURVEY, F.lit(period.survey_id))
-    exclude = read_exclude(spark, cfg.exclude)
     adjustments = read_adjustments(spark, cfg.adjustments.get(period.survey_id))
     if adjustments is not None:
         adjustments = adjustments.withColumn(SURVEY, F.lit(period.survey_id))
@@ -89,13 +88,14 @@ def _load_survey(
 
 def load_surveys(spark: SparkSession, cfg: JobConfig) -> tuple[list[SurveyPeriod], DataFrame, DataFrame]:
     """Surveys that have responses, those responses stacked, and what the checks found."""
+    exclude = read_exclude(spark, cfg.exclude)
     present, frames, found = [], [], []
     for period in cfg.periods:
         raw = _find_responses(spark, cfg, period)
         if raw is None:
             found.append(dq.message(spark, "missing_survey", dq.WARNING, period.survey_id, "no survey data"))
             continue
-        responses, violations = _load_survey(spark, cfg, period, raw)
+        responses, violations = _load_survey(spark, cfg, period, raw, exclude)
         present.append(period)
         frames.append(responses)
         found.append(violations)
@@ -119,8 +119,7 @@ def run(spark: SparkSession, cfg: JobConfig) -> Bundle:
         if cfg.vendor_sales is None:
             raise ValueError("A vendor sales file must exist.")
         vendor = read_vendor_sales(spark, cfg.vendor_sales)
-        for period in periods:
-            dq.enforce(dq.vendor_months(vendor, period.month_name, cfg.year))
+        dq.enforce(union_aligned(*(dq.vendor_months(vendor, p.month_name, cfg.year) for p in periods)))
         bundle = estimate_prepost(periods, registry, responses, vendor, cfg.year, checkpointed)
     else:
         bundle = estimate_inst(periods, registry, responses, keep=checkpointed)
