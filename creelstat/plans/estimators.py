@@ -130,6 +130,7 @@ class InstantAnalysis(_Analysis):
             dq.unknown_ids(self.responses, known, "surveykey"),
             dq.mixed_dnf(answers.join(known.distinct(), [SURVEY, "surveykey"], "left_semi"), "surveykey"),
             dq.duplicate_licences(self.licences, "licence_id", self.strata),
+            dq.duplicate_licences(known, "surveykey", []),
             dq.missing_strata_cols(self.responses, self.expected_cells),
             dq.nonpositive_cells(self.sums, self.strata),
         ))

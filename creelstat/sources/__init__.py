@@ -1,7 +1,9 @@
-from .files import read_adjustments, read_exclude, read_labels, read_registry, read_responses, read_vendor_sales
+from .files import (
+    normalise_exclude, read_adjustments, read_exclude, read_labels, read_registry, read_responses, read_vendor_sales,
+)
 from .registry import normalise_registry, read_registry_jdbc
 
 __all__ = [
-    "normalise_registry", "read_adjustments", "read_exclude", "read_labels", "read_registry",
+    "normalise_exclude", "normalise_registry", "read_adjustments", "read_exclude", "read_labels", "read_registry",
     "read_registry_jdbc", "read_responses", "read_vendor_sales",
 ]

@@ -52,21 +52,25 @@ def read_labels(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return df.select("col_name", F.col("code").cast("int").alias("code"), "label")
 
 
+def normalise_exclude(df: DataFrame) -> DataFrame:
+    """An exclusion list under its usual headings; it needs one of the two keys."""
+    df = df.withColumnsRenamed(EXCLUDE_ALIAS)
+    if not any(k in df.columns for k in EXCLUDE_KEYS):
+        raise ValueError(f"No {' or '.join(EXCLUDE_KEYS)} column in the exclude file")
+    return df
+
+
 def read_exclude(spark: SparkSession, path: str | None, fmt: str = "csv") -> DataFrame | None:
     """An exclusion list, or None when there is no such file."""
     if not path:
         return None
     try:
-        df = _read(spark, path, fmt)
+        return normalise_exclude(_read(spark, path, fmt))
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         log.warning("exclude file '%s' does not exist", path)
         return None
-    df = df.withColumnsRenamed(EXCLUDE_ALIAS)
-    if not any(k in df.columns for k in EXCLUDE_KEYS):
-        raise ValueError(f"No {' or '.join(EXCLUDE_KEYS)} column in the exclude file")
-    return df
 
 
 def read_adjustments(spark: SparkSession, path: str | None, fmt: str = "csv") -> DataFrame | None:
@@ -88,8 +92,3 @@ def read_vendor_sales(spark: SparkSession, path: str, fmt: str = "csv") -> DataF
     df = df.toDF(*(VENDOR_ALIAS.get(c, c) for c in df.columns))
     months = [c for c in df.columns if c not in CATEGORY]
     return df.select(*CATEGORY, *(to_number(F.col(f"`{m}`")).alias(m) for m in months))
-
-
-__all__ = [
-    "read_adjustments", "read_exclude", "read_labels", "read_registry", "read_responses", "read_vendor_sales",
-]

@@ -25,7 +25,7 @@ from creelstat.operators import registry as reg
 from creelstat.operators import responses as resp
 from creelstat.plans import estimate_inst, estimate_prepost, export_responses, raw_export
 from creelstat.plans.bundle import stack_periods
-from creelstat.sources import normalise_registry, read_registry
+from creelstat.sources import normalise_exclude, normalise_registry, read_registry
 
 from .fixtures import DRAW_JULY, DRAW_YEAR, JULY, LABELS, MONTHLY, YEAR, Fixture
 
@@ -97,9 +97,8 @@ def src_responses_dispatch(fx):
 
 @query("src_exclude")
 def src_exclude(fx):
-    """An exclusion list under its alias heading, as read, applied to the registry."""
-    listed = fx.exclude_ids.withColumnRenamed("survey_access_key", "licence.id")
-    listed = listed.withColumnRenamed("licence.id", "licence_id")
+    """An exclusion list under its alias heading, applied to the registry."""
+    listed = normalise_exclude(fx.exclude_ids.withColumnRenamed("survey_access_key", "licence.id"))
     ids = fx.clean.select(F.concat(F.lit("K"), "licence_id").alias("licence_id"), "licence_type")
     return joins.drop_excluded(ids, listed, "licence_id")
 
