@@ -101,6 +101,11 @@ def load_surveys(spark: SparkSession, cfg: JobConfig) -> tuple[list[SurveyPeriod
         found.append(violations)
     if not frames:
         raise ValueError("No survey data for any period.")
+    asked = list(dict.fromkeys(m for frame in frames for m in measure_cols(frame)))
+    for i, (period, frame) in enumerate(zip(present, frames)):
+        for measure in (m for m in asked if m not in frame.columns):
+            found.append(dq.message(spark, "missing_measure", dq.WARNING, period.survey_id, measure))
+            frames[i] = frames[i].withColumn(measure, F.lit(0))
     return present, union_aligned(*frames), union_aligned(*found)
 
 

@@ -1,6 +1,7 @@
 """Estimates against plain Python, and properties they must have."""
 
 import datetime as dt
+import random
 import statistics
 from collections import defaultdict
 
@@ -58,10 +59,13 @@ def by_hand(registry, responses, measures):
     for cell, per in totals.items():
         variance[cell] = {}
         for m in measures:
-            size, known = n[cell[0]][m], list(per[m].values())
+            size, known = n.get(cell[0], {}).get(m, 0), list(per[m].values())
+            if size < 2:
+                variance[cell][m] = None
+                continue
             mean = sum(known) / size
             squares = sum((v - mean) ** 2 for v in known) + (size - len(known)) * mean ** 2
-            variance[cell][m] = squares / (size - 1) if size > 1 else None
+            variance[cell][m] = squares / (size - 1)
     return n, sums, variance
 
 
@@ -90,6 +94,35 @@ def test_one_pass_against_plain_python(spark, hot):
             assert (r.lic_total, r.n_salmon_a, r.salmon_a) == (1, None, None)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_one_pass_on_random_data(spark, seed):
+    draw = random.Random(seed)
+    pick = draw.choice
+    registry = spark.createDataFrame(
+        [("s", str(draw.randrange(60)), pick([None, *"abcdefghij"]), pick(["X", "Y", "Z", None])) for _ in range(60)], REGISTRY
+    )
+    responses = spark.createDataFrame([
+        ("s", pick("aaaaabcdefghijklm"), pick([True, False, False, None]), pick(["A", "B", None]), pick(["Boat", None]),
+         pick([0, 1, 1, None]), pick([None, *range(9)]), pick([None, 0.0, 1.5, 2.25])) for _ in range(200)
+    ], RESPONSES)
+    n, sums, variance = by_hand(registry, responses, MEASURES)
+    cells = est.stratum_cells(responses, registry, "key", "key", STRATA, AM)
+    spread = {(r.stratum, r.area, r.method): r for r in est.variance_from_cells(cells, STRATA, AM).collect()}
+    assert set(spread) == set(variance)
+    for cell, expected in variance.items():
+        for m in MEASURES:
+            assert spread[cell][m] == expected[m] or spread[cell][m] == pytest.approx(expected[m], rel=1e-9)
+    pop = est.population(registry, "licence_id", STRATA)
+    full = est.full_from_cells(cells, pop, STRATA, AM).collect()
+    got = {(r.stratum, r.area, r.method): [r[m] for m in MEASURES] for r in full if r.salmon_a is not None}
+    assert set(got) == set(sums)
+    for cell, values in got.items():
+        assert values == pytest.approx([sums[cell][m] for m in MEASURES])
+    for r in full:
+        if r.stratum in n:
+            assert [r[f"n_{m}"] for m in MEASURES] == [n[r.stratum][m] for m in MEASURES]
+
+
 @pytest.mark.parametrize("hot", [0, 4000])
 def test_one_pass_equals_single_steps(spark, hot):
     registry, responses = hand_made(spark, hot)

@@ -28,7 +28,9 @@ def files(small, tmp_path_factory):
         "resident_status": "resident.status", "licence_type": "licence.type", "age_category": "age.category",
     }).write.csv(f"{root}/vendor", header=True)
     for month in ("2020-04", "2020-07"):
-        small.response_year.where(F.col("survey_id") == month).drop("survey_id").write.parquet(f"{root}/{month}")
+        responses = small.response_year.where(F.col("survey_id") == month).drop("survey_id")
+        # Halibut was not asked in April.
+        responses.drop(*(["halibut_kept"] if month == "2020-04" else [])).write.parquet(f"{root}/{month}")
     return root
 
 
@@ -63,8 +65,12 @@ def test_annual_job_skips_missing_months(spark, files, tmp_path):
     assert {(r.year, r.month, r.month_id) for r in population.select("year", "month", "month_id").distinct().collect()} == {
         (2020, "April", 4), (2020, "July", 7),
     }
-    log = spark.read.parquet(f"{tmp_path}/year/log").where("code = 'missing_survey'").first()
-    assert log.n == 10
+    log = {r.code: r for r in spark.read.parquet(f"{tmp_path}/year/log").collect()}
+    assert log["missing_survey"].n == 10
+    assert (log["missing_measure"]["sample"], log["missing_measure"].detail) == ("2020-04", "halibut_kept")
+    totals = spark.read.parquet(f"{tmp_path}/year/summary_estimated_catch").groupBy("month").agg(F.sum("halibut_kept").alias("t"))
+    got = {r.month: r.t for r in totals.collect()}
+    assert got["April"] == 0 < got["July"]
 
 
 def test_prepost_job(spark, files, tmp_path):
