@@ -552,8 +552,7 @@ def agg_survey_sample_sizes(fx):
 
 def _adjusted_lines(fx: Fixture) -> DataFrame:
     """Adjustments with a row per order line, some of them without catch."""
-    low = fx.lineitem.where(F.col("l_discount") > 0.04)
-    return low.select(
+    return fx.lineitem.select(
         F.concat(F.lit("K"), F.col("l_orderkey").cast("string")).alias("surveykey"),
         F.when(F.col("l_quantity") > 10, F.col("l_quantity")).alias("salmon_chinook_kept"),
         F.when(F.col("l_partkey") % 4 > 0, F.col("l_partkey")).alias("halibut_kept"),
