@@ -172,9 +172,33 @@ FROM d LEFT JOIN covered c USING (rid) LEFT JOIN items x USING (rid)
 """
 
 
+def _lines() -> str:
+    return r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (
+    SELECT rid, doc_id, i, l[i] AS line, translate(regexp_replace(l[i],
+        '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT rid, doc_id, l, unnest(generate_series(1, len(l))) AS i FROM d)
+),
+keys AS (
+    SELECT key, min(doc_id) AS owner FROM lines WHERE length(key) >= 10 GROUP BY key
+    HAVING count(DISTINCT doc_id) + count(DISTINCT CASE WHEN doc_id IS NULL THEN 1 END) > 1
+),
+marked AS (
+    SELECT l.*, k.key IS NOT NULL AND l.doc_id IS DISTINCT FROM k.owner AS dropped
+    FROM lines l LEFT JOIN keys k ON l.key = k.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY rid, doc_id
+"""
+
+
 SQL: dict[str, str] = {
     "op3_chat_format": _chat(),
     "op4_url_filter": _urls(),
     "op5_quality_rules": _quality(),
+    "op7_line_dedup": _lines(),
     "op10_decontamination": _decontamination(),
 }

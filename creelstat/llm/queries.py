@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, quality, url_filter
+from . import bpe, chat_format, decontaminate, html_extract, line_dedup, quality, toxicity, url_filter
 
 #: A conversation that speaks in marks, told apart by its number.
 MARKED = (-7, r"\### Assistant: </turn> ok")
@@ -21,6 +22,12 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def op1_html_extraction(spark: SparkSession, data: str) -> DataFrame:
+    return html_extract.extract(table(spark, data, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 def op3_chat_format(spark: SparkSession, data: str) -> DataFrame:
     conv, text = MARKED
     marked = spark.range(2).select(
@@ -48,6 +55,33 @@ def op5_quality_rules(spark: SparkSession, data: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, data: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, data, "documents")).select(
+        "row.doc_id", "n_lines", "n_dropped", sha256(F.col("line_text")).alias("kept_sha256")
+    )
+
+
+def held_out() -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def op8_toxicity(spark: SparkSession, data: str) -> DataFrame:
+    docs = table(spark, data, "documents")
+    model = toxicity.learn(docs, table(spark, data, "labels").where(~held_out()))
+    return toxicity.score_texts(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op9_bpe(spark: SparkSession, data: str, path: str | None = None) -> DataFrame:
+    path = path or public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.encode_texts(table(spark, data, "documents").select("doc_id", "text"), path)
+    return bpe.decode_ids(coded, path).select(
+        "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        sha256(F.col("ids")).alias("ids_sha256"), sha256(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
 def op10_decontamination(spark: SparkSession, data: str) -> DataFrame:
     found = decontaminate.Index(table(spark, data, "documents"), table(spark, data, "benchmark")).report()
     return found.select(
@@ -57,8 +91,9 @@ def op10_decontamination(spark: SparkSession, data: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_chat_format": op3_chat_format,
-    "op4_url_filter": op4_url_filter,
-    "op5_quality_rules": op5_quality_rules,
-    "op10_decontamination": op10_decontamination,
+    query.__name__: query
+    for query in (
+        op1_html_extraction, op3_chat_format, op4_url_filter, op5_quality_rules, op7_line_dedup, op8_toxicity, op9_bpe,
+        op10_decontamination,
+    )
 }
