@@ -160,12 +160,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
 
 
 def learn(
-    documents: DataFrame, labels: DataFrame, sample: int = 50_000, support: int = 4, odds: float = 8.0,
+    documents: DataFrame, labels: DataFrame, sample: int = 50_000, support: int = 4, share: float = 0.01, odds: float = 8.0,
     exceptions: tuple[str, ...] = (),
 ) -> Model:
     """A model of (doc_id, text) and (doc_id, toxic).
 
-    A term needs ``support`` toxic texts and to be ``odds`` times as frequent in them as in clean ones. A phrase of two
+    A term needs ``support`` toxic texts, at least ``share`` of them, and to be ``odds`` times as frequent there as in
+    clean ones. A phrase of two
     words around a term becomes an exception if ``support`` clean texts hold it and no larger share of toxic ones.
     Labels that are NULL, or belong to no document, count for nothing; a document labelled both ways is toxic.
     """
@@ -179,20 +180,22 @@ def learn(
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = n.get(True, 0), n.get(False, 0)
     if not toxic or not clean:
-        share = (toxic + 0.01) / (toxic + clean + 1)
-        return Model({}, intercept=math.log(share / (1 - share)))
+        prior = (toxic + 0.01) / (toxic + clean + 1)
+        return Model({}, intercept=math.log(prior / (1 - prior)))
+
+    least = max(support, math.ceil(share * toxic))
 
     def all_terms(text: str) -> set[str]:
         return {f for w in set(fold(text)) for f in features(w)}
 
-    first = _counted(rows.where("toxic"), all_terms).where(F.col("toxic") >= support).collect()
+    first = _counted(rows.where("toxic"), all_terms).where(F.col("toxic") >= least).collect()
     wanted = frozenset(r["term"] for r in first)
     ratio = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1))
     both = _counted(rows, lambda text: all_terms(text) & wanted).where(ratio >= odds).collect()
     weight = {
         r["term"]: math.log((r["toxic"] + 0.5) / (toxic + 1) / ((r["clean"] + 0.5) / (clean + 1))) for r in both
     }
-    terms = _shortened(weight)
+    terms = _chosen(weight, {r["term"]: r["toxic"] for r in both})
     lexicon = Model(terms)
 
     def phrases(text: str) -> set[str]:
@@ -219,14 +222,20 @@ def learn(
     return Model(terms, model.exceptions, intercept, tuple(map(float, factors)))
 
 
-def _shortened(weight: dict[str, float]) -> dict[str, float]:
-    """Without terms that a beginning of theirs outweighs, which would match the same words."""
-    out = {}
-    for term, w in sorted(weight.items(), key=lambda x: len(x[0])):
-        stem = term.rstrip(" ")
-        if all(out.get(stem[:n], 0.0) < w for n in range(SHORTEST + 1, len(stem) + 1)):
-            out[term] = w
-    return out
+def _stems(term: str) -> Iterator[str]:
+    """The beginnings of a term, shorter than itself."""
+    yield from (term[:n] for n in range(SHORTEST + 1, len(term.rstrip(" ")) + (term[-1] == " ")))
+
+
+def _chosen(weight: dict[str, float], texts: dict[str, int]) -> dict[str, float]:
+    """The terms worth keeping among those that match the same words.
+
+    A beginning goes if one longer term stands for nine tenths of its toxic texts. A longer term goes if a beginning
+    left outweighs it.
+    """
+    narrow = {p for term, n in texts.items() for p in _stems(term) if n >= 0.9 * texts.get(p, n * 2)}
+    left = {t: w for t, w in weight.items() if t not in narrow}
+    return {t: w for t, w in left.items() if all(left.get(p, 0.0) < w for p in _stems(t))}
 
 
 def score_texts(documents: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
