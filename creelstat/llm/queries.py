@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, html_extract, line_dedup, quality, toxicity, url_filter
+from . import bpe, chat_format, decontaminate, html_extract, line_dedup, quality, simhash, toxicity, url_filter
 
 #: A conversation that speaks in marks, told apart by its number.
 MARKED = (-7, r"\### Assistant: </turn> ok")
@@ -28,6 +28,12 @@ def op1_html_extraction(spark: SparkSession, data: str) -> DataFrame:
     )
 
 
+def op2_simhash(spark: SparkSession, data: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, data, "documents"), size=4, budget=4).select(
+        "doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id"
+    )
+
+
 def op3_chat_format(spark: SparkSession, data: str) -> DataFrame:
     conv, text = MARKED
     marked = spark.range(2).select(
@@ -93,7 +99,7 @@ def op10_decontamination(spark: SparkSession, data: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
-        op1_html_extraction, op3_chat_format, op4_url_filter, op5_quality_rules, op7_line_dedup, op8_toxicity, op9_bpe,
-        op10_decontamination,
+        op1_html_extraction, op2_simhash, op3_chat_format, op4_url_filter, op5_quality_rules, op7_line_dedup, op8_toxicity,
+        op9_bpe, op10_decontamination,
     )
 }
