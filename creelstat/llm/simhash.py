@@ -16,6 +16,7 @@ fingerprint zero. NULL ids take part, but the smallest id of a component is the
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -30,17 +31,21 @@ from .components import components
 BITS = 64
 SEED = 42
 #: Fingerprints that a block of the trie is meant to hold.
-BLOCK = 200_000
+BLOCK = 500_000
 #: Node pairs that are walked at a time, and leaf pairs compared at a time.
 SLICE = 1 << 16
 LEAF = 8
 
 
-def fingerprint(text: str | None, size: int) -> int:
-    """The 64-bit SimHash of a text's shingles of ``size`` words, repeats included."""
+#: For each byte value its bits, the lowest first.
+BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+
+
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """XXH64 of every shingle of ``size`` words, repeats included; the whole text if it has fewer words."""
     words = (text or "").encode("utf-8").lower().split()  # of bytes: A-Z, and \x20\x09-\x0D
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends[:-1]]
@@ -48,22 +53,44 @@ def fingerprint(text: str | None, size: int) -> int:
         pieces = [joined[a:b - 1] for a, b in zip(starts, ends[size - 1:], strict=False)]
     else:
         pieces = [joined]
-    hashes = np.array([xxhash.xxh64_intdigest(p, SEED) for p in pieces], np.uint64)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at:at + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little")
-    return int(bits.view(np.uint64)[0])
-
-
-def fingerprints(documents: DataFrame, size: int = 4, text: str = "text") -> DataFrame:
-    """All columns of documents and ``fp``, the fingerprint as a signed number."""
-    @F.pandas_udf("long")
+    return np.array([xxhash.xxh64_intdigest(p, SEED) for p in pieces], np.uint64)
+
+
+def sketch(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
+    """``lanes`` 64-bit SimHashes of hashes; the first is of the hashes themselves, the others of mixtures of them."""
+    if not len(hashes):
+        return np.zeros(lanes, np.uint64)
+    counts = np.zeros((lanes * 8, 256), np.int64)
+    row = np.arange(lanes * 8, dtype=np.int64) << 8
+    for at in range(0, len(hashes), 1 << 14):
+        part = hashes[at:at + (1 << 14), None]
+        mixed = np.repeat(part, lanes, axis=1)
+        if lanes > 1:
+            mixed[:, 1:] += np.arange(1, lanes, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            rest = mixed[:, 1:]
+            rest ^= rest >> np.uint64(30)
+            rest *= np.uint64(0xBF58476D1CE4E5B9)
+            rest ^= rest >> np.uint64(27)
+            rest *= np.uint64(0x94D049BB133111EB)
+            rest ^= rest >> np.uint64(31)
+        values = mixed.view(np.uint8).reshape(len(part), lanes * 8)
+        counts += np.bincount((values + row).ravel(), minlength=counts.size).reshape(counts.shape)
+    bits = (2 * (counts @ BYTE_BITS) > len(hashes)).astype(np.uint8)
+    return np.packbits(bits.ravel(), bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: str | None, size: int) -> int:
+    """The 64-bit SimHash of a text's shingles."""
+    return int(sketch(shingle_hashes(text, size))[0])
+
+
+def fingerprints(documents: DataFrame, size: int = 4, lanes: int = 1, text: str = "text") -> DataFrame:
+    """All columns of documents and ``sketch``, the SimHashes as an array of signed numbers."""
+    @F.pandas_udf("array<long>")
     def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64))
+        return pd.Series([sketch(shingle_hashes(t, size), lanes).view(np.int64) for t in texts], dtype=object)
 
-    return documents.withColumn("fp", hashed(F.col(f"`{text}`")))
+    return documents.withColumn("sketch", hashed(F.col(f"`{text}`")))
 
 
 class Forest:
@@ -180,35 +207,37 @@ def _compare(fps, forest: Forest, a, a_end, b, b_end, budget: int) -> None:
             forest.link(x[near], y[near])
 
 
-def trie_join(prints: DataFrame, budget: int = 4, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that connect whatever lies within the budget, for distinct fingerprints in a column ``fp``."""
-    n = prints.count()
-    depth = max(4, int(np.ceil(np.log2(max(1, n / block)))))
+def trie_join(prints: DataFrame, budget: int = 4, top: int = 4, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between nodes that connect whatever lies within the budget.
+
+    prints has (part, fp, node), fp distinct within a part, with a trie for every part. ``top`` is the least depth at
+    which Spark deals out the nodes of a trie.
+    """
+    n = prints.groupBy("part").count().agg(F.max("count")).first()[0] or 0
+    depth = max(top, int(np.ceil(np.log2(max(1, n / block)))))
     masks = [0, *(
         sum(1 << i for i in c) for k in range(1, min(budget, depth) + 1) for c in combinations(range(depth), k)
     )]
-    # shiftright of a signed number keeps the sign, so the block is cut to its bits
-    rows = prints.select("fp", F.shiftrightunsigned("fp", BITS - depth).alias("block"))
+    rows = prints.select("part", "fp", "node", F.shiftrightunsigned("fp", BITS - depth).alias("block"))
     # node pairs of the top of the trie, named by the smaller node and the bits in which they differ
-    sent = rows.select(
-        "fp", "block", F.explode(F.array(*map(F.lit, masks))).alias("mask"),
-    ).select(
-        F.least(F.col("block"), F.col("block").bitwiseXOR(F.col("mask"))).alias("node"), "mask", "fp",
+    sent = rows.withColumn("mask", F.explode(F.array(*map(F.lit, masks)))).select(
+        "part", F.least("block", F.col("block").bitwiseXOR(F.col("mask"))).alias("at"), "mask", "fp", "node",
     )
 
     def join(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        node, mask = key
-        fps = np.sort(group["fp"].to_numpy().view(np.uint64))
+        _, at, mask = key
+        order = np.argsort(group["fp"].to_numpy().view(np.uint64), kind="stable")
+        fps, nodes = group["fp"].to_numpy().view(np.uint64)[order], group["node"].to_numpy()[order]
         if mask == 0:
             a, b = walk(fps, None, depth, 0, budget)
         else:
-            here = (fps >> np.uint64(BITS - depth)) == np.uint64(node)
+            here = (fps >> np.uint64(BITS - depth)) == np.uint64(at)
             if here.all() or not here.any():
                 return pd.DataFrame({"a": [], "b": []}, dtype="int64")
             a, b = walk(fps[here], fps[~here], depth, int(mask).bit_count(), budget)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        return pd.DataFrame({"a": nodes[np.searchsorted(fps, a)], "b": nodes[np.searchsorted(fps, b)]})
 
-    return sent.groupBy("node", "mask").applyInPandas(join, "a long, b long")
+    return sent.groupBy("part", "at", "mask").applyInPandas(join, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, size: int = 4, budget: int = 4) -> DataFrame:
@@ -216,17 +245,88 @@ def near_duplicates(documents: DataFrame, size: int = 4, budget: int = 4) -> Dat
 
     component_id is the smallest doc_id that links reach, the row's own included.
     """
-    rows = stored(fingerprints(pick(documents, "doc_id", "text"), size).select("doc_id", "fp"))
+    rows = stored(
+        fingerprints(pick(documents, "doc_id", "text"), size).select("doc_id", F.col("sketch")[0].alias("fp"))
+    )
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(checkpointed(trie_join(prints, budget)))
-    placed = checkpointed(prints.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    ))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
+    links = trie_join(prints.select(F.lit(0).alias("part"), "fp", F.col("fp").alias("node")), budget)
+    named = _named(prints.withColumn("node", F.col("fp")), links)
     return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def _named(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes (node, first, ...) with component_id, the smallest first that links (a, b) reach."""
+    roots = components(links)
+    placed = checkpointed(
+        nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    )
+    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    return placed.join(least, "root").drop("root", "first")
+
+
+def similar_documents(
+    documents: DataFrame, size: int = 5, similarity: float = 0.8, lanes: int = 8, bits: int = 32, budget: int = 3,
+    slack: float = 2.5,
+) -> DataFrame:
+    """(doc_id, component_id) of every row: documents linked by a resemblance of shingle sets of ``similarity``.
+
+    One fingerprint of 64 bits can't tell a resemblance of 0.8 from chance within a budget that a trie can prune by. So
+    ``lanes`` SimHashes are cut into pieces of ``bits``; each piece has a trie of its own, whose self-join within the
+    small budget proposes pairs. A proposed pair goes on if all pieces together differ in no more bits than the
+    resemblance lets expect, with ``slack`` standard deviations: for the angle t between two shingle sets of
+    resemblance r, cos t = 2r / (1 + r), and the share of bits is t / pi. The shingle sets themselves decide at last.
+    A pair at 0.8 is proposed by some piece with a probability over 0.99.
+
+    Documents with equal pieces meet in one node first, and each trie proposes a forest, not all pairs.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = (share + slack * math.sqrt(share * (1 - share) / (lanes * BITS))) * lanes * BITS
+    texts = pick(documents, "doc_id", "text").withColumn("digest", F.xxhash64("text"))
+    rows = stored(fingerprints(texts, size, lanes).select("doc_id", "digest", "sketch"))
+    nodes = stored(
+        rows.groupBy("sketch").agg(F.min("doc_id").alias("first"), F.min("digest").alias("digest"))
+        .withColumn("node", F.xxhash64("sketch"))
+    )
+    per = BITS // bits
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(lanes * per - 1)), lambda i: F.struct(
+        i.alias("part"),
+        # a piece becomes the first bits of a fingerprint that ends in zeros
+        F.call_function(
+            "shiftleft",
+            F.call_function("shiftrightunsigned", F.col("sketch")[F.floor(i / per).cast("int")], (i % per) * bits),
+            F.lit(BITS - bits),
+        ).alias("fp"),
+    ))
+    every = nodes.select("node", F.explode(pieces).alias("p")).select("p.part", "p.fp", "node")
+    prints = stored(every.groupBy("part", "fp").agg(F.min("node").alias("node")))
+    same = every.alias("e").join(
+        prints.select("part", "fp", F.col("node").alias("head")).alias("h"), ["part", "fp"]
+    ).where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    proposed = trie_join(prints, budget, top=1).unionByName(same).distinct()
+    own = nodes.select("node", "sketch", "digest")
+    pairs = (
+        proposed.join(own.toDF("a", "x", "text_a"), "a").join(own.toDF("b", "y", "text_b"), "b")
+    )
+    differing = F.aggregate(
+        F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, v: a + v
+    )
+    likely = stored(pairs.where(differing <= most).select("a", "b", "text_a", "text_b"))
+    wanted = likely.select(F.explode(F.array("text_a", "text_b")).alias("digest")).distinct()
+    found = texts.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("text"))
+
+    @F.pandas_udf("double")
+    def resemblance(x: pd.Series, y: pd.Series) -> pd.Series:
+        sets = lambda t: set(shingle_hashes(t, size).tolist())
+        return pd.Series([len(a & b) / max(1, len(a | b)) for a, b in zip(map(sets, x), map(sets, y), strict=True)])
+
+    links = (
+        likely.join(found.toDF("text_a", "x"), "text_a").join(found.toDF("text_b", "y"), "text_b")
+        .where(resemblance("x", "y") >= similarity).select("a", "b")
+    )
+    named = _named(nodes, links)
+    return rows.join(named.select("sketch", "component_id"), "sketch", "left").select("doc_id", "component_id")
+
+
 def hexadecimal(fp: Column) -> Column:
     """A signed number as 16 lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
