@@ -29,7 +29,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 400_000
+CACHE = 300_000
+#: Characters of text split into words at a time.
+PART = 1_000_000
 #: Texts whose letters all lie below this code point are split by a pattern of plain classes.
 NEAR = 0x250
 BEYOND = re.compile(f"[^\\x00-{chr(NEAR - 1)}]")
@@ -205,7 +207,19 @@ class Tokenizer:
         return (self.word_pattern if BEYOND.search(text) else self.near_pattern).findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian 32-bit numbers."""
+        """Ids as little-endian 32-bit numbers. Texts are taken a few at a time, which bounds the words held."""
+        out: list[bytes] = []
+        part: list[str] = []
+        size = 0
+        for text in texts:
+            part.append(text)
+            size += len(text)
+            if size >= PART:
+                out += self._encode(part)
+                part, size = [], 0
+        return out + self._encode(part)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         split = list(map(self.pieces, texts))
         if len(self.words) > CACHE:
             self.words = {}
