@@ -9,8 +9,8 @@ hide its parts. Its parts are a piece on the right edge of a and one on the left
 rank than the one that makes the next larger piece of a, and no higher rank than the one of b, since equal merges go
 from left to right. Edges are short lists, so all combinations of pieces are compared as arrays.
 
-The vocabulary file of the tokenizers library is read where tasks run; its path is a parameter. Words and pairs are
-remembered within a Python worker up to ``CACHE`` entries. Encoding is one narrow stage. NULL texts are empty, empty
+The vocabulary file of the tokenizers library is read where tasks run; its path is a parameter. A Python worker remembers
+up to ``CACHE`` words and ``PAIRS`` pairs. Encoding is one narrow stage. NULL texts are empty, empty
 texts have no tokens and decode to empty texts.
 """
 
@@ -29,7 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 300_000
+CACHE = 1_000_000
+PAIRS = 300_000
 #: Characters of text split into words at a time.
 PART = 1_000_000
 #: Texts whose letters all lie below this code point are split by a pattern of plain classes.
@@ -170,7 +171,7 @@ class Tokenizer:
             for w in words
         }
         proposed = {w: self.propose(x) for w, x in spelt.items()}
-        if len(self.pairs) > CACHE:
+        if len(self.pairs) > PAIRS:
             self.pairs = {}
         pairs = list({p for ids in proposed.values() if ids for p in pairwise(ids)} - self.pairs.keys())
         if pairs:
