@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, html_extract, line_dedup, quality, simhash, toxicity, url_filter
+from . import (
+    bpe, chat_format, decontaminate, html_extract, line_dedup, quality, simhash, suffix_dedup, toxicity, url_filter,
+)
 
 #: A conversation that speaks in marks, told apart by its number.
 MARKED = (-7, r"\### Assistant: </turn> ok")
@@ -61,6 +63,12 @@ def op5_quality_rules(spark: SparkSession, data: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, data: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(table(spark, data, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", sha256(F.col("kept")).alias("kept_sha256")
+    )
+
+
 def op7_line_dedup(spark: SparkSession, data: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, data, "documents")).select(
         "row.doc_id", "n_lines", "n_dropped", sha256(F.col("line_text")).alias("kept_sha256")
@@ -99,7 +107,7 @@ def op10_decontamination(spark: SparkSession, data: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
-        op1_html_extraction, op2_simhash, op3_chat_format, op4_url_filter, op5_quality_rules, op7_line_dedup, op8_toxicity,
-        op9_bpe, op10_decontamination,
+        op1_html_extraction, op2_simhash, op3_chat_format, op4_url_filter, op5_quality_rules, op6_suffix_dedup, op7_line_dedup,
+        op8_toxicity, op9_bpe, op10_decontamination,
     )
 }

@@ -268,7 +268,11 @@ def similar_documents(
     documents: DataFrame, size: int = 5, similarity: float = 0.8, lanes: int = 8, bits: int = 32, budget: int = 3,
     slack: float = 2.5,
 ) -> DataFrame:
-    """(doc_id, component_id) of every row: documents linked by a resemblance of shingle sets of ``similarity``.
+    """(doc_id, digest, component_id, stays) of every row: documents linked by a resemblance of shingle sets.
+
+    digest is xxhash64 of the text, component_id the smallest doc_id of the group, and stays marks the one document
+    of each group that has it; of several texts under that id the one with the smallest digest. NULL ids come last.
+    Repeated rows have equal results.
 
     One fingerprint of 64 bits can't tell a resemblance of 0.8 from chance within a budget that a trie can prune by. So
     ``lanes`` SimHashes are cut into pieces of ``bits``; each piece has a trie of its own, whose self-join within the
@@ -284,7 +288,11 @@ def similar_documents(
     texts = pick(documents, "doc_id", "text").withColumn("digest", F.xxhash64("text"))
     rows = stored(fingerprints(texts, size, lanes).select("doc_id", "digest", "sketch"))
     nodes = stored(
-        rows.groupBy("sketch").agg(F.min("doc_id").alias("first"), F.min("digest").alias("digest"))
+        rows.groupBy("sketch")
+        .agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("first"),
+            F.min("digest").alias("digest"),
+        )
         .withColumn("node", F.xxhash64("sketch"))
     )
     per = BITS // bits
@@ -324,7 +332,11 @@ def similar_documents(
         .where(resemblance("x", "y") >= similarity).select("a", "b")
     )
     named = _named(nodes, links)
-    return rows.join(named.select("sketch", "component_id"), "sketch", "left").select("doc_id", "component_id")
+    head = F.col("component_id")
+    return rows.join(named.select("sketch", "component_id"), "sketch", "left").select(
+        "doc_id", "digest", head["doc_id"].alias("component_id"),
+        (F.col("doc_id").eqNullSafe(head["doc_id"]) & (F.col("digest") == head["digest"])).alias("stays"),
+    )
 
 
 def hexadecimal(fp: Column) -> Column:
