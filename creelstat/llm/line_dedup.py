@@ -229,11 +229,11 @@ class LineIndex:
 
         def probe(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
             if not len(own) or not len(rows):
-                return rows.iloc[:0][["doc_id", *KEYS]]
+                return rows.iloc[:0][["doc_id", *KEYS]].astype({"doc_id": object})
             held = CuckooFilter.load(own["filter"][0]).contains(
                 rows.hi.to_numpy().view(np.uint64), rows.lo.to_numpy().view(np.uint64)
             )
-            return rows.loc[held, ["doc_id", *KEYS]]
+            return rows.loc[held, ["doc_id", *KEYS]].astype({"doc_id": object})  # Arrow strings fail without rows
 
         group = ("shard", "salt")
         return filters.groupBy(*group).cogroup(  # numbers with NULLs lose digits in pandas
@@ -264,7 +264,7 @@ class LineIndex:
                 gone = {struct.pack("<qq", k["hi"], k["lo"]) for k in drop}
                 kept = [x for x in lines if line_key(x.encode("utf-8"), shortest) not in gone]
                 out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
-            return pd.DataFrame(out, columns=["line_text", "n_lines", "n_dropped"])
+            return pd.DataFrame(out, columns=["line_text", "n_lines", "n_dropped"], dtype=object)
 
         docs = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
         return docs.alias("d").join(

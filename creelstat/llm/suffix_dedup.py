@@ -162,7 +162,7 @@ def transform(texts: list[bytes]) -> np.ndarray:
     step = 7
     for k in range(step):
         ahead = np.zeros(n, np.int64)
-        ahead[:n - k] = letters[k:]
+        ahead[:max(n - k, 0)] = letters[k:]
         ended |= ahead == 0
         rank = rank * 256 + np.where(ended, 0, ahead)
     tail = np.zeros(n, np.int64)  # suffixes that end within these letters are ordered by their windows
@@ -177,7 +177,7 @@ def transform(texts: list[bytes]) -> np.ndarray:
         if fresh[-1] == n - 1:
             break
         tail = np.zeros(n, np.int64)
-        tail[:n - step] = rank[step:] + 1
+        tail[:max(n - step, 0)] = rank[step:] + 1
         order = np.argsort(rank * (n + 1) + tail)
         step *= 2
     last = letters[order - 1]
@@ -439,7 +439,7 @@ def dedup_substrings(documents: DataFrame, length: int = LENGTH, gram: int = GRA
             out.append((
                 kept, len(data), len(data) - len(kept), len(spans), [{"a": a, "b": b} for a, b in spans],
             ))
-        return pd.DataFrame(out, columns=["kept", "n_bytes", "n_removed", "n_spans", "spans"])
+        return pd.DataFrame(out, columns=["kept", "n_bytes", "n_removed", "n_spans", "spans"], dtype=object)
 
     return rows.alias("r").join(found.alias("f"), _same("r", "f"), "left").select(
         "r.doc_id", removed("r.text", "f.ranges").alias("out")

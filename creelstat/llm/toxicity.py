@@ -135,7 +135,9 @@ def _counted(rows: DataFrame, terms_of) -> DataFrame:
                 seen[bool(toxic)].update(terms_of(text))
             terms = list(seen[True].keys() | seen[False].keys())
             yield pd.DataFrame({
-                "term": terms, "toxic": [seen[True][t] for t in terms], "clean": [seen[False][t] for t in terms],
+                "term": pd.Series(terms, dtype=object),
+                "toxic": pd.Series([seen[True][t] for t in terms], dtype="int64"),
+                "clean": pd.Series([seen[False][t] for t in terms], dtype="int64"),
             })
 
     return rows.mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(
