@@ -212,51 +212,105 @@ class Merge:
         has = before >= 0
         after[before[has]] = np.flatnonzero(has)
         self.after = after  # of a window's end: nothing
-        last = np.concatenate(shards)
         first = np.concatenate([np.sort(x) for x in shards])  # the letter with which each suffix begins
-        order = np.argsort(first, kind="stable").astype(np.int32)
-        self.order = order
-        f = first[order]
-        fresh = np.concatenate([[True], (f[1:] != f[:-1]) | (f[1:] == 0)])  # ends differ from each other
-        starts = np.flatnonzero(fresh)
+        self.block = np.zeros(self.n, np.int32)
         self.sizes = np.zeros(self.n, np.int32)
-        self.sizes[starts] = np.diff(np.append(starts, self.n))
-        self.block = np.empty(self.n, np.int32)
-        self.block[order] = np.repeat(starts, self.sizes[starts])
         self.common = np.full(self.n, -1, np.int16)
-        self.common[starts] = 0
+        self._open(first, sum(int((x == 0).sum()) for x in shards))
+
+    def _open(self, first: np.ndarray, windows_: int) -> None:
+        """Packs the first letters of each suffix into a number; an end inside carries its window's number."""
+        room = max(1, int(windows_).bit_length())
+        self.packed = packed = (63 - room) // 8
+        key, at = np.zeros(self.n, np.int64), np.arange(self.n)
+        end = np.zeros(self.n, np.int64)
+        for _ in range(packed):
+            letter = np.where(at >= 0, first[np.maximum(at, 0)], 0).astype(np.int64)
+            stops = (at >= 0) & (letter == 0)
+            end[stops] = np.cumsum(first == 0)[at[stops]]
+            key = key << 8 | letter
+            at = np.where((at >= 0) & (letter > 0), self.after[np.maximum(at, 0)], -1)
+        self.room, self.ahead = room, at.astype(np.int32)
+        self.key = key << room | end
+        self.order = np.argsort(self.key).astype(np.int32)
+        ordered = self.key[self.order]
+        fresh = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]).astype(np.int32)
+        self.rank = np.empty(self.n, np.int32)
+        self.rank[self.order] = fresh
+
+    def _letters(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many of the packed letters of suffixes a[i] and b[i] agree before one differs or ends."""
+        x, y = self.key[a] >> self.room, self.key[b] >> self.room
+        out, same = np.zeros(len(a), np.int16), np.ones(len(a), bool)
+        for k in range(self.packed - 1, -1, -1):
+            p, q = x >> (8 * k) & 255, y >> (8 * k) & 255
+            same &= (p == q) & (p > 0)
+            out += same
+        return out
+
+    def _split(self, at: np.ndarray, own: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Orders the places ``at`` of whole blocks ``own`` by ``by`` and opens a block for every value.
+
+        Returns the suffixes that left the largest part of their block, and the places of new blocks. Whatever is told
+        apart by what stayed in the largest part is told apart by what left it, so only that is followed up.
+        """
+        sort = np.argsort(own.astype(np.int64) * self.n + by)
+        members, by = self.order[at][sort], by[sort]
+        cutting = np.concatenate([[True], (own[1:] != own[:-1]) | (by[1:] != by[:-1])])
+        heads = at[cutting]
+        size = np.diff(np.append(np.flatnonzero(cutting), len(at)))
+        self.order[at] = members
+        self.block[members] = np.repeat(heads, size)
+        self.sizes[heads] = size
+        part_own = own[cutting]
+        first = np.flatnonzero(np.concatenate([[True], part_own[1:] != part_own[:-1]]))
+        parts = np.diff(np.append(first, len(size)))
+        largest = np.repeat(np.maximum.reduceat(size, first), parts) == size
+        seen = np.cumsum(largest)
+        largest &= seen == np.repeat(seen[first] - largest[first] + 1, parts)  # one among equals
+        return members[np.repeat(~largest, size)], heads[self.common[heads] < 0]
+
+    def _places(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All places of the blocks, and the block of each."""
+        size = self.sizes[blocks].astype(np.int64)
+        own = np.repeat(blocks, size)
+        return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + own, own
 
     def refine(self, depth: int) -> None:
-        """One letter deeper a round, from blocks of equal first letters, until blocks share ``depth`` letters."""
+        """Splits blocks until they share ``depth`` letters: the first rounds a few letters deeper, later ones by one.
+
+        A round of one letter looks only at blocks with members whose followers were split in the round before.
+        """
+        step = self.packed
+        if depth < step:  # as deep as one packed number: cut it short
+            keep = np.int64(-1) << np.int64(self.room + 8 * (step - depth))
+            ended = self._letters(np.arange(self.n), np.arange(self.n)) < depth
+            key = np.where(ended, self.key, self.key & keep)
+            self.order = np.argsort(key).astype(np.int32)
+            ordered = key[self.order]
+            self.rank[self.order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+        at, own = np.arange(self.n), np.zeros(self.n, np.int32)
+        _, new = self._split(at, own, self.rank[self.order])
+        self.common[new[1:]] = self._letters(self.order[new[1:] - 1], self.order[new[1:]])
+        self.common[0] = 0
+        shared, ahead = step, self.ahead
+        while shared + step <= min(depth, 3 * step):
+            at, own = self._places(np.flatnonzero(self.sizes > 1))
+            if not len(at):
+                return
+            _, new = self._split(at, own, self.rank[ahead[self.order[at]]])
+            self.common[new] = shared + self._letters(ahead[self.order[new - 1]], ahead[self.order[new]])
+            ahead = np.where(ahead >= 0, self.ahead[np.maximum(ahead, 0)], -1)
+            shared += step
         touched = np.arange(self.n)
-        for shared in range(1, depth):
+        for deep in range(shared, depth):
             ask = self.before[touched]
-            ask = ask[ask >= 0]
-            blocks = np.unique(self.block[ask])
-            blocks = blocks[self.sizes[blocks] > 1]
-            if not len(blocks):
-                break
-            size = self.sizes[blocks]
-            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(blocks, size)
-            members = self.order[at]
-            own = np.repeat(blocks, size)
-            follow = self.block[self.after[members]]
-            # the members of a block are ordered by what follows their first letter
-            sort = np.argsort(own.astype(np.int64) * self.n + follow)
-            members, follow = members[sort], follow[sort]
-            cutting = np.concatenate([[True], (own[1:] != own[:-1]) | (follow[1:] != follow[:-1])])
-            heads = at[cutting]
-            new = np.diff(np.append(np.flatnonzero(cutting), len(at)))
-            self.order[at] = members
-            old = self.block[members]
-            fresh = np.repeat(heads, new)
-            self.block[members] = fresh
-            self.sizes[heads] = new
-            inner = heads[self.common[heads] < 0]
-            self.common[inner] = shared
-            touched = members[old != fresh]
-            if not len(touched):
-                break
+            blocks = np.unique(self.block[ask[ask >= 0]])
+            at, own = self._places(blocks[self.sizes[blocks] > 1])
+            if not len(at):
+                return
+            touched, new = self._split(at, own, self.block[self.after[self.order[at]]])
+            self.common[new] = deep
 
 
 def repeated_starts(shards: list[tuple[np.ndarray, np.ndarray]], length: int) -> dict[int, np.ndarray]:

@@ -395,6 +395,21 @@ def test_merged_transforms(texts, shards, length):
         assert found[i].tolist() == [len(t[k:k + length]) == length and seen[t[k:k + length]] > 1 for k in range(len(t))]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("ab", min_size=1, max_size=40), min_size=1, max_size=7), st.integers(1, 3))
+def test_merged_order_and_common_prefixes(texts, shards):
+    parts = [p for i in range(shards) if (p := [t.encode() for t in texts[i::shards]])]
+    merge = suffix_dedup.Merge([suffix_dedup.transform(p) for p in parts])
+    merge.refine(1000)
+    # windows end in letters of their own, lower than any other and in the order of shards and windows
+    flat = [[(1, c) for c in t] + [(0, i)] for i, t in enumerate(t for p in parts for t in p)]
+    suffixes = sorted(t[i:] for t in flat for i in range(len(t)))
+    want = [0] + [sum(1 for _ in itertools.takewhile(lambda p: p[0] == p[1], zip(a, b, strict=False)))
+                  for a, b in itertools.pairwise(suffixes)]
+    assert merge.common.tolist() == want
+    assert (merge.sizes == 1).all()
+
+
 # 7
 
 
