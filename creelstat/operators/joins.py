@@ -56,9 +56,9 @@ def attach_responses(responses: DataFrame, registry: DataFrame, key: str = "surv
 def raw_join(registry: DataFrame, responses: DataFrame, null_keys: bool = False) -> DataFrame:
     """Every registry row and every response, side by side where the access key agrees.
 
-    Built as a left join plus the responses that match nothing: unlike a full outer join, both halves
-    let adaptive execution split a hot key. Rows without a key match nothing, so they skip the joins
-    rather than meet in one task. ``null_keys`` also pairs NULL keys with NULL keys; its
+    Built as a left join of the responses plus the registry rows that match nothing: the responses, of which one key
+    may have many, are on the side that adaptive execution splits. Rows without a key match nothing, so they skip the
+    joins rather than meet in one task. ``null_keys`` also pairs NULL keys with NULL keys; its
     result grows with the product of the two NULL-key counts, so look at ``null_key_counts`` first.
     """
     key = "survey_access_key"
@@ -70,9 +70,10 @@ def raw_join(registry: DataFrame, responses: DataFrame, null_keys: bool = False)
         return full_join_ns(registry, responses, [key])
 
     keyed, loose = registry.where(F.col(key).isNotNull()), registry.where(F.col(key).isNull())
-    left = keyed.join(responses, key, "left").select(*registry.columns, *own)
-    unmatched = responses.where(F.col(key).isNotNull()).join(keyed.select(key).distinct(), key, "left_anti")
-    return union_aligned(left, loose, unmatched, responses.where(F.col(key).isNull()))
+    asked = responses.where(F.col(key).isNotNull())
+    left = asked.join(keyed, key, "left").select(*registry.columns, *own)
+    unmatched = keyed.join(asked.select(key).distinct(), key, "left_anti")
+    return union_aligned(left, unmatched, loose, responses.where(F.col(key).isNull()))
 
 
 def null_key_counts(registry: DataFrame, responses: DataFrame) -> DataFrame:

@@ -117,6 +117,18 @@ def empty_input(df: DataFrame, name: str) -> DataFrame:
     return _violations(counted, "empty_input", ERROR, F.lit(name), "no rows")
 
 
+def unread_values(values: DataFrame, source: str) -> DataFrame:
+    """Text of a source, as (column, value), that should be a date or a number and isn't."""
+    detail = F.concat(F.lit(f"{source}: "), "column", F.lit(" can't be read"))
+    return _violations(values, "unread_value", ERROR, F.col("value"), detail)
+
+
+def missing_licence_ids(registry: DataFrame) -> DataFrame:
+    """Licences without an id of their own, which would count as one."""
+    bad = registry.where(F.col("licence_id").isNull()).select("full_licence_id").distinct()
+    return _violations(bad, "missing_licence_id", ERROR, F.col("full_licence_id"), "no licence id")
+
+
 def catch_without_area(sums: DataFrame, measures: Sequence[str] | None = None) -> DataFrame:
     """Catch or effort in cells without an area."""
     names = measure_cols(sums) if measures is None else measures

@@ -10,6 +10,7 @@ from ..domains import (
     ADULT, ADULT_OR_SENIOR, ANNUAL, FIVE_DAYS, NON_RESIDENT, ONE_DAY, RESIDENT, SENIOR, THREE_DAYS,
     UNSOLD_FISHER_ID,
 )
+from ..functions.conform import to_integer
 
 # Letters of the licence category code, and extra days a term licence runs.
 RESIDENCY_CODES = {"R": RESIDENT, "N": NON_RESIDENT}
@@ -36,8 +37,10 @@ def term_length(code: Column) -> Column:
 
 def short_id(full_id: Column) -> Column:
     """Number in the fourth part of a licence id, or the whole id when it has fewer parts."""
-    parts = F.split(full_id, "-")
-    return F.when(F.size(parts) >= 4, F.get(parts, F.lit(3)).try_cast("int").cast("string")).otherwise(full_id)
+    parts = F.split(F.regexp_replace(full_id, "-+$", ""), "-")  # empty parts at the end don't count
+    number = F.get(parts, F.lit(3))
+    whole = F.coalesce(number.try_cast("bigint"), to_integer(number, "bigint"))
+    return F.when(F.size(parts) >= 4, whole.cast("string")).otherwise(full_id)
 
 
 def fix_start(df: DataFrame) -> DataFrame:

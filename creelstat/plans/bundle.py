@@ -59,12 +59,12 @@ def stacked_tables(bundle: Bundle, periods: Sequence[SurveyPeriod]) -> dict[str,
     return {n: t if n == "log" else stack_periods(t, periods) for n, t in tables.items()}
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> None:
-    """Checkpoints go to the folder the cluster names; a folder of our own is only for local sessions."""
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoints go to the folder the cluster names."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
-    shared = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
         raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
     context.setCheckpointDir(shared)

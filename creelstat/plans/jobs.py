@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 
 from .. import sinks
 from ..config import LicenceYear, SurveyPeriod, calendar_frame
-from ..domains import FIRST_INSTANT_YEAR, SURVEY, measure_cols
+from ..domains import FIRST_INSTANT_YEAR, SURVEY, measure_cols, size_col
 from ..functions.text import ascii_fold
 from ..operators import quality as dq
-from ..operators.joins import attach_inner, attach_responses, raw_join, union_aligned
+from ..operators.joins import attach_inner, attach_responses, drop_excluded, raw_join, union_aligned
 from ..operators.registry import clean_registry
-from ..operators.responses import VALID_FISHING_CODES, Labels, drop_pii, load_responses, response_key
+from ..operators.responses import (
+    LEGACY_MEASURE_LETTER, LEGACY_NAMES, VALID_FISHING_CODES, Labels, clean_key, drop_pii, load_responses, response_key,
+)
 from ..operators.strata import CALENDAR_COLUMNS, eligible, stamp_flag
-from ..sources import read_adjustments, read_exclude, read_registry, read_responses, read_vendor_sales
-from .bundle import Bundle, checkpointed, ensure_checkpoint_dir, stacked_tables
+from ..sources import (
+    normalise_registry, read_adjustments, read_exclude, read_registry_source, read_responses, read_vendor_sales,
+    unread_dates, unread_numbers, unread_sales,
+)
+from .bundle import ESTIMATES, Bundle, checkpointed, ensure_checkpoint_dir, stacked_tables
 from .estimators import estimate_inst, estimate_prepost
 
 
@@ -46,9 +51,13 @@ class JobConfig:
 
 def load_registry(spark: SparkSession, cfg: JobConfig) -> tuple[DataFrame, DataFrame]:
     """The cleaned registry and what its checks found."""
-    raw = read_registry(spark, cfg.registry, cfg.registry_format)
+    source = read_registry_source(spark, cfg.registry, cfg.registry_format)
+    raw = normalise_registry(source)
     clean = clean_registry(raw, cfg.year)
-    return clean, union_aligned(dq.registry_counts(raw, cfg.year), dq.category_codes(clean))
+    return clean, union_aligned(
+        dq.unread_values(unread_dates(source), "registry"), dq.registry_counts(raw, cfg.year),
+        dq.category_codes(clean), dq.empty_input(clean, "cleaned registry"), dq.missing_licence_ids(clean),
+    )
 
 
 def _find_responses(spark: SparkSession, cfg: JobConfig, period: SurveyPeriod) -> DataFrame | None:
@@ -75,8 +84,12 @@ def _load_survey(
     lower = raw.toDF(*(c.lower() for c in raw.columns))
     key = "licence_id" if "licence_id" in lower.columns else "surveykey"
     found = [dq.empty_input(raw, period.survey_id), dq.missing_key_ratio(lower, key)]
+    measures = measure_cols(lower) if period.modern_responses else [
+        c for c in raw.columns if c.startswith(LEGACY_MEASURE_LETTER) and c not in LEGACY_NAMES
+    ]
+    found.append(dq.unread_values(unread_numbers(lower if period.modern_responses else raw, measures), "responses"))
     if period.modern_responses:
-        keyed = lower.where(F.col(key).isNotNull())
+        keyed = drop_excluded(clean_key(lower, key), exclude, key)
         found.append(dq.domain(keyed, "didnotfish", VALID_FISHING_CODES))
         found.append(dq.completion(keyed))
     if adjustments is not None:
@@ -86,8 +99,15 @@ def _load_survey(
     return loaded, union_aligned(*found)
 
 
-def load_surveys(spark: SparkSession, cfg: JobConfig) -> tuple[list[SurveyPeriod], DataFrame, DataFrame]:
-    """Surveys that have responses, those responses stacked, and what the checks found."""
+Unasked = dict[str, list[str]]
+
+
+def load_surveys(
+    spark: SparkSession, cfg: JobConfig
+) -> tuple[list[SurveyPeriod], DataFrame, DataFrame, Unasked]:
+    """Surveys that have responses, those responses stacked, what the checks found, and by measure the surveys that
+    did not ask it. Such measures are zero while they are counted; ``withhold`` takes them out of the results.
+    """
     exclude = read_exclude(spark, cfg.exclude)
     present, frames, found = [], [], []
     for period in cfg.periods:
@@ -102,33 +122,63 @@ def load_surveys(spark: SparkSession, cfg: JobConfig) -> tuple[list[SurveyPeriod
     if not frames:
         raise ValueError("No survey data for any period.")
     asked = list(dict.fromkeys(m for frame in frames for m in measure_cols(frame)))
+    unasked: Unasked = {}
     for i, (period, frame) in enumerate(zip(present, frames)):
         for measure in (m for m in asked if m not in frame.columns):
             found.append(dq.message(spark, "missing_measure", dq.WARNING, period.survey_id, measure))
             frames[i] = frames[i].withColumn(measure, F.lit(0))
-    return present, union_aligned(*frames), union_aligned(*found)
+            unasked.setdefault(measure, []).append(period.survey_id)
+    return present, union_aligned(*frames), union_aligned(*found), unasked
+
+
+def withhold(df: DataFrame, unasked: Unasked) -> DataFrame:
+    """NULL in the columns of a measure, and of its sample size, for the surveys that did not ask it."""
+    return df.withColumns({
+        c: F.when(~F.col(SURVEY).isin(surveys), F.col(c))
+        for measure, surveys in unasked.items() for c in (measure, size_col(measure)) if c in df.columns
+    })
+
+
+def _publish_and_enforce(cfg: JobConfig, fatal: DataFrame, everything: DataFrame | None = None) -> None:
+    """Stop at errors, with every violation written whole first. Without errors only ``everything`` is written."""
+    try:
+        dq.enforce(fatal)
+    except dq.QualityError:
+        sinks.write_table(fatal if everything is None else everything, f"{cfg.output}/violations", cfg.output_format)
+        raise
+    if everything is not None:
+        sinks.write_table(everything, f"{cfg.output}/violations", cfg.output_format)
 
 
 def run(spark: SparkSession, cfg: JobConfig) -> Bundle:
-    """Load and estimate, with the small tables checkpointed so that all results share one pass."""
+    """Load and estimate, with the small tables checkpointed so that all results share one pass.
+
+    All violations with all their keys go to the dataset ``violations`` of the output before an error stops the job;
+    the log keeps a short form.
+    """
     ensure_checkpoint_dir(spark)
     registry, registry_findings = load_registry(spark, cfg)
-    periods, responses, response_findings = load_surveys(spark, cfg)
+    periods, responses, response_findings, unasked = load_surveys(spark, cfg)
     calendar = calendar_frame(spark, cfg.year, periods)
     calendar_findings = union_aligned(dq.period_same_month(calendar), dq.split_date_in_year(calendar))
     before = union_aligned(registry_findings, response_findings, calendar_findings)
     before = checkpointed(before)
-    dq.enforce(before)
+    _publish_and_enforce(cfg, before)
 
     if cfg.year.start.year < FIRST_INSTANT_YEAR:
         if cfg.vendor_sales is None:
             raise ValueError("A vendor sales file must exist.")
         vendor = read_vendor_sales(spark, cfg.vendor_sales)
-        dq.enforce(union_aligned(*(dq.vendor_months(vendor, p.month_name, cfg.year) for p in periods)))
+        _publish_and_enforce(cfg, checkpointed(union_aligned(
+            before, dq.unread_values(unread_sales(spark, cfg.vendor_sales), "vendor sales"),
+            *(dq.vendor_months(vendor, p.month_name, cfg.year) for p in periods),
+        )))
         bundle = estimate_prepost(periods, registry, responses, vendor, cfg.year, checkpointed)
     else:
         bundle = estimate_inst(periods, registry, responses, keep=checkpointed)
-    dq.enforce(bundle.violations)
+    _publish_and_enforce(cfg, bundle.violations, union_aligned(before, bundle.violations))
+    for name in ESTIMATES[1:] if unasked else ():  # the first, the population, has no measures
+        setattr(bundle, name, withhold(getattr(bundle, name), unasked))
     log = dq.diagnostics(before, bundle.violations)
     bundle.log = log.withColumns({c: ascii_fold(F.col(c)) for c in ("detail", "sample")})
     return bundle

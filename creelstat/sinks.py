@@ -14,7 +14,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", by: list[str] |
     if by:
         writer = writer.partitionBy(*by)
     if fmt == "csv":
-        writer.csv(path, header=True, nullValue="", emptyValue="")
+        writer.csv(path, header=True, nullValue="", emptyValue="", escape='"')
     else:
         writer.format(fmt).save(path)
 
@@ -24,8 +24,22 @@ def write_csv(df: DataFrame, path: str) -> None:
     write_table(df, path, "csv")
 
 
+def _check_free(tables: Mapping[str, DataFrame], path: str) -> None:
+    """Raises before anything is written if one of the datasets exists already."""
+    taken = [name for name, table in tables.items() if _exists(table, f"{path}/{name}")]
+    if taken:
+        raise FileExistsError(f"{path} already exists with {', '.join(taken)}; results are never overwritten")
+
+
+def _exists(df: DataFrame, path: str) -> bool:
+    session = df.sparkSession
+    place = session._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(session._jsc.hadoopConfiguration()).exists(place)
+
+
 def write_bundle(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet") -> list[str]:
     """One dataset per result table below ``path``; returns where they went."""
+    _check_free(tables, path)
     written = []
     for name, table in tables.items():
         written.append(f"{path}/{name}")
@@ -35,6 +49,7 @@ def write_bundle(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet
 
 def write_annual(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet") -> list[str]:
     """Like ``write_bundle`` for tables tagged with their month; files are laid out by year and month."""
+    _check_free(tables, path)
     written = []
     for name, table in tables.items():
         written.append(f"{path}/{name}")

@@ -24,7 +24,7 @@ from creelstat.operators import quality as dq
 from creelstat.operators import registry as reg
 from creelstat.operators import responses as resp
 from creelstat.plans import estimate_inst, estimate_prepost, export_responses, raw_export
-from creelstat.plans.bundle import stack_periods
+from creelstat.plans.bundle import ensure_checkpoint_dir, stack_periods
 from creelstat.sources import normalise_exclude, normalise_registry, read_registry
 
 from .fixtures import DRAW_JULY, DRAW_YEAR, JULY, LABELS, MONTHLY, YEAR, Fixture
@@ -72,7 +72,7 @@ def src_registry_jdbc(fx):
         (F.col("o_orderdate") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))).alias("PURCHASE_DTT"),
         F.col("o_orderdate").alias("START_DT"),
     )
-    zoned = normalise_registry(rows, source_zone="-05:00", zone="UTC")
+    zoned = normalise_registry(rows, source_zone="-05:00", zone="UTC", partial=True)
     return zoned.select("full_licence_id", "start_date", "purchase_date", "lic_year")
 
 
@@ -803,9 +803,11 @@ def job_parse_id_list(fx):
 
 def _scratch(fx: Fixture) -> str:
     """A new folder next to the session's checkpoints, which all executors share."""
-    shared = fx.spark.sparkContext.getCheckpointDir() or fx.spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        shared = tempfile.mkdtemp(prefix="sink-")
+    context = fx.spark.sparkContext
+    if context.getCheckpointDir() is None and context.master.startswith("local["):  # one machine, as in tests
+        context.setCheckpointDir(fx.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sink-"))
+    ensure_checkpoint_dir(fx.spark)
+    shared = context.getCheckpointDir()
     return f"{shared}/sink-{fx.spark.sql('select uuid() as u').first().u}"
 
 
