@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from creelstat import sinks
 from creelstat.domains import (
-    AREA_METHOD, DRAW_STRATA, DRAW_SUM_CELLS, PERIOD_STRATA, SURVEY, measure_cols, sample_cols,
+    AREA_METHOD, DRAW_STRATA, DRAW_SUM_CELLS, PERIOD_STRATA, SENIOR, SURVEY, measure_cols, sample_cols,
 )
 from creelstat.functions import (
     ascii_fold, licence_year_end, licence_year_start, licence_year_text, month_end, parse_date, yes_no,
@@ -619,10 +619,11 @@ def dq_catch_without_area(fx):
 
 @query("dq_nonpositive_sample")
 def dq_nonpositive_sample(fx):
-    """Sizes from guided respondents only, cells from all."""
+    """Sizes from guided respondents below the senior age only, cells from all."""
     joined = _july_joined(fx)
     sizes = est.sample_sizes(
-        joined.where((F.col("lodge") == "Yes") & (F.col("guided") == "Yes")), "survey_access_key", PERIOD_STRATA
+        joined.where((F.col("lodge") == "Yes") & (F.col("guided") == "Yes") & (F.col("age_category") != SENIOR)),
+        "survey_access_key", PERIOD_STRATA,
     )
     cells = est.cell_sums(joined, PERIOD_STRATA, AREA_METHOD)
     return dq.nonpositive_sample(cells, sizes, PERIOD_STRATA, MEASURES)

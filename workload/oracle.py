@@ -538,7 +538,8 @@ FROM (SELECT licence_type, full_licence_id, count(*) OVER (PARTITION BY licence_
     ),
     "dq_nonpositive_sample": " UNION ALL ".join(
         violation("nonpositive_sample", "ERROR", f"concat_ws(', ', {c(STRATA)})", f"'{m}'",
-                  f"(SELECT DISTINCT {c(STRATA)} FROM joined EXCEPT SELECT {c(STRATA)} FROM joined WHERE lodge = 'Yes' AND guided = 'Yes')")
+                  f"(SELECT DISTINCT {c(STRATA)} FROM joined EXCEPT SELECT {c(STRATA)} FROM joined WHERE lodge = 'Yes' AND guided = 'Yes' "
+                  "AND age_category <> 'Senior (65+)')")
         for m in M
     ),
     "dq_unknown_ids": violation(
