@@ -29,7 +29,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 1_000_000
+from .common import small_batches
+
+CACHE = 700_000
 PAIRS = 300_000
 #: Characters of text split into words at a time.
 PART = 1_000_000
@@ -244,6 +246,8 @@ def tokenizer(path: str) -> Tokenizer:
 
 def encode_texts(documents: DataFrame, path: str, text: str = "text", name: str = "ids") -> DataFrame:
     """All columns of documents and the ids of the text, as little-endian 32-bit numbers in a binary column."""
+    small_batches(documents.sparkSession)
+
     @F.pandas_udf("binary")
     def encode(texts: pd.Series) -> pd.Series:
         return pd.Series(tokenizer(path).encode([t or "" for t in texts]), dtype=object)
@@ -253,6 +257,8 @@ def encode_texts(documents: DataFrame, path: str, text: str = "text", name: str
 
 def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """All columns and the text of the ids."""
+    small_batches(encoded.sparkSession)
+
     @F.pandas_udf("string")
     def decode(values: pd.Series) -> pd.Series:
         return pd.Series([tokenizer(path).decode(bytes(v)) for v in values], dtype=object)

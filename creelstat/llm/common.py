@@ -41,6 +41,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Lets Spark hand Python whole texts a few at a time: ten thousand long ones at once don't fit a worker.
+
+    It lowers the session's setting and never raises it.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value computed once a row, however often and wherever the body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, pick
+from .common import checkpointed, pick, small_batches
 from .url_filter import split_url
 
 BROADCAST_HOSTS = 200_000
@@ -260,6 +260,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
     def votes_of(htmls: pd.Series) -> pd.Series:
         return pd.Series([page_votes(x) for x in htmls], dtype=object)
 
+    small_batches(pages.sparkSession)
     host, _ = split_url(F.col("url"))
     votes = pick(pages, "url", "html").select(host.alias("host"), F.explode(votes_of("html")).alias("v"))
     sums = votes.groupBy("host", "v.path").agg(F.round(F.sum("v.vote"), 6).alias("votes"))

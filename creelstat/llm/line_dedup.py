@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, pick, stored
+from .common import pick, small_batches, stored
 
 GROUP_ROWS = 200_000
 KEYS = ("hi", "lo")
@@ -145,6 +145,7 @@ def references(documents: DataFrame, shortest: int) -> DataFrame:
                 names=["doc_id", *KEYS],
             )
 
+    small_batches(documents.sparkSession)
     docs = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(keys, "doc_id long, hi long, lo long")
 
@@ -252,6 +253,7 @@ class LineIndex:
     def apply(self, documents: DataFrame) -> DataFrame:
         """All columns of documents, in ``row``, with line_text, n_lines and n_dropped beside it."""
         shortest = self.shortest
+        small_batches(documents.sparkSession)
 
         @F.pandas_udf("line_text string, n_lines long, n_dropped long")
         def cleaned(text: pd.Series, keys: pd.Series) -> pd.DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, pick, stored
+from .common import checkpointed, pick, small_batches, stored
 from .components import components
 
 BITS = 64
@@ -86,6 +86,8 @@ def fingerprint(text: str | None, size: int) -> int:
 
 def fingerprints(documents: DataFrame, size: int = 4, lanes: int = 1, text: str = "text") -> DataFrame:
     """All columns of documents and ``sketch``, the SimHashes as an array of signed numbers."""
+    small_batches(documents.sparkSession)
+
     @F.pandas_udf("array<long>")
     def hashed(texts: pd.Series) -> pd.Series:
         return pd.Series([sketch(shingle_hashes(t, size), lanes).view(np.int64) for t in texts], dtype=object)

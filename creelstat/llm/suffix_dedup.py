@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import pick, small_batches, stored
 
 LENGTH = 400
 GRAM = 200
@@ -475,6 +475,7 @@ def dedup_substrings(documents: DataFrame, length: int = LENGTH, gram: int = GRA
     rows = pick(documents, "doc_id", "text").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text"
     )
+    small_batches(documents.sparkSession)
     found = repeated_ranges(rows, length, gram)
 
     @F.pandas_udf("kept binary, n_bytes long, n_removed long, n_spans long, spans array<struct<a: int, b: int>>")

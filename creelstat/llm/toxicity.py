@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import pick, small_batches, stored
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = dict(zip(
@@ -172,6 +172,7 @@ def learn(
     words around a term becomes an exception if ``support`` clean texts hold it and no larger share of toxic ones.
     Labels that are NULL, or belong to no document, count for nothing; a document labelled both ways is toxic.
     """
+    small_batches(documents.sparkSession)
     known = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
         (F.max("toxic") > 0).alias("toxic")
     )
@@ -242,6 +243,8 @@ def _chosen(weight: dict[str, float], texts: dict[str, int]) -> dict[str, float]
 
 def score_texts(documents: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """All columns of documents and the score, from 0 to 1; a column of that name is replaced."""
+    small_batches(documents.sparkSession)
+
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series([model.score(t) for t in texts], dtype="float64")
