@@ -102,6 +102,13 @@ def drop_excluded(responses: DataFrame, exclude: DataFrame | None, key: str) ->
     return responses.join(ids, key, "left_anti")
 
 
+def keep_excluded(responses: DataFrame, exclude: DataFrame, key: str) -> DataFrame:
+    """The responses that ``drop_excluded`` drops."""
+    listed = "licence_id" if "licence_id" in exclude.columns else "survey_access_key"
+    ids = exclude.select(F.col(listed).cast("string").alias(key)).where(F.col(key).isNotNull()).distinct()
+    return responses.join(ids, key, "left_semi")
+
+
 def drop_invalid_keys(df: DataFrame, key: str = "survey_access_key") -> DataFrame:
     """Drop every response of a key that has no registry match."""
     keys = [c for c in (SURVEY,) if c in df.columns] + [key]

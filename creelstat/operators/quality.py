@@ -117,6 +117,12 @@ def empty_input(df: DataFrame, name: str) -> DataFrame:
     return _violations(counted, "empty_input", ERROR, F.lit(name), "no rows")
 
 
+def counted(df: DataFrame, check: str, key: str, detail: str) -> DataFrame:
+    """How many rows there are, for the record; nothing if there are none."""
+    n = df.agg(F.count("*").alias("n")).where(F.col("n") > 0)
+    return _violations(n, check, INFO, F.lit(key), F.concat_ws(" ", F.col("n").cast("string"), F.lit(detail)))
+
+
 def unread_values(values: DataFrame, source: str) -> DataFrame:
     """Text of a source, as (column, value), that should be a date or a number and isn't."""
     detail = F.concat(F.lit(f"{source}: "), "column", F.lit(" can't be read"))

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from .. import sinks
 from ..config import LicenceYear, SurveyPeriod, calendar_frame
-from ..domains import FIRST_INSTANT_YEAR, SURVEY, measure_cols, size_col
-from ..functions.text import ascii_fold
+from ..domains import COMPLETE, FIRST_INSTANT_YEAR, SURVEY, measure_cols, size_col
+from ..functions.text import ascii_fold, strip
 from ..operators import quality as dq
-from ..operators.joins import attach_inner, attach_responses, drop_excluded, raw_join, union_aligned
+from ..operators.joins import attach_inner, attach_responses, drop_excluded, keep_excluded, raw_join, union_aligned
 from ..operators.registry import clean_registry
 from ..operators.responses import (
     LEGACY_MEASURE_LETTER, LEGACY_NAMES, VALID_FISHING_CODES, Labels, clean_key, drop_pii, load_responses, response_key,
@@ -76,7 +76,8 @@ def _load_survey(
     spark: SparkSession, cfg: JobConfig, period: SurveyPeriod, raw: DataFrame, exclude: DataFrame | None
 ) -> tuple[DataFrame, DataFrame]:
     raw = raw.withColumn(SURVEY, F.lit(period.survey_id))
-    adjustments = read_adjustments(spark, cfg.adjustments.get(period.survey_id))
+    adjusted = cfg.adjustments.get(period.survey_id)
+    adjustments = read_adjustments(spark, adjusted)
     if adjustments is not None:
         adjustments = adjustments.withColumn(SURVEY, F.lit(period.survey_id))
     loaded = load_responses(raw, period.modern_responses, cfg.labels, exclude, adjustments)
@@ -84,12 +85,23 @@ def _load_survey(
     lower = raw.toDF(*(c.lower() for c in raw.columns))
     key = "licence_id" if "licence_id" in lower.columns else "surveykey"
     found = [dq.empty_input(raw, period.survey_id), dq.missing_key_ratio(lower, key)]
+    if adjusted and adjustments is None:
+        found.append(dq.message(spark, "no_adjustments", dq.WARNING, period.survey_id, "no adjusted rows at the given path"))
     measures = measure_cols(lower) if period.modern_responses else [
         c for c in raw.columns if c.startswith(LEGACY_MEASURE_LETTER) and c not in LEGACY_NAMES
     ]
     found.append(dq.unread_values(unread_numbers(lower if period.modern_responses else raw, measures), "responses"))
     if period.modern_responses:
-        keyed = drop_excluded(clean_key(lower, key), exclude, key)
+        named = clean_key(lower, key)
+        keyed = drop_excluded(named, exclude, key)
+        if exclude is not None:
+            found.append(dq.counted(
+                keep_excluded(named, exclude, key), "excluded_responses", period.survey_id, "rows of excluded keys"
+            ))
+        unfinished = ~F.coalesce(strip(F.col("completesurvey")) == COMPLETE, F.lit(False))
+        found.append(dq.counted(
+            keyed.where(unfinished), "incomplete_responses", period.survey_id, "rows of surveys not completed"
+        ))
         found.append(dq.domain(keyed, "didnotfish", VALID_FISHING_CODES))
         found.append(dq.completion(keyed))
     if adjustments is not None:
@@ -110,6 +122,8 @@ def load_surveys(
     """
     exclude = read_exclude(spark, cfg.exclude)
     present, frames, found = [], [], []
+    if exclude is None:
+        found.append(dq.message(spark, "no_exclusions", dq.WARNING, cfg.exclude or "(none)", "nobody is excluded"))
     for period in cfg.periods:
         raw = _find_responses(spark, cfg, period)
         if raw is None:
