@@ -84,6 +84,28 @@ def fingerprint(text: str | None, size: int) -> int:
     return int(sketch(shingle_hashes(text, size))[0])
 
 
+def set_hash(distinct: np.ndarray) -> int:
+    """A signed number for a set of shingles, given their sorted distinct hashes."""
+    return int(np.array([xxhash.xxh64_intdigest(distinct.tobytes(), SEED)], np.uint64).view(np.int64)[0])
+
+
+def set_sketches(documents: DataFrame, size: int, lanes: int, text: str = "text") -> DataFrame:
+    """All columns of documents, ``sketch`` of the distinct shingles, and ``node``, a number for the set of them."""
+    small_batches(documents.sparkSession)
+
+    @F.pandas_udf("sketch array<long>, node long")
+    def hashed(texts: pd.Series) -> pd.DataFrame:
+        sketches = [sketch(shingle_hashes(t, size), lanes) for t in texts]
+        return pd.DataFrame({
+            "sketch": pd.Series([x.view(np.int64) for x in sketches], dtype=object),
+            "node": pd.Series([set_hash(x) for x in sketches], dtype="int64"),
+        })
+
+    return documents.withColumn("__set", hashed(F.col(f"`{text}`"))).select(
+        *[F.col(f"`{c}`") for c in documents.columns], "__set.sketch", "__set.node"
+    )
+
+
 def fingerprints(documents: DataFrame, size: int = 4, lanes: int = 1, text: str = "text") -> DataFrame:
     """All columns of documents and ``sketch``, the SimHashes as an array of signed numbers."""
     small_batches(documents.sparkSession)
@@ -122,6 +144,19 @@ class Forest:
             high, low = np.maximum(a, b), np.minimum(a, b)
             np.minimum.at(self.parent, high, low)
 
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Unites a[i] with b[i], for all i; the places i of those pairs that joined two trees."""
+        left, out = np.arange(len(a)), []
+        while True:
+            x, y = self.roots(a[left]), self.roots(b[left])
+            apart = x != y
+            left, x, y = left[apart], x[apart], y[apart]
+            if not len(left):
+                return np.concatenate([*out, left])
+            high, at = np.unique(np.maximum(x, y), return_index=True)
+            self.parent[high] = np.minimum(x, y)[at]
+            out.append(left[at])
+
 
 def walk(own: np.ndarray, other: np.ndarray | None, depth: int, spent: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between sorted distinct fingerprints (uint64) that share their first ``depth`` bits on each side.
@@ -131,10 +166,29 @@ def walk(own: np.ndarray, other: np.ndarray | None, depth: int, spent: int, budg
     """
     fps = own if other is None else np.concatenate([own, other])
     forest = Forest(len(fps))
-    first = 0 if other is None else len(own)
+    for sure, ends in _descend(fps, None if other is None else len(own), depth, spent, budget):
+        if sure:
+            _chain(forest, *ends)
+        else:
+            for x, y in _leaves(fps, *ends, budget):
+                forest.link(x, y)
+    at = np.arange(len(fps))
+    roots = forest.roots(at)
+    moved = roots != at
+    return fps[at[moved]], fps[roots[moved]]
+
+
+def _descend(fps: np.ndarray, first: int | None, depth: int, spent: int, budget: int, settled=None):
+    """(sure, (a, a_end, b, b_end)): pairs of ranges of fps, in bounded slices, that hold all pairs within the budget.
+
+    fps are sorted within their block; equal ones are allowed. The second block begins at ``first``; None means pairs
+    within one block. Whatever lies in sure ranges is within the budget, the others hold LEAF fingerprints at most.
+    settled(a, a_end, b, b_end) marks the pairs of ranges that need no look.
+    """
+    own = len(fps) if first is None else first
     # a pair of nodes: [a, a_end) and [b, b_end) of fps, bits spent so far, depth
     todo = [(
-        np.array([0]), np.array([len(own)]), np.array([first]), np.array([len(fps)]), np.array([spent]), depth,
+        np.array([0]), np.array([own]), np.array([first or 0]), np.array([len(fps)]), np.array([spent]), depth,
     )]
     while todo:
         a, a_end, b, b_end, used, deep = todo.pop()
@@ -145,13 +199,16 @@ def walk(own: np.ndarray, other: np.ndarray | None, depth: int, spent: int, budg
                 tuple(x[:half] for x in (a, a_end, b, b_end, used)) + (deep,),
             ]
             continue
+        if settled is not None:
+            left = ~settled(a, a_end, b, b_end)
+            a, a_end, b, b_end, used = (x[left] for x in (a, a_end, b, b_end, used))
         rest = BITS - deep
         sure = used + rest <= budget  # whatever follows, these lie within the budget
         if sure.any():
-            _chain(forest, a[sure], a_end[sure], b[sure], b_end[sure])
+            yield True, (a[sure], a_end[sure], b[sure], b_end[sure])
         small = ~sure & ((a_end - a) <= LEAF) & ((b_end - b) <= LEAF)
         if small.any():
-            _compare(fps, forest, a[small], a_end[small], b[small], b_end[small], budget)
+            yield False, (a[small], a_end[small], b[small], b_end[small])
         more = ~sure & ~small
         if not more.any():
             continue
@@ -171,10 +228,92 @@ def walk(own: np.ndarray, other: np.ndarray | None, depth: int, spent: int, budg
             ok &= ~((x == y) & (x_end - x == 1))
             parts.append(tuple(v[ok] for v in (x, x_end, y, y_end, used + cost)))
         todo.append(tuple(np.concatenate(v) for v in zip(*parts, strict=True)) + (deep + 1,))
-    at = np.arange(len(fps))
-    roots = forest.roots(at)
-    moved = roots != at
-    return fps[at[moved]], fps[roots[moved]]
+
+
+class Likely:
+    """Pairs of places whose whole sketches differ in at most ``most`` bits.
+
+    Without trees, the pairs found are those that joined two trees of a forest, and pairs within one tree are passed
+    over. With trees, a number for each place, they are all pairs between different trees.
+    """
+
+    def __init__(self, sketches: np.ndarray, most: float, trees: np.ndarray | None = None):
+        self.sketches, self.most, self.frozen = sketches, most, trees is not None
+        self.forest = Forest(len(sketches))
+        if self.frozen:
+            _, head, inverse = np.unique(trees, return_index=True, return_inverse=True)
+            self.forest.parent = head[inverse]
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+        self.looks, self.state = None, None
+
+    def look(self, x: np.ndarray, y: np.ndarray) -> None:
+        apart = self.forest.roots(x) != self.forest.roots(y)
+        x, y = x[apart], y[apart]
+        bits = np.zeros(len(x), np.int64)
+        for lane in self.sketches.T:
+            bits += np.bitwise_count(lane[x] ^ lane[y])
+        near = bits <= self.most
+        x, y = x[near], y[near]
+        if not self.frozen:
+            at = self.forest.join(x, y)
+            x, y = x[at], y[at]
+        if len(x):
+            self.found.append((x, y))
+
+    def settled(self, a, a_end, b, b_end) -> np.ndarray:
+        """Which pairs of ranges lie in one tree; as of some looks ago, which stays true."""
+        size = len(self.sketches)
+        if self.looks is None or (self.looks >= size and not self.frozen):
+            roots = self.forest.roots(np.arange(size))
+            self.state, self.looks = (roots, np.cumsum(np.diff(roots, prepend=roots[:1]) != 0)), 0
+        self.looks += len(a)
+        roots, turns = self.state
+        return (roots[a] == roots[b]) & (turns[a] == turns[a_end - 1]) & (turns[b] == turns[b_end - 1])
+
+    def ranges(self, a, a_end, b, b_end) -> None:
+        """Looks at all pairs of both ranges of each pair."""
+        many = np.maximum(a_end - a, b_end - b) > LEAF
+        for x, y in _leaves(None, a[~many], a_end[~many], b[~many], b_end[~many], 0):
+            self.look(x, y)
+        for i in np.flatnonzero(many):
+            own, other = np.arange(a[i], a_end[i]), np.arange(b[i], b_end[i])
+            # tree by tree as they are now, without the others that have joined meanwhile
+            own_tree, other_tree = self.forest.roots(own), self.forest.roots(other)
+            for tree in np.unique(own_tree):
+                mine = own[own_tree == tree]
+                rest = other[other_tree > tree] if a[i] == b[i] else other
+                rest = rest[self.forest.roots(rest) != self.forest.roots(mine[:1])]
+                if not len(rest):
+                    continue
+                step = max(1, SLICE * LEAF // len(rest))
+                for k in range(0, len(mine), step):
+                    for j in range(0, len(rest), SLICE * LEAF):
+                        x, y = mine[k:k + step], rest[j:j + SLICE * LEAF]
+                        self.look(np.repeat(x, len(y)), np.tile(y, len(x)))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        x, y = map(np.concatenate, zip(*self.found, strict=True))
+        return x, y
+
+
+def walk_likely(
+    fps: np.ndarray, first: int | None, depth: int, spent: int, budget: int, sketches: np.ndarray, most: float,
+    trees: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places within the budget by fps and within most bits by sketches, as Likely tells them."""
+    likely = Likely(sketches, most, trees)
+    if trees is None:  # large groups of near copies become one tree before their pairs are walked
+        for step in (1, 2, 3):
+            likely.look(np.arange(len(fps) - step), np.arange(step, len(fps)))
+    for sure, ends in _descend(fps, first, depth, spent, budget, likely.settled):
+        if sure:
+            likely.ranges(*ends)
+        else:
+            for x, y in _leaves(fps, *ends, budget):
+                likely.look(x, y)
+    return likely.pairs()
 
 
 def _split(fps: np.ndarray, start: np.ndarray, end: np.ndarray, bit: np.uint64) -> np.ndarray:
@@ -199,32 +338,44 @@ def _chain(forest: Forest, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_en
     forest.link(a, b)
 
 
-def _compare(fps, forest: Forest, a, a_end, b, b_end, budget: int) -> None:
-    """Compares all pairs of the few fingerprints of both nodes of each pair."""
+def _leaves(fps: np.ndarray | None, a, a_end, b, b_end, budget: int):
+    """All pairs (x, y) of the few fingerprints of both nodes of each pair; without fps, whatever their distance."""
+    if not len(a):
+        return
     for i in range(LEAF):
         for j in range(LEAF):
             ok = (a + i < a_end) & (b + j < b_end) & (a + i < b + j)
             x, y = (a + i)[ok], (b + j)[ok]
-            near = np.bitwise_count(fps[x] ^ fps[y]) <= budget
-            forest.link(x[near], y[near])
+            near = slice(None) if fps is None else np.bitwise_count(fps[x] ^ fps[y]) <= budget
+            x, y = x[near], y[near]
+            if len(x):
+                yield x, y
 
 
-def trie_join(prints: DataFrame, budget: int = 4, top: int = 4, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between nodes that connect whatever lies within the budget.
+def _dealt(prints: DataFrame, budget: int, top: int, block: int) -> tuple[DataFrame, int]:
+    """prints with (at, mask), the node pairs of the top of their trie, and the depth of these nodes.
 
-    prints has (part, fp, node), fp distinct within a part, with a trie for every part. ``top`` is the least depth at
-    which Spark deals out the nodes of a trie.
+    A node pair is named by the smaller node and the bits in which the two differ.
     """
     n = prints.groupBy("part").count().agg(F.max("count")).first()[0] or 0
     depth = max(top, int(np.ceil(np.log2(max(1, n / block)))))
     masks = [0, *(
         sum(1 << i for i in c) for k in range(1, min(budget, depth) + 1) for c in combinations(range(depth), k)
     )]
-    rows = prints.select("part", "fp", "node", F.shiftrightunsigned("fp", BITS - depth).alias("block"))
-    # node pairs of the top of the trie, named by the smaller node and the bits in which they differ
-    sent = rows.withColumn("mask", F.explode(F.array(*map(F.lit, masks)))).select(
-        "part", F.least("block", F.col("block").bitwiseXOR(F.col("mask"))).alias("at"), "mask", "fp", "node",
+    node = F.shiftrightunsigned("fp", BITS - depth)
+    sent = prints.withColumn("mask", F.explode(F.array(*map(F.lit, masks)))).withColumn(
+        "at", F.least(node, node.bitwiseXOR(F.col("mask")))
     )
+    return sent, depth
+
+
+def trie_join(prints: DataFrame, budget: int = 4, top: int = 4, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between nodes that connect whatever lies within the budget.
+
+    prints has (part, fp, node), fp distinct within a part, with a trie for every part. ``top`` is the least depth at
+    which Spark deals out the nodes of a trie.
+    """
+    sent, depth = _dealt(prints.select("part", "fp", "node"), budget, top, block)
 
     def join(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         _, at, mask = key
@@ -242,6 +393,35 @@ def trie_join(prints: DataFrame, budget: int = 4, top: int = 4, block: int = BLO
     return sent.groupBy("part", "at", "mask").applyInPandas(join, "a long, b long")
 
 
+def likely_join(
+    prints: DataFrame, budget: int, lanes: int, most: float, trees: bool = False, top: int = 1, block: int = BLOCK,
+) -> DataFrame:
+    """(a, b): pairs of nodes within the budget by fp and within most bits by their whole sketches.
+
+    prints has (part, fp, node, s0, s1, ...), and tree if trees. The pairs connect all such pairs; with trees, they are
+    all of them whose trees differ.
+    """
+    sent, depth = _dealt(prints, budget, top, block)
+
+    def join(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        _, at, mask = key
+        # the smaller block comes first, as the depth's bits are the highest
+        group = group.iloc[np.argsort(group["fp"].to_numpy().view(np.uint64), kind="stable")]
+        fps, nodes = group["fp"].to_numpy().view(np.uint64), group["node"].to_numpy()
+        first = None if mask == 0 else int(((fps >> np.uint64(BITS - depth)) == np.uint64(at)).sum())
+        if len(fps) < 2 or first in (0, len(fps)):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        sketches = np.column_stack([group[f"s{i}"].to_numpy().view(np.uint64) for i in range(lanes)])
+        a, b = walk_likely(
+            fps, first, depth, int(mask).bit_count(), budget, np.asfortranarray(sketches), most,
+            group["tree"].to_numpy() if trees else None,
+        )
+        return pd.DataFrame({"a": nodes[a], "b": nodes[b]})
+
+    found = sent.groupBy("part", "at", "mask").applyInPandas(join, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, size: int = 4, budget: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) of every row of (doc_id, text); repeated rows stay repeated.
 
@@ -278,24 +458,26 @@ def similar_documents(
 
     One fingerprint of 64 bits can't tell a resemblance of 0.8 from chance within a budget that a trie can prune by. So
     ``lanes`` SimHashes are cut into pieces of ``bits``; each piece has a trie of its own, whose self-join within the
-    small budget proposes pairs. A proposed pair goes on if all pieces together differ in no more bits than the
+    small budget finds pairs. Such a pair is proposed if all pieces together differ in no more bits than the
     resemblance lets expect, with ``slack`` standard deviations: for the angle t between two shingle sets of
     resemblance r, cos t = 2r / (1 + r), and the share of bits is t / pi. The shingle sets themselves decide at last.
-    A pair at 0.8 is proposed by some piece with a probability over 0.99.
+    A pair at 0.8 is found by some piece with a probability over 0.99. Sketches are of distinct shingles, as the
+    resemblance is of sets.
 
-    Documents with equal pieces meet in one node first, and each trie proposes a forest, not all pairs.
+    Documents with equal shingle sets meet in one node first. Each trie proposes a forest of likely pairs, not all of
+    them. A pair that the sets refuse may have hidden others of its tree, so the nodes of the components at both its
+    ends go through the tries once more, and then every likely pair between different components is decided.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = (share + slack * math.sqrt(share * (1 - share) / (lanes * BITS))) * lanes * BITS
     texts = pick(documents, "doc_id", "text").withColumn("digest", F.xxhash64("text"))
-    rows = stored(fingerprints(texts, size, lanes).select("doc_id", "digest", "sketch"))
+    rows = stored(set_sketches(texts, size, lanes).select("doc_id", "digest", "sketch", "node"))
     nodes = stored(
-        rows.groupBy("sketch")
+        rows.groupBy("node")
         .agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("first"),
-            F.min("digest").alias("digest"),
+            F.min("digest").alias("digest"), F.min("sketch").alias("sketch"),
         )
-        .withColumn("node", F.xxhash64("sketch"))
     )
     per = BITS // bits
     pieces = F.transform(F.sequence(F.lit(0), F.lit(lanes * per - 1)), lambda i: F.struct(
@@ -307,35 +489,47 @@ def similar_documents(
             F.lit(BITS - bits),
         ).alias("fp"),
     ))
-    every = nodes.select("node", F.explode(pieces).alias("p")).select("p.part", "p.fp", "node")
-    prints = stored(every.groupBy("part", "fp").agg(F.min("node").alias("node")))
-    same = every.alias("e").join(
-        prints.select("part", "fp", F.col("node").alias("head")).alias("h"), ["part", "fp"]
-    ).where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    proposed = trie_join(prints, budget, top=1).unionByName(same).distinct()
-    own = nodes.select("node", "sketch", "digest")
-    pairs = (
-        proposed.join(own.toDF("a", "x", "text_a"), "a").join(own.toDF("b", "y", "text_b"), "b")
-    )
-    differing = F.aggregate(
-        F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, v: a + v
-    )
-    likely = stored(pairs.where(differing <= most).select("a", "b", "text_a", "text_b"))
-    wanted = likely.select(F.explode(F.array("text_a", "text_b")).alias("digest")).distinct()
-    found = texts.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("text"))
+    whole = [F.col("sketch")[i].alias(f"s{i}") for i in range(lanes)]
+
+    def prints(of: DataFrame, *more: str) -> DataFrame:
+        names = ["node", *more, *[f"s{i}" for i in range(lanes)]]
+        return of.select("node", *more, *whole, F.explode(pieces).alias("p")).select("p.part", "p.fp", *names)
 
     @F.pandas_udf("double")
     def resemblance(x: pd.Series, y: pd.Series) -> pd.Series:
         sets = lambda t: set(shingle_hashes(t, size).tolist())
         return pd.Series([len(a & b) / max(1, len(a | b)) for a, b in zip(map(sets, x), map(sets, y), strict=True)])
 
-    links = (
-        likely.join(found.toDF("text_a", "x"), "text_a").join(found.toDF("text_b", "y"), "text_b")
-        .where(resemblance("x", "y") >= similarity).select("a", "b")
-    )
-    named = _named(nodes, links)
+    def decided(likely: DataFrame) -> DataFrame:
+        """likely (a, b) with alike, whether their shingle sets are."""
+        own = nodes.select("node", "digest")
+        pairs = stored(likely.join(own.toDF("a", "text_a"), "a").join(own.toDF("b", "text_b"), "b"))
+        wanted = pairs.select(F.explode(F.array("text_a", "text_b")).alias("digest")).distinct()
+        found = texts.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("text"))
+        return stored(
+            pairs.join(found.toDF("text_a", "x"), "text_a").join(found.toDF("text_b", "y"), "text_b")
+            .select("a", "b", (resemblance("x", "y") >= similarity).alias("alike"))
+        )
+
+    proposed = decided(likely_join(prints(nodes), budget, lanes, most))
+    links = proposed.where("alike").select("a", "b")
+    refused = proposed.where("not alike").select("a", "b")
+    if not refused.isEmpty():
+        roots = stored(components(links))
+        tree = lambda end: roots.toDF(end, f"tree_{end}")
+        torn = refused.join(tree("a"), "a", "left").join(tree("b"), "b", "left").select(
+            F.coalesce("tree_a", "a").alias("x"), F.coalesce("tree_b", "b").alias("y")
+        ).where("x != y").select(F.explode(F.array("x", "y")).alias("tree")).distinct()
+        again = nodes.join(roots.withColumnRenamed("root", "tree"), "node", "left").withColumn(
+            "tree", F.coalesce("tree", "node")
+        ).join(torn, "tree", "left_semi")
+        late = likely_join(prints(stored(again), "tree"), budget, lanes, most, trees=True)
+        links = stored(links.unionByName(
+            decided(late.join(refused, ["a", "b"], "left_anti")).where("alike").select("a", "b")
+        ))
+    named = _named(nodes.select("node", "first"), links)
     head = F.col("component_id")
-    return rows.join(named.select("sketch", "component_id"), "sketch", "left").select(
+    return rows.join(named.select("node", "component_id"), "node", "left").select(
         "doc_id", "digest", head["doc_id"].alias("component_id"),
         (F.col("doc_id").eqNullSafe(head["doc_id"]) & (F.col("digest") == head["digest"])).alias("stays"),
     )

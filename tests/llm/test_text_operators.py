@@ -222,6 +222,87 @@ def test_similar_documents_at_four_fifths(spark):
     assert got == sorted(((i, 0 if i < 6 else i, i == 0 or i >= 6) for i, _ in texts), key=repr)
 
 
+def shingle_set(text, size=5):
+    words = text.split()
+    return {" ".join(words[i:i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def brute_similar(texts, similarity=0.8):
+    sets = {i: shingle_set(t) for i, t in texts}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(sets, 2):
+        if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: root(i) for i in sets}
+
+
+@pytest.mark.parametrize("many", [150, 600])
+def test_similar_documents_among_chance_neighbours(spark, many):
+    # pieces of 16 bits have a hundredth of all others within 3 bits, as many as pieces of 32 bits have in a large corpus
+    rng = random.Random(many)
+    texts = []
+    for k in range(many):
+        words = [f"w{k}x{i}" for i in range(120)]
+        texts.append((2 * k, " ".join(words)))
+        for i in (20, 70):
+            words[i] = f"y{k}"
+        if k % 3:  # at about 0.85
+            texts.append((2 * k + 1, " ".join(words)))
+    rng.shuffle(texts)
+    got = dict(rows(simhash.similar_documents(spark.createDataFrame(texts, "doc_id long, text string"), bits=16),
+                    "doc_id", "component_id"))
+    assert got == brute_similar(texts)
+
+
+def test_similar_documents_beside_pairs_that_the_sets_refuse(spark):
+    # families at about 0.75 to their head, so near in bits, with pairs of their own at over 0.8
+    texts = []
+    for k in range(12):
+        words = [f"w{k}x{i}" for i in range(200)]
+        texts.append((100 * k, " ".join(words)))
+        for v in range(1, 6):
+            own = list(words)
+            for i in range(6):
+                own[10 + 30 * i + v] = f"y{k}v{v}n{i}"
+            texts.append((100 * k + v, " ".join(own)))
+            own[9] = f"z{k}{v}"
+            texts.append((100 * k + 50 + v, " ".join(own)))
+    got = dict(rows(simhash.similar_documents(spark.createDataFrame(texts, "doc_id long, text string")),
+                    "doc_id", "component_id"))
+    assert got == brute_similar(texts)
+
+
+def test_likely_pairs_connect_what_all_pairs_do():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 64, (30, 8), dtype=np.uint64)
+    near = np.repeat(base, 20, axis=0)
+    for _ in range(40):
+        near[np.arange(600), rng.integers(0, 8, 600)] ^= np.uint64(1) << rng.integers(0, 64, 600, dtype=np.uint64)
+    fps = near[:, 0] & np.uint64(0xFF << 56)
+    order = np.argsort(fps)
+    fps, near = fps[order], np.asfortranarray(near[order])
+    far = lambda x, y: sum(int(p ^ q).bit_count() for p, q in zip(near[x], near[y], strict=True))
+    all_ = {(x, y) for x, y in itertools.combinations(range(600), 2)
+            if int(fps[x] ^ fps[y]).bit_count() <= 3 and far(x, y) <= 60}
+    trees = rng.integers(0, 50, 600)
+    found = simhash.walk_likely(fps, None, 0, 0, 3, near, 60, trees)
+    got = {(min(x, y), max(x, y)) for x, y in zip(*found, strict=True)}
+    assert got == {(x, y) for x, y in all_ if trees[x] != trees[y]}
+    forest, whole = simhash.Forest(600), simhash.Forest(600)
+    a, b = simhash.walk_likely(fps, None, 0, 0, 3, near, 60)
+    forest.link(a, b)
+    assert all(far(x, y) <= 60 for x, y in zip(a, b, strict=True)) and len(a) < 600
+    whole.link(*map(np.array, zip(*all_, strict=True)))
+    roots, at = forest.roots(np.arange(600)), whole.roots(np.arange(600))
+    assert all(roots[x] == roots[at[x]] for x in range(600))
+
+
 # 3
 
 
