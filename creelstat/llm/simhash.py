@@ -95,10 +95,10 @@ def set_sketches(documents: DataFrame, size: int, lanes: int, text: str = "text"
 
     @F.pandas_udf("sketch array<long>, node long")
     def hashed(texts: pd.Series) -> pd.DataFrame:
-        sketches = [sketch(shingle_hashes(t, size), lanes) for t in texts]
+        sets = [np.unique(shingle_hashes(t, size)) for t in texts]
         return pd.DataFrame({
-            "sketch": pd.Series([x.view(np.int64) for x in sketches], dtype=object),
-            "node": pd.Series([set_hash(x) for x in sketches], dtype="int64"),
+            "sketch": pd.Series([sketch(shingle_hashes(t, size), lanes).view(np.int64) for t in texts], dtype=object),
+            "node": pd.Series([set_hash(x) for x in sets], dtype="int64"),
         })
 
     return documents.withColumn("__set", hashed(F.col(f"`{text}`"))).select(

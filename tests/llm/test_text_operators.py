@@ -303,6 +303,14 @@ def test_likely_pairs_connect_what_all_pairs_do():
     assert all(roots[x] == roots[at[x]] for x in range(600))
 
 
+def test_similar_documents_of_one_filler_stay_apart(spark):
+    filler = "0 " * 300
+    texts = [(i, filler + " ".join(f"w{i}x{k}" for k in range(100))) for i in range(3)]
+    got = dict(rows(simhash.similar_documents(spark.createDataFrame(texts, "doc_id long, text string")),
+                    "doc_id", "component_id"))
+    assert got == {0: 0, 1: 1, 2: 2} == brute_similar(texts)
+
+
 # 3
 
 
