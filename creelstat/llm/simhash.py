@@ -97,7 +97,7 @@ def set_sketches(documents: DataFrame, size: int, lanes: int, text: str = "text"
     def hashed(texts: pd.Series) -> pd.DataFrame:
         sets = [np.unique(shingle_hashes(t, size)) for t in texts]
         return pd.DataFrame({
-            "sketch": pd.Series([sketch(shingle_hashes(t, size), lanes).view(np.int64) for t in texts], dtype=object),
+            "sketch": pd.Series([sketch(x, lanes).view(np.int64) for x in sets], dtype=object),
             "node": pd.Series([set_hash(x) for x in sets], dtype="int64"),
         })
 

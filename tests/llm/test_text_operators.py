@@ -311,6 +311,14 @@ def test_similar_documents_of_one_filler_stay_apart(spark):
     assert got == {0: 0, 1: 1, 2: 2} == brute_similar(texts)
 
 
+def test_similar_documents_count_a_repeated_shingle_once(spark):
+    half = [" ".join(f"{h}{i}" for i in range(50)) for h in "ab"]
+    texts = [(10, " ".join(half)), (11, " ".join([half[0]] * 10 + half[1:]))]
+    got = dict(rows(simhash.similar_documents(spark.createDataFrame(texts, "doc_id long, text string")),
+                    "doc_id", "component_id"))
+    assert got == {10: 10, 11: 10} == brute_similar(texts)
+
+
 # 3
 
 
