@@ -163,12 +163,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
 
 def learn(
     documents: DataFrame, labels: DataFrame, sample: int = 50_000, support: int = 4, share: float = 0.01, odds: float = 8.0,
-    exceptions: tuple[str, ...] = (),
+    exceptions: tuple[str, ...] = (), error: float = 0.05,
 ) -> Model:
     """A model of (doc_id, text) and (doc_id, toxic).
 
-    A term needs ``support`` toxic texts, at least ``share`` of them, and to be ``odds`` times as frequent there as in
-    clean ones. A phrase of two
+    A term needs ``support`` toxic texts and to be ``odds`` times as frequent there as in clean ones. If it stands in
+    less than ``share`` of the toxic texts, chance must be excluded as well: so large a part of its texts may be toxic
+    with a probability of ``error`` at most, over all candidates together. That bar does not rise with the input, so a
+    language with few toxic labels has terms too. A phrase of two
     words around a term becomes an exception if ``support`` clean texts hold it and no larger share of toxic ones.
     Labels that are NULL, or belong to no document, count for nothing; a document labelled both ways is toxic.
     """
@@ -186,15 +188,18 @@ def learn(
         prior = (toxic + 0.01) / (toxic + clean + 1)
         return Model({}, intercept=math.log(prior / (1 - prior)))
 
-    least = max(support, math.ceil(share * toxic))
+    least, prior = max(support, math.ceil(share * toxic)), toxic / (toxic + clean)
 
     def all_terms(text: str) -> set[str]:
         return {f for w in set(fold(text)) for f in features(w)}
 
-    first = _counted(rows.where("toxic"), all_terms).where(F.col("toxic") >= least).collect()
+    first = _counted(rows.where("toxic"), all_terms).where(F.col("toxic") >= support).select("term").collect()
     wanted = frozenset(r["term"] for r in first)
     ratio = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1))
     both = _counted(rows, lambda text: all_terms(text) & wanted).where(ratio >= odds).collect()
+    both = [
+        r for r in both if r["toxic"] >= least or _by_chance(r["toxic"], r["clean"], prior) * len(wanted) <= error
+    ]
     weight = {
         r["term"]: math.log((r["toxic"] + 0.5) / (toxic + 1) / ((r["clean"] + 0.5) / (clean + 1))) for r in both
     }
@@ -225,6 +230,15 @@ def learn(
     return Model(terms, model.exceptions, intercept, tuple(map(float, factors)))
 
 
+def _by_chance(toxic: int, clean: int, prior: float) -> float:
+    """Chernoff's bound of the probability that so many of a term's texts are toxic, each with the prior."""
+    n = toxic + clean
+    if toxic <= n * prior:
+        return 1.0
+    log = toxic * math.log(toxic / n / prior) + (clean * math.log(clean / n / (1 - prior)) if clean else 0.0)
+    return math.exp(-log)
+
+
 def _stems(term: str) -> Iterator[str]:
     """The beginnings of a term, shorter than itself."""
     yield from (term[:n] for n in range(SHORTEST + 1, len(term.rstrip(" ")) + (term[-1] == " ")))

@@ -584,6 +584,19 @@ def test_learning_without_labels(docs, spark):
     assert model.terms == {} and 0 <= model.score("idiot") < 0.5
 
 
+def test_a_language_with_few_toxic_labels_has_terms(spark):
+    texts = [(i, f"you idiot number{i} goes there", 1) for i in range(1000)]
+    texts += [(1000 + i, f"ty zlobivec cislo{i} bezi tam", 1) for i in range(9)]
+    texts += [(2000 + i, f"you friend number{i} goes there", 0) for i in range(2000)]
+    texts += [(5000 + i, f"ty kamarad cislo{i} bezi tam", 0) for i in range(1000)]
+    table = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    model = toxicity.learn(table, table)
+    for text in ("ten zlobivec tam bezi", "an idiot goes"):
+        assert model.score(text) > 0.5, text
+    for text in ("ten kamarad tam bezi", "a friend goes"):
+        assert model.score(text) < 0.5, text
+
+
 # 9
 
 
