@@ -6,8 +6,9 @@ folded words are searched for the terms of the lexicon: whole words, and beginni
 endings on them. A word counts with its heaviest term unless an exception phrase covers it. The sum of the weights, its
 logarithm and its share of the text's length go through a logistic function.
 
-Lexicon, exceptions and the three factors are learnt from labelled texts. At most ``sample`` labelled rows, chosen by a
-hash of doc_id, are used; that bounds the lexicon and what the driver sees of it. Everything else covers all rows:
+Lexicon, exceptions and the three factors are learnt from labelled texts. At most ``sample`` labelled ids, chosen by a
+hash of doc_id, are used, each with its different texts; that bounds the lexicon. The driver sees terms and counts, no
+texts. Everything else covers all rows:
 scoring is one narrow stage without a shuffle.
 
 Defined results: NULL and empty texts have no words and get the score of a text without hits. Without any labels, or
@@ -145,15 +146,18 @@ def _counted(rows: DataFrame, terms_of) -> DataFrame:
     )
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, np.ndarray]:
-    """Intercept and factors by Newton's method on standardised columns."""
-    mean, sd = x.mean(0), np.maximum(x.std(0), 1e-9)
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> tuple[float, np.ndarray]:
+    """Intercept and factors by Newton's method on standardised columns; row i stands for n[i] texts."""
+    mean = np.average(x, 0, n)
+    sd = np.maximum(np.sqrt(np.average((x - mean) ** 2, 0, n)), 1e-9)
     z = np.column_stack([np.ones(len(x)), (x - mean) / sd])
     b = np.zeros(z.shape[1])
     penalty = ridge * np.diag([0.0] + [1.0] * x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        step = np.linalg.solve((z.T * (p * (1 - p))) @ z + penalty + 1e-9 * np.eye(len(b)), z.T @ (y - p) - penalty @ b)
+        step = np.linalg.solve(
+            (z.T * (n * p * (1 - p))) @ z + penalty + 1e-9 * np.eye(len(b)), z.T @ (n * (y - p)) - penalty @ b
+        )
         b += step
         if np.abs(step).max() < 1e-8:
             break
@@ -181,7 +185,11 @@ def learn(
     part = min(1.0, sample / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30)))
     texts = pick(documents, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    rows = stored(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"))  # at most about sample rows
+    # copies of a document under one id are one; different texts under it stay
+    rows = stored(
+        texts.join(F.broadcast(chosen), "doc_id").withColumn("digest", F.xxhash64("text"))
+        .dropDuplicates(["doc_id", "digest"]).select("text", "toxic")
+    )
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = n.get(True, 0), n.get(False, 0)
     if not toxic or not clean:
@@ -225,8 +233,11 @@ def learn(
     def measure(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.measures(t) for t in text], columns=["a", "b", "c"])
 
-    seen = rows.select(measure("text").alias("m"), F.col("toxic").cast("double").alias("y")).select("m.*", "y").toPandas()
-    intercept, factors = _logistic(seen[["a", "b", "c"]].to_numpy(), seen["y"].to_numpy())
+    # the driver sees how many texts have the same measures, to four digits, not the texts
+    seen = rows.select(measure("text").alias("m"), F.col("toxic").cast("double").alias("y")).groupBy(
+        *[F.round(f"m.{c}", 4).alias(c) for c in "abc"], "y"
+    ).count().orderBy("a", "b", "c", "y").toPandas()
+    intercept, factors = _logistic(*(seen[c].to_numpy(float) for c in (["a", "b", "c"], "y", "count")))
     return Model(terms, model.exceptions, intercept, tuple(map(float, factors)))
 
 

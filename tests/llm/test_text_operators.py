@@ -597,6 +597,16 @@ def test_a_language_with_few_toxic_labels_has_terms(spark):
         assert model.score(text) < 0.5, text
 
 
+def test_copies_of_a_labelled_document_count_once(spark):
+    texts = [(i, f"you idiot number{i} goes there", 1) for i in range(40)]
+    texts += [(100 + i, f"you friend number{i} goes there {'idiot' if i < 3 else ''}", 0) for i in range(60)]
+    table = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    copied = table.withColumn("k", F.explode(F.sequence(F.lit(1), F.when(F.col("doc_id") == 100, 500).otherwise(1))))
+    once, often = toxicity.learn(table, table), toxicity.learn(copied, table)
+    assert once.terms == often.terms and once.exceptions == often.exceptions
+    assert (once.intercept, *once.factors) == pytest.approx((often.intercept, *often.factors))
+
+
 # 9
 
 
