@@ -3,8 +3,8 @@
 Distinct fingerprints are the leaves of a binary trie. The join walks down pairs of nodes of equal depth from the root,
 adds up the bits in which the two paths differ, and drops a pair once they exceed the budget. The top of the trie is
 walked by Spark: nodes at a depth that follows the number of fingerprints are the blocks, and a pair of blocks within
-the budget is one group. Inside a group numpy walks the rest of both subtries, all pairs of a depth at once and in
-bounded slices.
+the budget is one group, or several where a block is too full. Inside a group numpy walks the rest of both subtries,
+all pairs of a depth at once and in bounded slices.
 
 Links of a group are not returned as such but as a forest: at most one link per fingerprint. A group of near copies
 as large as a third of all documents therefore costs its size, not its square, in rows. Where all fingerprints below
@@ -353,9 +353,11 @@ def _leaves(fps: np.ndarray | None, a, a_end, b, b_end, budget: int):
 
 
 def _dealt(prints: DataFrame, budget: int, top: int, block: int) -> tuple[DataFrame, int]:
-    """prints with (at, mask), the node pairs of the top of their trie, and the depth of these nodes.
+    """prints with (at, mask, s, t), the groups of its join, and the depth of the nodes that they pair.
 
-    A node pair is named by the smaller node and the bits in which the two differ.
+    A node pair of the top of the trie is named by the smaller node and the bits in which the two differ. The depth
+    follows the number of fingerprints. A node that holds more than a block all the same, such as of near copies, is
+    dealt out into salts, and a group has one salt s of its one node and one salt t of the other.
     """
     n = prints.groupBy("part").count().agg(F.max("count")).first()[0] or 0
     depth = max(top, int(np.ceil(np.log2(max(1, n / block)))))
@@ -366,7 +368,19 @@ def _dealt(prints: DataFrame, budget: int, top: int, block: int) -> tuple[DataFr
     sent = prints.withColumn("mask", F.explode(F.array(*map(F.lit, masks)))).withColumn(
         "at", F.least(node, node.bitwiseXOR(F.col("mask")))
     )
-    return sent, depth
+    full = prints.groupBy("part", node.alias("at")).count().where(F.col("count") > block).collect()  # n / block a part
+    if not full:
+        return sent.withColumns({"s": F.lit(0), "t": F.lit(0)}), depth
+    salts = F.create_map(*(F.lit(x) for r in full for x in (f"{r['part']} {r['at']}", math.ceil(r["count"] / block))))
+    of = lambda at: F.coalesce(salts[F.concat_ws(" ", "part", at)], F.lit(1))
+    sent = sent.withColumn("salts", F.greatest(of(F.col("at")), of(F.col("at").bitwiseXOR(F.col("mask")))))
+    own = F.pmod(F.xxhash64("fp", "node"), F.col("salts")).cast("int")
+    sent = sent.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, salts - 1)")))
+    left = F.when(F.col("mask") == 0, F.col("own") <= F.col("other")).otherwise(node == F.col("at"))
+    return sent.withColumns({
+        "s": F.when(left, F.col("own")).otherwise(F.col("other")),
+        "t": F.when(left, F.col("other")).otherwise(F.col("own")),
+    }).drop("salts", "own", "other"), depth
 
 
 def trie_join(prints: DataFrame, budget: int = 4, top: int = 4, block: int = BLOCK) -> DataFrame:
@@ -378,7 +392,7 @@ def trie_join(prints: DataFrame, budget: int = 4, top: int = 4, block: int = BLO
     sent, depth = _dealt(prints.select("part", "fp", "node"), budget, top, block)
 
     def join(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        _, at, mask = key
+        _, at, mask, *_ = key
         order = np.argsort(group["fp"].to_numpy().view(np.uint64), kind="stable")
         fps, nodes = group["fp"].to_numpy().view(np.uint64)[order], group["node"].to_numpy()[order]
         if mask == 0:
@@ -390,7 +404,7 @@ def trie_join(prints: DataFrame, budget: int = 4, top: int = 4, block: int = BLO
             a, b = walk(fps[here], fps[~here], depth, int(mask).bit_count(), budget)
         return pd.DataFrame({"a": nodes[np.searchsorted(fps, a)], "b": nodes[np.searchsorted(fps, b)]})
 
-    return sent.groupBy("part", "at", "mask").applyInPandas(join, "a long, b long")
+    return sent.groupBy("part", "at", "mask", "s", "t").applyInPandas(join, "a long, b long")
 
 
 def likely_join(
@@ -404,7 +418,7 @@ def likely_join(
     sent, depth = _dealt(prints, budget, top, block)
 
     def join(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        _, at, mask = key
+        _, at, mask, *_ = key
         # the smaller block comes first, as the depth's bits are the highest
         group = group.iloc[np.argsort(group["fp"].to_numpy().view(np.uint64), kind="stable")]
         fps, nodes = group["fp"].to_numpy().view(np.uint64), group["node"].to_numpy()
@@ -418,7 +432,7 @@ def likely_join(
         )
         return pd.DataFrame({"a": nodes[a], "b": nodes[b]})
 
-    found = sent.groupBy("part", "at", "mask").applyInPandas(join, "a long, b long")
+    found = sent.groupBy("part", "at", "mask", "s", "t").applyInPandas(join, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -199,6 +199,22 @@ def test_trie_walk(seed, spread, depth):
     assert {p: root(p) for p in parent} == brute_components(list(parent), 4)
 
 
+def test_full_blocks_are_dealt_out(spark):
+    rng = np.random.default_rng(8)
+    dense = np.unique(rng.integers(0, 1 << 20, 900, dtype=np.uint64)) | np.uint64(0xABC << 52)
+    fps = np.concatenate([dense, rng.integers(0, 1 << 64, 100, dtype=np.uint64)])
+    fps = np.unique(np.concatenate([fps, fps[-50:] ^ np.uint64(1 << 63 | 1)]))
+    prints = spark.createDataFrame([(0, int(f), int(f)) for f in fps.view(np.int64)], "part int, fp long, node long")
+    sent, _ = simhash._dealt(prints, 4, 4, 100)
+    assert sent.groupBy("at", "mask", "s", "t").count().agg(F.max("count")).first()[0] <= 300
+    links = rows(simhash.trie_join(prints, block=100), "a", "b")
+    forest = simhash.Forest(len(fps))
+    place = {int(f): i for i, f in enumerate(fps)}
+    forest.link(*(np.array([place[x[k] % 2**64] for x in links]) for k in (0, 1)))
+    roots, whole = forest.roots(np.arange(len(fps))), brute_components([int(f) for f in fps], 4)
+    assert {int(f): int(fps[r]) for f, r in zip(fps, roots, strict=True)} == whole
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7)]
     got = dict(rows(components.components(spark.createDataFrame(links, "a long, b long")), "node", "root"))
