@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, chat_format, decontaminate, html_extract, line_dedup, quality, simhash, suffix_dedup, toxicity, url_filter,
+    bpe, chat_format, decontaminate, html_extract, line_dedup, periodic_runs, quality, simhash, suffix_dedup, toxicity,
+    url_filter,
 )
+from .common import let, words
 
 #: A conversation that speaks in marks, told apart by its number.
 MARKED = (-7, r"\### Assistant: </turn> ok")
@@ -104,10 +106,44 @@ def op10_decontamination(spark: SparkSession, data: str) -> DataFrame:
     )
 
 
+def made_periodic(text: Column, doc_id: Column) -> Column:
+    """The text; for a tenth of the documents, its words from one of them on repeated with a period."""
+    number = F.crc32(doc_id.cast("string").cast("binary"))
+    part = F.floor(number / 10)
+
+    def repeat(own: Column) -> Column:
+        n = F.size(own).cast("long")
+        start = part % n
+        period = 1 + F.floor((n - start) / (3 + part % 8))
+        again = F.transform(own, lambda word, i: F.when(i < start, word).otherwise(
+            F.element_at(own, (start + (i - start) % period + 1).cast("int"))
+        ))
+        return F.when(n > 0, F.array_join(again, " ")).otherwise("")
+
+    return F.when(number % 10 == 0, let(words(text), repeat)).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, data: str) -> DataFrame:
+    docs = table(spark, data, "documents").select("doc_id", made_periodic(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic_runs.periodic_runs(docs)
+    most = F.reduce(
+        "runs", F.get("runs", F.lit(0)),
+        lambda a, b: F.when(b["length"] * a["period"] > a["length"] * b["period"], b).otherwise(a),
+    )
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")
+    )), "")
+    return found.withColumn("most", most).select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"most.{c}") for c in ("start", "length", "period")],
+        F.floor(1000 * F.col("most.length") / F.col("most.period")).cast("long").alias("exponent_milli"),
+        sha256(listed).alias("runs_sha256"), sha256(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_html_extraction, op2_simhash, op3_chat_format, op4_url_filter, op5_quality_rules, op6_suffix_dedup, op7_line_dedup,
-        op8_toxicity, op9_bpe, op10_decontamination,
+        op8_toxicity, op9_bpe, op10_decontamination, op12_periodic_runs,
     )
 }
