@@ -195,10 +195,47 @@ FROM marked GROUP BY rid, doc_id
 """
 
 
+def _divergence() -> str:
+    p = "(1 + (1000000000::HUGEINT * ({n} + 5)) // greatest({total} + 5 * v, 1))::BIGINT"
+    return rf"""
+WITH d AS (
+    SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents
+),
+w AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept k USING (lang, term) GROUP BY lang, source, term),
+groups AS (
+    SELECT lang, source, coalesce(sum(n), 0) AS total
+    FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN counts USING (lang, source) GROUP BY lang, source
+),
+cells AS (
+    SELECT lang, source, term, coalesce(c.n, 0) AS n, {p.format(n="coalesce(c.n, 0)", total="g.total")} AS p,
+        {p.format(n="k.n", total="l.total")} AS q
+    FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN counts c USING (lang, source, term)
+),
+found AS (
+    SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(x.value, 0)::BIGINT AS value
+    FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN (
+        SELECT a.lang, a.source, b.source AS other, sum(abs(a.p - b.p)) AS value
+        FROM cells a JOIN cells b USING (lang, term) GROUP BY ALL) x
+        ON g.lang = x.lang AND g.source = x.source AND h.source = x.other
+    UNION ALL
+    SELECT lang, source, 'term', term, p - q FROM cells WHERE n > 0 AND p > q
+)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found
+QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
 SQL: dict[str, str] = {
     "op3_chat_format": _chat(),
     "op4_url_filter": _urls(),
     "op5_quality_rules": _quality(),
     "op7_line_dedup": _lines(),
     "op10_decontamination": _decontamination(),
+    "op11_source_divergence": _divergence(),
 }

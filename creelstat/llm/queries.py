@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, chat_format, decontaminate, html_extract, line_dedup, periodic_runs, quality, simhash, suffix_dedup, toxicity,
-    url_filter,
+    bpe, chat_format, decontaminate, divergence, html_extract, line_dedup, periodic_runs, quality, simhash, suffix_dedup,
+    toxicity, url_filter,
 )
 from .common import let, words
 
@@ -106,6 +106,13 @@ def op10_decontamination(spark: SparkSession, data: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, data: str) -> DataFrame:
+    found = divergence.Divergence.of(table(spark, data, "documents"), least=30)
+    parts = {"pair": divergence.ranked(found.pairs(), "other"), "term": divergence.ranked(found.terms(), "term", top=50)}
+    both = [rows.withColumn("part", F.lit(name)) for name, rows in parts.items()]
+    return both[0].unionByName(both[1]).select("lang", "source", "part", "item", "value", "rank")
+
+
 def made_periodic(text: Column, doc_id: Column) -> Column:
     """The text; for a tenth of the documents, its words from one of them on repeated with a period."""
     number = F.crc32(doc_id.cast("string").cast("binary"))
@@ -144,6 +151,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_html_extraction, op2_simhash, op3_chat_format, op4_url_filter, op5_quality_rules, op6_suffix_dedup, op7_line_dedup,
-        op8_toxicity, op9_bpe, op10_decontamination, op12_periodic_runs,
+        op8_toxicity, op9_bpe, op10_decontamination, op11_source_divergence, op12_periodic_runs,
     )
 }
