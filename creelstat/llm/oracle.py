@@ -231,6 +231,18 @@ QUALIFY part = 'pair' OR rank <= 50
 """
 
 
+def _topk() -> str:
+    return """
+WITH v AS (
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)
+SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score,
+    (row_number() OVER (PARTITION BY q.rid ORDER BY list_inner_product(q.v, x.v) DESC, x.vec_id))::INTEGER AS rank
+FROM v q JOIN v x ON q.vec_id % 50 = 0 AND q.rid <> x.rid QUALIFY rank <= 5
+"""
+
+
 SQL: dict[str, str] = {
     "op3_chat_format": _chat(),
     "op4_url_filter": _urls(),
@@ -238,4 +250,5 @@ SQL: dict[str, str] = {
     "op7_line_dedup": _lines(),
     "op10_decontamination": _decontamination(),
     "op11_source_divergence": _divergence(),
+    "op13_topk_search": _topk(),
 }

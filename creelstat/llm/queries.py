@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import (
     bpe, chat_format, decontaminate, divergence, html_extract, line_dedup, periodic_runs, quality, simhash, suffix_dedup,
-    toxicity, url_filter,
+    topk_search, toxicity, url_filter,
 )
 from .common import let, words
 
@@ -147,10 +147,17 @@ def op12_periodic_runs(spark: SparkSession, data: str) -> DataFrame:
     )
 
 
+def op13_topk_search(spark: SparkSession, data: str) -> DataFrame:
+    vectors = table(spark, data, "embeddings")
+    found = topk_search.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5, scale=256)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_html_extraction, op2_simhash, op3_chat_format, op4_url_filter, op5_quality_rules, op6_suffix_dedup, op7_line_dedup,
         op8_toxicity, op9_bpe, op10_decontamination, op11_source_divergence, op12_periodic_runs,
+        op13_topk_search,
     )
 }
