@@ -88,9 +88,10 @@ def _packed(vectors: DataFrame, name: str, parts: int) -> DataFrame:
     """(name, list, ids, size, data): vectors dealt to parts, a row for every list with its components."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches)).combine_chunks()
-        if not len(held):
+        filled = [batch for batch in batches if batch.num_rows]
+        if not filled:
             return
+        held = pa.Table.from_batches(filled).combine_chunks()
         part = held.column(0).to_numpy()
         order = np.argsort(part, kind="stable")
         edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
