@@ -39,6 +39,8 @@ from .token_arrays import byte_class, slices, string_column, tokens
 SCALE = 1_000_000_000
 BATCH_BYTES = 4_000_000
 STRIPE, TILE = 1024, 32
+#: Tables of languages and of groups are broadcast up to so many rows, each of two names and a few numbers.
+SMALL_ROWS = 200_000
 GROUP = ("lang", "source")
 #: Every byte below 0x80 but the letters.
 NOT_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
@@ -82,6 +84,12 @@ def _counted(lang: pa.Array, source: pa.Array, text: pa.Array, inside: np.ndarra
     ], ["lang", "source", "term", "n", "docs"])
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """The rows, stored, and broadcast where they are few."""
+    df = stored(df)
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def share(n: Column, total: Column, terms: Column) -> Column:
     """The smoothed share, by exact integers; 0 where there is no term at all."""
     whole = (total + 5 * terms).cast("decimal(20,0)")
@@ -182,14 +190,14 @@ class Divergence:
             F.sum("n").alias("in_lang"), F.sum("docs").alias("docs")
         ).where(F.col("docs") >= least).select("lang", "term", "in_lang")
         kept = stored(kept.withColumn("term_id", F.monotonically_increasing_id()))
-        langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("in_lang").alias("lang_total"))
+        langs = _small(kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("in_lang").alias("lang_total")))
         parts = F.ceil(F.col("terms") / STRIPE)
         placed = kept.join(langs, "lang").withColumn("stripe", F.pmod(F.xxhash64("term"), parts).cast("int"))
         stripes = stored(placed.groupBy("lang", "stripe").agg(F.count("*").alias("width")))
         plain = stored(
             counts.join(placed, ["lang", "term"])
             .withColumn("q", share(F.col("in_lang"), F.col("lang_total"), F.col("terms")))
-            .select(*GROUP, "term", "term_id", "stripe", "n", "terms", "q")
+            .select(*GROUP, "term", "term_id", "stripe", "n", "q")
         )
         totals = plain.groupBy(*GROUP).agg(F.sum("n").alias("total"))
         groups = (
@@ -198,7 +206,9 @@ class Divergence:
         )
         order = Window.partitionBy("lang").orderBy(F.desc("total"), "source")
         zero = share(F.lit(0).cast("long"), F.col("total"), F.col("terms"))
-        groups = stored(groups.select(*GROUP, "total", zero.alias("zero"), (F.row_number().over(order) - 1).alias("g")))
+        groups = _small(groups.select(
+            *GROUP, "total", "terms", zero.alias("zero"), (F.row_number().over(order) - 1).alias("g")
+        ))
         cells = plain.join(groups.drop("zero"), [*GROUP]).withColumn(
             "p", share(F.col("n"), F.col("total"), F.col("terms"))
         ).drop("total", "terms")
@@ -206,7 +216,7 @@ class Divergence:
 
     def pairs(self) -> DataFrame:
         """(lang, source, other, value): the distance of every group to every other one of its language."""
-        tiles = self.groups.groupBy("lang").agg(F.floor(F.max("g") / TILE).cast("int").alias("last"))
+        tiles = _small(self.groups.groupBy("lang").agg(F.floor(F.max("g") / TILE).cast("int").alias("last")))
         group = ("lang", "stripe", "one", "other")
 
         def dealt(rows: DataFrame) -> DataFrame:
