@@ -148,7 +148,7 @@ def distances(share: np.ndarray, nonzero: np.ndarray, zero: np.ndarray, first: i
     return total + blank * np.abs(zero[:, None] - zero)
 
 
-def _tile_pair(key: tuple, groups: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+def _tile_pair(key: tuple, groups: pd.DataFrame, cells: pd.DataFrame, tile: int) -> pd.DataFrame:
     """Distances of the groups of one tile to those of another, over one stripe of terms."""
     _, _, one, other = key
     groups = groups.sort_values("g")
@@ -162,7 +162,7 @@ def _tile_pair(key: tuple, groups: pd.DataFrame, cells: pd.DataFrame) -> pd.Data
     nonzero[row, column] = True
     values = np.repeat(zero[:, None], len(columns), 1)
     values[row, column] = cells["p"].to_numpy(np.int64)
-    first = 0 if one == other else int((number // TILE == one).sum())
+    first = 0 if one == other else int((number // tile == one).sum())
     table = distances(values, nonzero, zero, first, int(groups["width"].iloc[0]))
     a, b = np.triu_indices(len(groups), 1)
     if first:
@@ -216,23 +216,27 @@ class Divergence:
 
     def pairs(self) -> DataFrame:
         """(lang, source, other, value): the distance of every group to every other one of its language."""
-        tiles = _small(self.groups.groupBy("lang").agg(F.floor(F.max("g") / TILE).cast("int").alias("last")))
+        tile = TILE
+        tiles = _small(self.groups.groupBy("lang").agg(F.floor(F.max("g") / tile).cast("int").alias("last")))
         group = ("lang", "stripe", "one", "other")
 
         def dealt(rows: DataFrame) -> DataFrame:
             """Each row once for every pair of tiles that its own is one of."""
-            own, every = F.floor(F.col("g") / TILE).cast("int"), F.explode(F.sequence(F.lit(0), F.col("last")))
+            own, every = F.floor(F.col("g") / tile).cast("int"), F.explode(F.sequence(F.lit(0), F.col("last")))
             return rows.join(tiles, "lang").withColumn("_own", own).withColumn("_every", every).withColumns(
                 {"one": F.least("_own", "_every"), "other": F.greatest("_own", "_every")}
             )
 
+        def tile_pair(key: tuple, rows: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+            return _tile_pair(key, rows, cells, tile)
+
         rows = self.groups.join(self.stripes, "lang", "left").withColumns(
             {c: F.coalesce(c, F.lit(0)) for c in ("stripe", "width")}
         )
         rows = dealt(rows).select(*group, "g", "zero", "width")
         cells = dealt(self.cells.select("lang", "stripe", "g", "term_id", "p")).select(*group, "g", "term_id", "p")
         part = rows.groupBy(*group).cogroup(cells.groupBy(*group)).applyInPandas(
-            _tile_pair, "lang string, a int, b int, value long"
+            tile_pair, "lang string, a int, b int, value long"
         )
         whole = stored(part.groupBy("lang", "a", "b").agg(F.sum("value").alias("value")))
         named = self.groups.select("lang", "source", "g")
