@@ -20,7 +20,7 @@ from ..domains import AREA_METHOD, SURVEY, measure_cols, sample_cols, size_col
 from .joins import full_join_ns, quoted
 
 BITS = 62
-COPIES, COUNTED, LEADER, SURVEYED = "_copies", "_counted", "_leader", "_surveyed"
+ANSWERS, COPIES, COUNTED, LEADER, SURVEYED = "_answers", "_copies", "_counted", "_leader", "_surveyed"
 
 
 def per_measure(measures: Sequence[str], template: str) -> list[Column]:
@@ -174,31 +174,57 @@ def _complete(i: int) -> str:
     return f"(_gaps{i // BITS} & {1 << (i % BITS)}L) = 0"
 
 
-def respondent_cells(responses: DataFrame, unit: str, cells: Sequence[str], counted: Column) -> DataFrame:
-    """One row per survey, respondent and cell, with what the respondent reported over all cells.
+# Which answers to "did you fish" a respondent gave, one bit each.
+ANSWER = "CASE WHEN did_not_fish IS NULL THEN 4 WHEN did_not_fish THEN 1 ELSE 2 END"
+
+
+def respondent_states(responses: DataFrame, unit: str, cells: Sequence[str], counted: Column) -> DataFrame:
+    """One row per survey, respondent and cell, with sums, counts and flags that merge into coarser cells.
 
-    The first grouping combines rows before they are shuffled, so neither a respondent nor a cell with a
-    large part of all rows reaches one task. What then meets per respondent is at most one row per cell.
+    Rows are combined before they are shuffled, so neither a respondent nor a cell with a large part of all rows
+    reaches one task. This is the only look that an analysis takes at the responses.
     """
     measures = measure_cols(responses)
-    gaps = _gap_words(measures)
     flagged = responses.withColumns({COUNTED: counted, SURVEYED: F.coalesce(is_surveyed(), F.lit(False))})
-    rows = flagged.groupBy(SURVEY, unit, *cells).agg(
-        *(F.expr(f"bit_or(if({SURVEYED}, {word}, 0L)) AS {g}") for g, word in gaps.items()),
+    return flagged.groupBy(SURVEY, unit, *cells).agg(
+        *(F.expr(f"bit_or(if({SURVEYED}, {word}, 0L)) AS {g}") for g, word in _gap_words(measures).items()),
         *per_measure(measures, TOTAL),
         *per_measure(measures, f"coalesce(sum({{m}}) FILTER (WHERE {COUNTED}), 0) AS `counted_{{x}}`"),
         F.count_if(F.col(COUNTED)).alias(COUNTED),
         F.bool_or(SURVEYED).alias(SURVEYED),
+        F.expr(f"bit_or({ANSWER}) AS {ANSWERS}"),
+    )
+
+
+def rolled_up(states: DataFrame, unit: str, cells: Sequence[str]) -> DataFrame:
+    """``respondent_states`` of fewer cell columns, from those of more."""
+    measures = measure_cols(states)
+    return states.groupBy(SURVEY, unit, *cells).agg(
+        *(F.bit_or(g).alias(g) for g in _gap_words(measures)),
+        *per_measure(measures, "sum({m}) AS {m}"),
+        *per_measure(measures, "sum(`counted_{x}`) AS `counted_{x}`"),
+        F.sum(COUNTED).alias(COUNTED),
+        F.bool_or(SURVEYED).alias(SURVEYED),
+        F.bit_or(ANSWERS).alias(ANSWERS),
     )
+
+
+def respondents(states: DataFrame, unit: str, cells: Sequence[str]) -> DataFrame:
+    """States beside what the respondent reported over all cells. At most one row per cell meets per respondent."""
     ordered = Window.partitionBy(SURVEY, unit).orderBy(*cells)
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.withColumns({
+    return states.withColumns({
         SURVEYED: F.bool_or(SURVEYED).over(whole),
-        **{g: F.bit_or(g).over(whole) for g in gaps},
+        **{g: F.bit_or(g).over(whole) for g in _gap_words(measure_cols(states))},
         LEADER: F.row_number().over(ordered) == 1,
     })
 
 
+def respondent_cells(responses: DataFrame, unit: str, cells: Sequence[str], counted: Column) -> DataFrame:
+    """One row per survey, respondent and cell, with what the respondent reported over all cells."""
+    return respondents(respondent_states(responses, unit, cells, counted), unit, cells)
+
+
 def stratum_cells(
     responses: DataFrame,
     registry: DataFrame,
@@ -207,6 +233,16 @@ def stratum_cells(
     strata: Sequence[str],
     cells: Sequence[str],
     counted: Column | None = None,
+) -> DataFrame:
+    """Everything an estimate needs, per stratum and cell, from responses: see ``cells_from_states``."""
+    counted = is_counted() if counted is None else counted
+    states = respondent_states(responses, response_unit, cells, counted)
+    return cells_from_states(states, registry, response_unit, registry_unit, strata, cells)
+
+
+def cells_from_states(
+    states: DataFrame, registry: DataFrame, response_unit: str, registry_unit: str, strata: Sequence[str],
+    cells: Sequence[str],
 ) -> DataFrame:
     """Everything an estimate needs, per stratum and cell.
 
@@ -214,9 +250,8 @@ def stratum_cells(
     rows that count (measure name) and the stratum's sample sizes (``n_``). A respondent listed several
     times in the registry counts once per stratum, with as many times its totals.
     """
-    measures = measure_cols(responses)
-    counted = is_counted() if counted is None else counted
-    people = respondent_cells(responses, response_unit, cells, counted)
+    measures = measure_cols(states)
+    people = respondents(states, response_unit, cells)
     members = registry.where(F.col(registry_unit).isNotNull()).select(
         SURVEY, F.col(registry_unit).alias(response_unit), *strata
     )

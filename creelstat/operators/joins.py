@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..domains import SURVEY
 
@@ -93,6 +94,38 @@ def drop_out_of_period(df: DataFrame, survey_start, survey_end, key: str = "full
     return df.join(outside.select(*keys).distinct(), keys, "left_anti")
 
 
+def licences_in_period(registry: DataFrame, survey_start, survey_end, key: str = "full_licence_id") -> DataFrame:
+    """Registry rows of licences none of whose rows lies outside the survey period.
+
+    Equal rows are grouped first and the flag is taken over a licence's groups, so the registry is read once and
+    many copies of one licence arrive as one row.
+    """
+    keys = [c for c in (SURVEY,) if c in registry.columns] + [key]
+    grouped = registry.groupBy(*registry.columns).agg(F.count("*").alias("_copies"))
+    outside = (F.col("end_date") < survey_start) | (F.col("start_date") > survey_end)
+    licence = Window.partitionBy(*keys)
+    kept = grouped.withColumn("_outside", F.bool_or(F.coalesce(outside, F.lit(False))).over(licence))
+    kept = kept.where(~F.col("_outside") | F.col(key).isNull())
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*registry.columns)
+
+
+def attach_valid(responses: DataFrame, registry: DataFrame, key: str = "surveykey") -> DataFrame:
+    """``attach_responses`` without the responses of keys that have no match, or one without a residency.
+
+    The registry says which keys are bad, so neither input is read twice.
+    """
+    grouped = registry.where(F.col("survey_access_key").isNotNull()).groupBy(*registry.columns).agg(
+        F.count("*").alias("_copies")
+    )
+    keys = [c for c in (SURVEY,) if c in registry.columns] + ["survey_access_key"]
+    bad = F.bool_or(F.col("resident_status").isNull()).over(Window.partitionBy(*keys))
+    joined = attach_responses(responses, grouped.withColumn("_bad", bad), key)
+    rest = [c for c in joined.columns if c not in ("_copies", "_bad")]
+    good = joined.where(F.col("survey_access_key").isNull() | ~F.coalesce("_bad", F.lit(True)))
+    copies = F.explode(F.sequence(F.lit(1), F.coalesce(F.col("_copies"), F.lit(1)).cast("int")))
+    return good.withColumn("_copy", copies).select(*rest)
+
+
 def drop_excluded(responses: DataFrame, exclude: DataFrame | None, key: str) -> DataFrame:
     """Drop responses on the exclusion list; NULL keys stay."""
     if exclude is None:

@@ -15,11 +15,11 @@ from pyspark.sql.window import Window
 
 from ..config import LicenceYear
 from ..domains import (
-    AGES, COMPLETE, DETAIL_CELLS, INCOMPLETE, LICENCE_TYPES, MAX_MISSING_KEY_RATIO, MONTHS, RESIDENCY, SURVEY,
+    ADULT_OR_SENIOR, AGES, COMPLETE, DETAIL_CELLS, INCOMPLETE, LICENCE_TYPES, MAX_MISSING_KEY_RATIO, MONTHS, RESIDENCY, SURVEY,
     UNSOLD_FISHER_ID, VENDOR_SALES_OPTIONAL_FROM, measure_cols, size_col,
 )
 from ..functions.text import strip
-from .estimate import by_survey
+from .estimate import ANSWERS, by_survey
 from .joins import missing_ids, union_aligned
 from .registry import AGE_CODES, CODE, FAMILY_CODE, RESIDENCY_CODES, TYPE_CODES, date_registry, term_length
 from .vendor import CATEGORY
@@ -283,11 +283,48 @@ def vendor_domains(vendor: DataFrame) -> DataFrame:
     )
 
 
-def missing_strata_cols(df: DataFrame, expected: Sequence[str] = DETAIL_CELLS) -> DataFrame:
-    """Cell columns that the responses lack; the analysis goes on without them."""
-    gaps = [c for c in expected if c not in df.columns]
-    rows = [("missing_strata_cols", WARNING, c, "column missing") for c in gaps]
-    return df.sparkSession.createDataFrame(rows, SCHEMA)
+def missing_strata_cols(responses: DataFrame, expected: Sequence[str] = DETAIL_CELLS) -> DataFrame:
+    """Cell columns that a survey's responses lack: absent, or without any value, in one aggregate over all surveys.
+
+    Where surveys are stacked, a column that only some of them have is NULL in the others, so those have one cell of
+    it and their estimates are as if it were not there.
+    """
+    held = [F.count(c).alias(c) if c in responses.columns else F.lit(0).cast("long").alias(c) for c in expected]
+    surveys = by_survey(responses, [])
+    counts = responses.groupBy(*surveys).agg(F.count("*").alias("rows"), *held).where(F.col("rows") > 0)
+    long = counts.unpivot(surveys, list(expected), "column", "n").where(F.col("n") == 0)
+    return _violations(long, "missing_strata_cols", WARNING, F.col("column"), "column missing")
+
+
+def mixed_answers(states: DataFrame, key: str) -> DataFrame:
+    """``mixed_dnf`` from respondent states, which carry a bit for each kind of answer."""
+    seen = states.groupBy(*by_survey(states, [key])).agg(F.bit_or(ANSWERS).alias(ANSWERS))
+    return _violations(
+        seen.where(F.bit_count(ANSWERS) > 1), "mixed_dnf", ERROR, F.col(key), "fished and did not fish"
+    )
+
+
+def grouped_ages(collapsed: DataFrame) -> DataFrame:
+    """Surveys whose vendors report adult and senior non-resident annual sales as one category."""
+    sold = collapsed.where(F.col("combined_sales") > 0).select(*by_survey(collapsed, [])).distinct()
+    return _violations(
+        sold, "ages_grouped", WARNING, F.lit(ADULT_OR_SENIOR), "adult and senior non-resident licences are grouped"
+    )
+
+
+def strata_settings(calendar: DataFrame) -> DataFrame:
+    """What each survey stratifies by, for the record."""
+    settings = F.array(
+        F.struct(F.lit("stamp_stratify").alias("key"), F.col("stamp_stratify").cast("string").alias("value")),
+        F.struct(F.lit("period_stratify").alias("key"), F.col("period_stratify").cast("string").alias("value")),
+        F.struct(
+            F.lit("period_stratify_date").alias("key"), F.col("period_stratify_date").cast("string").alias("value")
+        ),
+    )
+    rows = calendar.select(SURVEY, F.inline(settings))
+    return _violations(
+        rows, "strata_settings", INFO, F.col("key"), F.concat(F.lit("set to "), F.coalesce("value", F.lit("nothing")))
+    )
 
 
 def sample_text(df: DataFrame, group: Sequence[str], column: str, n: int = SAMPLE, collapse: str = "\n") -> DataFrame:
@@ -302,6 +339,7 @@ def sample_text(df: DataFrame, group: Sequence[str], column: str, n: int = SAMPL
     texts = shown.groupBy(*group).agg(F.array_join(F.array_sort(F.collect_list("value")), collapse).alias("shown"))
     joined = counts.join(texts, list(group))
     more = F.col("n_values") - n
+    # fixed value: how messages end that leave keys out
     text = F.when(more > 0, F.concat("shown", F.lit(f"{collapse}...+"), more.cast("string"), F.lit(" more...")))
     return joined.select(*group, "n_values", text.otherwise(F.col("shown")).alias("sample"))
 

@@ -92,6 +92,17 @@ def eligible(df: DataFrame, periods: Sequence[SurveyPeriod]) -> DataFrame:
     return rows.select(*(F.col(f"survey.{f}") for f in fields), *columns)
 
 
+def stamp_sets(df: DataFrame) -> DataFrame:
+    """Strata of surveys with and without the stamp in one key, as grouping sets have it.
+
+    The stamp is NULL in surveys that don't stratify by it; ``strata_set`` is 1 in those that do and 0 elsewhere.
+    """
+    return df.withColumns({
+        "stamp": F.when(F.col("stamp_stratify"), F.col("stamp")),
+        "strata_set": F.coalesce(F.col("stamp_stratify"), F.lit(False)).cast("int"),
+    })
+
+
 CALENDAR_COLUMNS = ["survey_start", "survey_end", "period_stratify", "split_date", "stamp_stratify"]
 
 
@@ -103,6 +114,16 @@ def period_strata(df: DataFrame) -> DataFrame:
     )
 
 
+def combined_sales(vendor: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sales of the category that stands for adults and seniors together, per survey."""
+    together = (
+        (F.col("resident_status") == NON_RESIDENT)
+        & (F.col("licence_type") == ANNUAL)
+        & (F.col("age_category") == ADULT_OR_SENIOR)
+    )
+    return vendor.where(together).groupBy(*keys).agg(F.max("month_total").alias("combined_sales"))
+
+
 def collapse_age(df: DataFrame, vendor: DataFrame) -> DataFrame:
     """Follow vendors who report adult and senior non-resident annual sales as one category.
 
@@ -110,15 +131,7 @@ def collapse_age(df: DataFrame, vendor: DataFrame) -> DataFrame:
     size, so it is broadcast: a shuffle on residency and type would put a third of the registry in one task.
     """
     keys = [c for c in (SURVEY,) if c in df.columns and c in vendor.columns] + ["resident_status", "licence_type"]
-    combined = (
-        vendor.where(
-            (F.col("resident_status") == NON_RESIDENT)
-            & (F.col("licence_type") == ANNUAL)
-            & (F.col("age_category") == ADULT_OR_SENIOR)
-        )
-        .groupBy(*keys)
-        .agg(F.max("month_total").alias("combined_sales"))
-    )
+    combined = combined_sales(vendor, keys)
     joined = df.join(F.broadcast(combined), keys, "left")
     age = F.when(F.col("combined_sales") > 0, ADULT_OR_SENIOR).otherwise(F.col("age_category"))
     return joined.withColumn("age_category", age).select(*df.columns)

@@ -14,9 +14,11 @@ from ..domains import (
 )
 from ..operators import estimate as est
 from ..operators import quality as dq
-from ..operators.joins import attach_inner, attach_responses, drop_out_of_period, union_aligned
+from ..operators.joins import attach_inner, attach_responses, licences_in_period, union_aligned
 from ..operators.responses import drop_pii
-from ..operators.strata import CALENDAR_COLUMNS, collapse_age, draw_type, eligible, period_strata
+from ..operators.strata import (
+    CALENDAR_COLUMNS, collapse_age, combined_sales, draw_type, eligible, period_strata, stamp_sets,
+)
 from ..operators.vendor import adult_population, vendor_summary
 from .bundle import Bundle
 
@@ -37,11 +39,10 @@ def with_survey(responses: DataFrame, periods: Sequence[SurveyPeriod]) -> DataFr
 
 
 def instant_strata(periods: Sequence[SurveyPeriod]) -> list[str]:
-    """Purchase period strata, with the stamp when the surveys ask for it."""
+    """Purchase period strata, with the stamp where surveys ask for it; where only some do, with the set of strata."""
     stamped = {p.stamp_stratify for p in periods}
-    if len(stamped) > 1:
-        raise ValueError("Surveys estimated together must agree on stamp_stratify.")
-    return [*PERIOD_STRATA, *(["stamp"] if stamped.pop() else [])]
+    extra = ["stamp", "strata_set"] if len(stamped) > 1 else ["stamp"] if stamped == {True} else []
+    return [*PERIOD_STRATA, *extra]
 
 
 class _Analysis(Bundle):
@@ -97,8 +98,9 @@ class InstantAnalysis(_Analysis):
         cell_cols: Sequence[str] = DETAIL_CELLS, keep: Keep = lazy,
     ) -> None:
         self.responses = drop_pii(with_survey(responses, periods))
-        self.licences = period_strata(eligible(registry, periods))
         self.strata = instant_strata(periods)
+        licences = period_strata(eligible(registry, periods))
+        self.licences = stamp_sets(licences) if "strata_set" in self.strata else licences
         self.expected_cells = cell_cols
         self.sum_cells = self.spread_cells = [c for c in cell_cols if c in responses.columns]
         self.keep = keep
@@ -111,10 +113,14 @@ class InstantAnalysis(_Analysis):
     def licence_summary(self) -> DataFrame:
         return self.pop
 
+    @cached_property
+    def states(self) -> DataFrame:
+        return self.keep(est.respondent_states(self.responses, "surveykey", self.sum_cells, est.is_counted()))
+
     @cached_property
     def sums(self) -> DataFrame:
-        return self.keep(est.stratum_cells(
-            self.responses, self.licences, "surveykey", "survey_access_key", self.strata, self.sum_cells
+        return self.keep(est.cells_from_states(
+            self.states, self.licences, "surveykey", "survey_access_key", self.strata, self.sum_cells
         ))
 
     @property
@@ -125,13 +131,14 @@ class InstantAnalysis(_Analysis):
     def violations(self) -> DataFrame:
         known = self.licences.select(SURVEY, F.col("survey_access_key").alias("surveykey"))
         known = known.where(F.col("surveykey").isNotNull())
-        answers = self.responses.select(SURVEY, "surveykey", "did_not_fish").distinct()
         return self.keep(union_aligned(
-            dq.unknown_ids(self.responses, known, "surveykey"),
-            dq.mixed_dnf(answers.join(known.distinct(), [SURVEY, "surveykey"], "left_semi"), "surveykey"),
+            dq.unknown_ids(self.states, known, "surveykey"),
+            dq.mixed_answers(self.states, "surveykey").join(
+                known.select(SURVEY, F.col("surveykey").alias("key")).distinct(), [SURVEY, "key"], "left_semi"
+            ),
             dq.duplicate_licences(self.licences, "licence_id", self.strata),
             dq.duplicate_licences(known, "surveykey", []),
-            dq.missing_strata_cols(self.responses, self.expected_cells),
+            dq.missing_strata_cols(self.states, self.expected_cells),
             dq.nonpositive_cells(self.sums, self.strata),
         ))
 
@@ -169,12 +176,15 @@ class DrawAnalysis(_Analysis):
 
     @cached_property
     def members(self) -> DataFrame:
-        return drop_out_of_period(self.licences, F.col("survey_start"), F.col("survey_end"))
+        return licences_in_period(self.licences, F.col("survey_start"), F.col("survey_end"))
+
+    @cached_property
+    def states(self) -> DataFrame:
+        return self.keep(est.respondent_states(self.responses, "licence_id", self.sum_cells, est.is_surveyed()))
 
     def _cells(self, cells: Sequence[str]) -> DataFrame:
-        return self.keep(est.stratum_cells(
-            self.responses, self.members, "licence_id", "licence_id", DRAW_STRATA, cells, est.is_surveyed()
-        ))
+        states = self.states if list(cells) == self.sum_cells else est.rolled_up(self.states, "licence_id", cells)
+        return self.keep(est.cells_from_states(states, self.members, "licence_id", "licence_id", DRAW_STRATA, cells))
 
     @cached_property
     def sums(self) -> DataFrame:
@@ -188,11 +198,12 @@ class DrawAnalysis(_Analysis):
     def violations(self) -> DataFrame:
         counted = self.sums.where(F.col(est.COUNTED) > 0)
         return self.keep(union_aligned(
-            dq.unknown_ids(self.responses, self.licences, "licence_id"),
+            dq.unknown_ids(self.states, self.licences, "licence_id"),
             dq.catch_without_area(
                 counted.select(SURVEY, *DRAW_STRATA, *self.sum_cells, *measure_cols(counted))
             ),
-            dq.period_outside(self.licences, self.responses),
+            dq.period_outside(self.licences, self.states),
+            dq.grouped_ages(combined_sales(self.sales, [SURVEY])),
             dq.vendor_domains(self.vendor),
             dq.nonpositive_cells(self.spread, DRAW_STRATA),
         ))
