@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .dates import parse_date
+from .text import strip
 
 # Spellings of a logical value; anything else is missing.
 TRUE_TEXT = ["T", "TRUE", "true", "True"]
@@ -18,6 +19,13 @@ def to_number(col: Column) -> Column:
     return col.try_cast("double")
 
 
+def ungrouped(col: Column) -> Column:
+    """Numbers without the commas between groups of three digits."""
+    text = strip(col.cast("string"))
+    grouped = text.rlike(r"^[+-]?[0-9]{1,3}(,[0-9]{3})+([.][0-9]*)?$")
+    return F.when(grouped, F.replace(text, F.lit(","))).otherwise(text)
+
+
 def to_integer(col: Column, kind: str = "int") -> Column:
     """Drops the fraction: ``'3.9' -> 3``; text that is no number is NULL."""
     return to_number(col).try_cast(kind)

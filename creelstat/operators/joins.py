@@ -126,20 +126,22 @@ def attach_valid(responses: DataFrame, registry: DataFrame, key: str = "surveyke
     return good.withColumn("_copy", copies).select(*rest)
 
 
+def listed_ids(exclude: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of an exclusion list, in a column ``key``."""
+    listed = "licence_id" if "licence_id" in exclude.columns else "survey_access_key"
+    return exclude.select(F.col(listed).cast("string").alias(key)).where(F.col(key).isNotNull()).distinct()
+
+
 def drop_excluded(responses: DataFrame, exclude: DataFrame | None, key: str) -> DataFrame:
     """Drop responses on the exclusion list; NULL keys stay."""
     if exclude is None:
         return responses
-    listed = "licence_id" if "licence_id" in exclude.columns else "survey_access_key"
-    ids = exclude.select(F.col(listed).cast("string").alias(key)).where(F.col(key).isNotNull()).distinct()
-    return responses.join(ids, key, "left_anti")
+    return responses.join(listed_ids(exclude, key), key, "left_anti")
 
 
 def keep_excluded(responses: DataFrame, exclude: DataFrame, key: str) -> DataFrame:
     """The responses that ``drop_excluded`` drops."""
-    listed = "licence_id" if "licence_id" in exclude.columns else "survey_access_key"
-    ids = exclude.select(F.col(listed).cast("string").alias(key)).where(F.col(key).isNotNull()).distinct()
-    return responses.join(ids, key, "left_semi")
+    return responses.join(listed_ids(exclude, key), key, "left_semi")
 
 
 def drop_invalid_keys(df: DataFrame, key: str = "survey_access_key") -> DataFrame:

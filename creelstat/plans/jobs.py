@@ -11,18 +11,17 @@ from pyspark.sql import functions as F
 
 from .. import sinks
 from ..config import LicenceYear, SurveyPeriod, calendar_frame
-from ..domains import COMPLETE, FIRST_INSTANT_YEAR, SURVEY, measure_cols, size_col
-from ..functions.text import ascii_fold, strip
+from ..domains import FIRST_INSTANT_YEAR, SURVEY, measure_cols, size_col
+from ..functions.text import ascii_fold
 from ..operators import quality as dq
-from ..operators.joins import attach_inner, attach_responses, drop_excluded, keep_excluded, raw_join, union_aligned
+from ..operators.intake import Intake
+from ..operators.joins import attach_inner, attach_responses, raw_join, union_aligned
 from ..operators.registry import clean_registry
-from ..operators.responses import (
-    LEGACY_MEASURE_LETTER, LEGACY_NAMES, VALID_FISHING_CODES, Labels, clean_key, drop_pii, load_responses, response_key,
-)
+from ..operators.responses import Labels, drop_pii, load_responses, response_key
 from ..operators.strata import CALENDAR_COLUMNS, eligible, stamp_flag
 from ..sources import (
     normalise_registry, read_adjustments, read_exclude, read_registry_source, read_responses, read_vendor_sales,
-    unread_dates, unread_numbers, unread_sales,
+    unread_dates, unread_sales,
 )
 from .bundle import ESTIMATES, Bundle, checkpointed, ensure_checkpoint_dir, stacked_tables
 from .estimators import estimate_inst, estimate_prepost
@@ -74,54 +73,46 @@ def _find_responses(spark: SparkSession, cfg: JobConfig, period: SurveyPeriod) -
 
 def _load_survey(
     spark: SparkSession, cfg: JobConfig, period: SurveyPeriod, raw: DataFrame, exclude: DataFrame | None
-) -> tuple[DataFrame, DataFrame]:
-    raw = raw.withColumn(SURVEY, F.lit(period.survey_id))
+) -> tuple[DataFrame, Intake, list[DataFrame]]:
+    """Normalised responses, the gates that are counted as they are read, and the findings of the side files."""
+    intake = Intake.of(period.survey_id, raw, period.modern_responses, exclude)
     adjusted = cfg.adjustments.get(period.survey_id)
     adjustments = read_adjustments(spark, adjusted)
     if adjustments is not None:
         adjustments = adjustments.withColumn(SURVEY, F.lit(period.survey_id))
-    loaded = load_responses(raw, period.modern_responses, cfg.labels, exclude, adjustments)
-
-    lower = raw.toDF(*(c.lower() for c in raw.columns))
-    key = "licence_id" if "licence_id" in lower.columns else "surveykey"
-    found = [dq.empty_input(raw, period.survey_id), dq.missing_key_ratio(lower, key)]
+    loaded = load_responses(intake.watched(), period.modern_responses, cfg.labels, exclude, adjustments)
+    found = []
     if adjusted and adjustments is None:
         found.append(dq.message(spark, "no_adjustments", dq.WARNING, period.survey_id, "no adjusted rows at the given path"))
-    measures = measure_cols(lower) if period.modern_responses else [
-        c for c in raw.columns if c.startswith(LEGACY_MEASURE_LETTER) and c not in LEGACY_NAMES
-    ]
-    found.append(dq.unread_values(unread_numbers(lower if period.modern_responses else raw, measures), "responses"))
-    if period.modern_responses:
-        named = clean_key(lower, key)
-        keyed = drop_excluded(named, exclude, key)
-        if exclude is not None:
-            found.append(dq.counted(
-                keep_excluded(named, exclude, key), "excluded_responses", period.survey_id, "rows of excluded keys"
-            ))
-        unfinished = ~F.coalesce(strip(F.col("completesurvey")) == COMPLETE, F.lit(False))
-        found.append(dq.counted(
-            keyed.where(unfinished), "incomplete_responses", period.survey_id, "rows of surveys not completed"
-        ))
-        found.append(dq.domain(keyed, "didnotfish", VALID_FISHING_CODES))
-        found.append(dq.completion(keyed))
     if adjustments is not None:
         name = response_key(adjustments)
         found.append(dq.mixed_dnf(adjustments, name))
         found.append(dq.mixed_null(adjustments, name, measure_cols(adjustments)))
-    return loaded, union_aligned(*found)
+    return loaded, intake, found
 
 
 Unasked = dict[str, list[str]]
 
 
-def load_surveys(
-    spark: SparkSession, cfg: JobConfig
-) -> tuple[list[SurveyPeriod], DataFrame, DataFrame, Unasked]:
-    """Surveys that have responses, those responses stacked, what the checks found, and by measure the surveys that
-    did not ask it. Such measures are zero while they are counted; ``withhold`` takes them out of the results.
+@dataclass
+class Surveys:
+    """Surveys that have responses, and those responses stacked.
+
+    ``intakes`` are their gates, to be asked once the responses were read; ``found`` is what other checks found.
+    ``unasked`` has by measure the surveys that did not ask it. Such measures are zero while they are counted;
+    ``withhold`` takes them out of the results.
     """
+
+    periods: list[SurveyPeriod]
+    responses: DataFrame
+    intakes: list[Intake]
+    found: list[DataFrame]
+    unasked: Unasked
+
+
+def load_surveys(spark: SparkSession, cfg: JobConfig) -> Surveys:
     exclude = read_exclude(spark, cfg.exclude)
-    present, frames, found = [], [], []
+    present, frames, intakes, found = [], [], [], []
     if exclude is None:
         found.append(dq.message(spark, "no_exclusions", dq.WARNING, cfg.exclude or "(none)", "nobody is excluded"))
     for period in cfg.periods:
@@ -129,10 +120,11 @@ def load_surveys(
         if raw is None:
             found.append(dq.message(spark, "missing_survey", dq.WARNING, period.survey_id, "no survey data"))
             continue
-        responses, violations = _load_survey(spark, cfg, period, raw, exclude)
+        responses, intake, findings = _load_survey(spark, cfg, period, raw, exclude)
         present.append(period)
         frames.append(responses)
-        found.append(violations)
+        intakes.append(intake)
+        found += findings
     if not frames:
         raise ValueError("No survey data for any period.")
     asked = list(dict.fromkeys(m for frame in frames for m in measure_cols(frame)))
@@ -142,7 +134,7 @@ def load_surveys(
             found.append(dq.message(spark, "missing_measure", dq.WARNING, period.survey_id, measure))
             frames[i] = frames[i].withColumn(measure, F.lit(0))
             unasked.setdefault(measure, []).append(period.survey_id)
-    return present, union_aligned(*frames), union_aligned(*found), unasked
+    return Surveys(present, union_aligned(*frames), intakes, found, unasked)
 
 
 def withhold(df: DataFrame, unasked: Unasked) -> DataFrame:
@@ -167,29 +159,31 @@ def _publish_and_enforce(cfg: JobConfig, fatal: DataFrame, everything: DataFrame
 def run(spark: SparkSession, cfg: JobConfig) -> Bundle:
     """Load and estimate, with the small tables checkpointed so that all results share one pass.
 
-    All violations with all their keys go to the dataset ``violations`` of the output before an error stops the job;
-    the log keeps a short form.
+    The responses are read once, to combine them per respondent, and a survey in which that read counted violations
+    a second time to spell them out. All violations with all their keys go to the dataset ``violations`` of the output
+    before an error stops the job; the log keeps a short form.
     """
     ensure_checkpoint_dir(spark)
     registry, registry_findings = load_registry(spark, cfg)
-    periods, responses, response_findings, unasked = load_surveys(spark, cfg)
+    surveys = load_surveys(spark, cfg)
+    periods, unasked = surveys.periods, surveys.unasked
     calendar = calendar_frame(spark, cfg.year, periods)
-    calendar_findings = union_aligned(dq.period_same_month(calendar), dq.split_date_in_year(calendar))
-    before = union_aligned(registry_findings, response_findings, calendar_findings)
-    before = checkpointed(before)
-    _publish_and_enforce(cfg, before)
-
+    found = [
+        registry_findings, dq.period_same_month(calendar), dq.split_date_in_year(calendar), dq.strata_settings(calendar),
+        *surveys.found,
+    ]
     if cfg.year.start.year < FIRST_INSTANT_YEAR:
         if cfg.vendor_sales is None:
             raise ValueError("A vendor sales file must exist.")
         vendor = read_vendor_sales(spark, cfg.vendor_sales)
-        _publish_and_enforce(cfg, checkpointed(union_aligned(
-            before, dq.unread_values(unread_sales(spark, cfg.vendor_sales), "vendor sales"),
-            *(dq.vendor_months(vendor, p.month_name, cfg.year) for p in periods),
-        )))
-        bundle = estimate_prepost(periods, registry, responses, vendor, cfg.year, checkpointed)
+        found.append(dq.unread_values(unread_sales(spark, cfg.vendor_sales), "vendor sales"))
+        found += [dq.vendor_months(vendor, p.month_name, cfg.year) for p in periods]
+        bundle = estimate_prepost(periods, registry, surveys.responses, vendor, cfg.year, checkpointed)
     else:
-        bundle = estimate_inst(periods, registry, responses, keep=checkpointed)
+        bundle = estimate_inst(periods, registry, surveys.responses, keep=checkpointed)
+    bundle.states  # the read of the responses, in which their gates are counted
+    before = checkpointed(union_aligned(*found, *(intake.violations() for intake in surveys.intakes)))
+    _publish_and_enforce(cfg, before)
     _publish_and_enforce(cfg, bundle.violations, union_aligned(before, bundle.violations))
     for name in ESTIMATES[1:] if unasked else ():  # the first, the population, has no measures
         setattr(bundle, name, withhold(getattr(bundle, name), unasked))

@@ -5,11 +5,11 @@ from __future__ import annotations
 import logging
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.conform import to_number
+from ..functions.conform import to_number, ungrouped
 from ..functions.text import strip
 from ..operators.responses import normalise_adjustments
 from ..operators.vendor import CATEGORY
@@ -111,7 +111,7 @@ def read_vendor_sales(spark: SparkSession, path: str, fmt: str = "csv") -> DataF
     df = _read(spark, path, fmt)
     df = df.toDF(*(VENDOR_ALIAS.get(c, c) for c in df.columns))
     months = [c for c in df.columns if c not in CATEGORY]
-    return df.select(*CATEGORY, *(to_number(_ungrouped(F.col(f"`{m}`"))).alias(m) for m in months))
+    return df.select(*CATEGORY, *(to_number(ungrouped(F.col(f"`{m}`"))).alias(m) for m in months))
 
 
 def unread_sales(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -128,11 +128,4 @@ def unread_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     if not text:
         return df.sparkSession.createDataFrame([], "column string, value string")
     rows = df.select(F.explode(pairs).alias("p")).select("p.column", strip(F.col("p.value")).alias("value"))
-    return rows.where((F.col("value") != "") & to_number(_ungrouped(F.col("value"))).isNull()).distinct()
-
-
-def _ungrouped(col: Column) -> Column:
-    """Numbers without the commas between groups of three digits."""
-    text = strip(col.cast("string"))
-    grouped = text.rlike(r"^[+-]?[0-9]{1,3}(,[0-9]{3})+([.][0-9]*)?$")
-    return F.when(grouped, F.replace(text, F.lit(","))).otherwise(text)
+    return rows.where((F.col("value") != "") & to_number(ungrouped(F.col("value"))).isNull()).distinct()

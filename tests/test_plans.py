@@ -7,10 +7,10 @@ from creelstat.operators import estimate as est
 from creelstat.operators import joins
 from creelstat.operators import quality as dq
 from creelstat.operators import registry as reg
-from creelstat.plans import estimate_inst
+from creelstat.plans import JobConfig, estimate_inst, run_month
 from creelstat.sources import normalise_registry
 from workload import catalogue, oracle
-from workload.fixtures import JULY, MONTHLY, YEAR, Fixture
+from workload.fixtures import JULY, LABELS, MONTHLY, YEAR, Fixture
 
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"]
 HEAVY = [
@@ -54,6 +54,48 @@ def test_responses_are_combined_before_they_are_shuffled(small):
     assert "partial_sum" in text[first_exchange:]
 
 
+def final_plan(df):
+    df.collect()
+    return plan(df).split("== Initial Plan ==")[0]
+
+
+def test_flags_need_no_second_read(small):
+    """Validity comes from the registry: one read of each input, where equal exchanges are used again."""
+    for name, scans in {"join_anti_invalid_key": 3, "join_anti_period": 3, "agg_total_variance": 4}.items():
+        assert final_plan(catalogue.CATALOGUE[name](small)).count("FileScan") <= scans, name
+
+
+def test_the_draw_analysis_looks_at_respondents_once(small):
+    bundle = catalogue.draw_estimate(small)
+    bundle.states = bundle.states.checkpoint()
+    for table in (bundle.sums, bundle.spread, bundle.survey_specific_variance):
+        assert "l_orderkey" not in plan(table)
+
+
+def test_a_job_reads_the_responses_twice_at_most(spark, small, tmp_path):
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    small.licence_raw.write.parquet(f"{tmp_path}/registry")
+    small.response_raw.write.parquet(f"{tmp_path}/july")
+    small.response_raw.where("completesurvey = 'Complete ' and surveykey is not null").write.parquet(f"{tmp_path}/clean")
+    reads = {}
+    for name in ("july", "clean"):
+        run_month(spark, JobConfig(
+            year=YEAR, periods=[JULY], registry=f"{tmp_path}/registry", registry_format="parquet", labels=LABELS,
+            responses={JULY.survey_id: f"{tmp_path}/{name}"}, output=f"{tmp_path}/{name}-out",
+        ))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    plans = [x.physicalPlanDescription() for x in _listed(store.executionsList(before, 10_000))]
+    for name in ("july", "clean"):
+        location = f"{tmp_path}/{name}]"
+        reads[name] = sum(p.split("== Initial Plan ==")[0].count(location) for p in plans)
+    assert 1 <= reads["july"] <= 2 and reads["clean"] == 1
+
+
+def _listed(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
 def test_samples_are_limited_before_the_shuffle(small):
     text = plan(dq.sample_text(small.clean, ["licence_type"], "full_licence_id", 10))
     assert text.count("WindowGroupLimit") == 2

@@ -130,7 +130,7 @@ def test_vendor_gates(spark):
 
 
 def test_missing_columns(spark):
-    df = spark.createDataFrame([], "area string, method string")
+    df = spark.createDataFrame([("Area 1", "Boat")], "area string, method string")
     assert [k for _, k, _ in found(dq.missing_strata_cols(df, ["area", "lodge"]))] == ["lodge"]
     assert found(dq.missing_strata_cols(df, ["area"])) == []
 

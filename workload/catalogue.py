@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creelstat import sinks
+from creelstat.config import SurveyPeriod
 from creelstat.domains import (
-    AREA_METHOD, DRAW_STRATA, DRAW_SUM_CELLS, PERIOD_STRATA, SENIOR, SURVEY, measure_cols, sample_cols,
+    AREA_METHOD, DRAW_STRATA, DRAW_SUM_CELLS, MONTHS, PERIOD_STRATA, SENIOR, SURVEY, measure_cols, sample_cols,
 )
 from creelstat.functions import (
     ascii_fold, licence_year_end, licence_year_start, licence_year_text, month_end, parse_date, yes_no,
@@ -19,13 +22,15 @@ from creelstat.functions import (
 from creelstat.functions.conform import conform
 from creelstat.functions.dates import licence_year_number
 from creelstat.operators import estimate as est
-from creelstat.operators import joins, strata, vendor
+from creelstat.operators import joins, sparse, strata, vendor
 from creelstat.operators import quality as dq
 from creelstat.operators import registry as reg
 from creelstat.operators import responses as resp
-from creelstat.plans import estimate_inst, estimate_prepost, export_responses, raw_export
-from creelstat.plans.bundle import ensure_checkpoint_dir, stack_periods
-from creelstat.sources import normalise_exclude, normalise_registry, read_registry
+from creelstat.plans import (
+    JobConfig, RegistrySnapshots, estimate_inst, estimate_prepost, export_responses, raw_export, run_annual, run_month,
+)
+from creelstat.plans.bundle import checkpointed, ensure_checkpoint_dir, stack_periods, stacked_tables
+from creelstat.sources import normalise_registry, read_adjustments, read_exclude, read_registry, read_vendor_sales
 
 from .fixtures import DRAW_JULY, DRAW_YEAR, JULY, LABELS, MONTHLY, YEAR, Fixture
 
@@ -60,7 +65,10 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("src_registry")
 def src_registry(fx):
-    return normalise_registry(fx.licence_raw.toDF(*(c.upper() for c in fx.licence_raw.columns)))
+    """A registry file with headings in capitals and spaces around them, read back; NA and blanks are missing."""
+    path = _scratch(fx)
+    sinks.write_csv(fx.licence_raw.toDF(*(f" {c.upper()} " for c in fx.licence_raw.columns)), path)
+    return read_registry(fx.spark, path)
 
 
 @query("src_registry_jdbc")
@@ -88,29 +96,44 @@ def src_responses_legacy(fx):
 
 @query("src_responses_dispatch")
 def src_responses_dispatch(fx):
-    """Legacy and modern periods in one table."""
-    old = resp.load_responses(fx.legacy_raw, False, LABELS)
-    new = resp.load_responses(fx.response_raw, True, LABELS, fx.exclude_ids, fx.adjustments)
-    both = joins.union_aligned(old.drop("year", "month", "day"), new)
-    return resp.drop_pii(both)
+    """Surveys on both sides of the change of layout, each read the way its start says, in one table."""
+    side = {
+        SurveyPeriod.month_from(dt.date(2014, 7, 1)): (fx.legacy_raw, None, None),
+        JULY: (fx.response_raw, fx.exclude_ids, fx.adjustments),
+    }
+    loaded = [
+        resp.load_responses(raw, period.modern_responses, LABELS, exclude, adjustments)
+        for period, (raw, exclude, adjustments) in side.items()
+    ]
+    return resp.drop_pii(joins.union_aligned(*loaded), dates=True)
 
 
 @query("src_exclude")
 def src_exclude(fx):
-    """An exclusion list under its alias heading, applied to the registry."""
-    listed = normalise_exclude(fx.exclude_ids.withColumnRenamed("survey_access_key", "licence.id"))
+    """An exclusion file under its alias heading, read and applied to the registry."""
+    path = _scratch(fx)
+    sinks.write_csv(fx.exclude_ids.withColumnRenamed("survey_access_key", "licence.id"), path)
     ids = fx.clean.select(F.concat(F.lit("K"), "licence_id").alias("licence_id"), "licence_type")
-    return joins.drop_excluded(ids, listed, "licence_id")
+    return joins.drop_excluded(ids, read_exclude(fx.spark, path), "licence_id")
 
 
 @query("src_adjustments")
 def src_adjustments(fx):
-    return resp.normalise_adjustments(fx.adjust_raw.withColumn("_c8", F.lit(None)))
+    """An adjustment file with headings in capitals and a column without one."""
+    path = _scratch(fx)
+    messy = fx.adjust_raw.withColumn("_c8", F.lit(None).cast("string"))
+    sinks.write_csv(messy.toDF(*(c.upper() if c != "_c8" else c for c in messy.columns)), path)
+    return read_adjustments(fx.spark, path)
 
 
 @query("src_vendor_sales")
 def src_vendor_sales(fx):
-    return vendor.vendor_summary(fx.vendor_wide, [JULY], YEAR).drop(SURVEY)
+    """A sales file with dotted headings and commas between thousands."""
+    path = _scratch(fx)
+    months = {m: F.format_number(m, 0) for m in MONTHS}
+    messy = fx.vendor_wide.withColumns(months).withColumnsRenamed({c: c.replace("_", ".") for c in vendor.CATEGORY})
+    sinks.write_csv(messy, path)
+    return vendor.vendor_summary(read_vendor_sales(fx.spark, path), [JULY], YEAR).drop(SURVEY)
 
 
 # --- projections and filters -------------------------------------------------------------------------------
@@ -324,8 +347,7 @@ def join_right_responses(fx):
 
 def _july_joined(fx: Fixture) -> DataFrame:
     """July responses of known respondents, with their strata, row by row."""
-    registry = fx.july.select("survey_access_key", *PERIOD_STRATA)
-    return joins.drop_invalid_keys(joins.attach_responses(fx.modern, registry))
+    return joins.attach_valid(fx.modern, fx.july.select("survey_access_key", *PERIOD_STRATA))
 
 
 def _july_population(fx: Fixture) -> DataFrame:
@@ -375,9 +397,10 @@ def join_full_raw(fx):
 
 @query("join_anti_period")
 def join_anti_period(fx):
-    joined = joins.attach_inner(_legacy_keyed(fx), fx.draw_licences.drop(SURVEY))
-    kept = joins.drop_out_of_period(joined, F.lit(DRAW_JULY.start), F.lit(DRAW_JULY.end))
-    return kept.select("full_licence_id", "licence_id", "draw_type", "area", "method", *MEASURES)
+    members = joins.licences_in_period(fx.draw_licences.drop(SURVEY), F.lit(DRAW_JULY.start), F.lit(DRAW_JULY.end))
+    return joins.attach_inner(_legacy_keyed(fx), members).select(
+        "full_licence_id", "licence_id", "draw_type", "area", "method", *MEASURES
+    )
 
 
 @query("join_anti_exclude")
@@ -474,9 +497,8 @@ def agg_cell_sums(fx):
 
 @query("agg_cell_sums_draw")
 def agg_cell_sums_draw(fx):
-    joined = joins.attach_inner(_legacy_keyed(fx), fx.draw_licences.drop(SURVEY))
-    joined = joins.drop_out_of_period(joined, F.lit(DRAW_JULY.start), F.lit(DRAW_JULY.end))
-    sums = est.cell_sums(joined, DRAW_STRATA, DRAW_SUM_CELLS, est.is_surveyed())
+    members = joins.licences_in_period(fx.draw_licences.drop(SURVEY), F.lit(DRAW_JULY.start), F.lit(DRAW_JULY.end))
+    sums = est.cell_sums(joins.attach_inner(_legacy_keyed(fx), members), DRAW_STRATA, DRAW_SUM_CELLS, est.is_surveyed())
     return sums.where(F.col("area").isNotNull())
 
 
@@ -484,8 +506,7 @@ def agg_cell_sums_draw(fx):
 def agg_sample_sizes(fx):
     """With adjustments, so that measures differ in completeness."""
     adjusted = resp.apply_adjustments(fx.modern, fx.adjustments)
-    registry = fx.july.select("survey_access_key", *PERIOD_STRATA)
-    joined = joins.drop_invalid_keys(joins.attach_responses(adjusted, registry))
+    joined = joins.attach_valid(adjusted, fx.july.select("survey_access_key", *PERIOD_STRATA))
     return est.sample_sizes(joined, "survey_access_key", PERIOD_STRATA)
 
 
@@ -502,21 +523,65 @@ def agg_zero_padded_variance(fx):
     )
 
 
+def _july_cells(fx: Fixture) -> DataFrame:
+    """Sums, spreads and sample sizes of July per stratum and cell, from one pass over the responses."""
+    responses = fx.modern.withColumn(SURVEY, F.lit(JULY.survey_id))
+    return est.stratum_cells(responses, fx.july, "surveykey", "survey_access_key", PERIOD_STRATA, AREA_METHOD)
+
+
 @query("agg_specific_variance")
 def agg_specific_variance(fx):
-    joined = _july_joined(fx)
-    sums = est.respondent_sums(joined, "survey_access_key", PERIOD_STRATA, AREA_METHOD)
-    sizes = est.sample_sizes(joined, "survey_access_key", PERIOD_STRATA)
-    return est.specific_variance(sums, sizes, PERIOD_STRATA, AREA_METHOD)
+    return est.variance_from_cells(_july_cells(fx), PERIOD_STRATA, AREA_METHOD).drop(SURVEY)
+
+
+SPARSE_MEASURES = [f"finfish_kind{i:03d}" for i in range(300)]
+
+
+def _many_measures(fx: Fixture) -> DataFrame:
+    """July responses that report one of 300 measures a row, and lack another one here and there."""
+    lines = fx.response_raw.select(
+        F.trim("surveykey").alias("surveykey"), (F.col("didnotfish") == 1).alias("did_not_fish"),
+        F.nullif(F.trim("area"), F.lit("")).alias("area"), F.nullif(F.trim("method"), F.lit("")).alias("method"),
+        F.when(F.col("didnotfish") == 1, 0).otherwise(1).alias("effort_days"),
+        F.coalesce("salmon_chinook_kept", F.lit(0)).alias("caught"), F.coalesce("halibut_kept", F.lit(0)).alias("other"),
+    ).where("surveykey IS NOT NULL").withColumn(SURVEY, F.lit(JULY.survey_id))
+    kinds = [
+        F.expr(f"CASE WHEN caught = 13 AND other * 75 = {i} THEN NULL WHEN (caught * 7 + other) % 300 = {i} THEN caught ELSE 0 END AS {m}")
+        for i, m in enumerate(SPARSE_MEASURES)
+    ]
+    path = _scratch(fx)  # as such responses arrive: a table of 300 columns
+    lines.select(SURVEY, "surveykey", "did_not_fish", "area", "method", "effort_days", *kinds).write.parquet(path)
+    return fx.spark.read.parquet(path)
+
+
+def _sparse_cells(fx: Fixture) -> DataFrame:
+    rows = _many_measures(fx)
+    states = checkpointed(sparse.long_states(rows, "surveykey", AREA_METHOD))
+    return sparse.long_cells(
+        states, fx.july, "surveykey", "survey_access_key", PERIOD_STRATA, AREA_METHOD, measure_cols(rows)
+    )
+
+
+@query("agg_specific_variance_long")
+def agg_specific_variance_long(fx):
+    """The variance of 301 measures in the long layout, for the cells in which they are not zero."""
+    return sparse.specific_variance(_sparse_cells(fx), PERIOD_STRATA, AREA_METHOD).drop(SURVEY)
+
+
+@query("agg_total_variance_long")
+def agg_total_variance_long(fx):
+    """Expanded totals and their variances of 301 measures in the long layout."""
+    table, pop = _sparse_cells(fx), est.population(fx.july, "licence_id", PERIOD_STRATA)
+    detail = sparse.estimate_detail(table, pop, PERIOD_STRATA, AREA_METHOD)
+    spread = sparse.total_variance(table, pop, PERIOD_STRATA, AREA_METHOD)
+    keys = [SURVEY, *AREA_METHOD, sparse.MEASURE]
+    return rounded(joins.full_join_ns(sparse.estimate_summary(detail), spread, keys), 4)
 
 
 @query("agg_total_variance")
 def agg_total_variance(fx):
-    joined = _july_joined(fx)
-    sums = est.respondent_sums(joined, "survey_access_key", PERIOD_STRATA, AREA_METHOD)
-    sizes = est.sample_sizes(joined, "survey_access_key", PERIOD_STRATA)
-    variance = est.specific_variance(sums, sizes, PERIOD_STRATA, AREA_METHOD)
-    return rounded(est.total_variance(variance, sizes, _july_population(fx), PERIOD_STRATA, AREA_METHOD), 4)
+    pop = est.population(fx.july, "licence_id", PERIOD_STRATA)
+    return rounded(est.total_from_cells(_july_cells(fx), pop, PERIOD_STRATA, AREA_METHOD).drop(SURVEY), 4)
 
 
 @query("agg_max_sample_size")
@@ -671,8 +736,11 @@ def dq_vendor_months(fx):
 
 @query("dq_missing_strata_cols")
 def dq_missing_strata_cols(fx):
-    """Columns the responses lack, beside how many of the responses lack a key."""
-    return joins.union_aligned(dq.missing_strata_cols(fx.modern), dq.missing_key_ratio(fx.response_raw, "surveykey"))
+    """A year of surveys of which the earlier ones did not ask about guides and one had no lodges filled in."""
+    rows = _year_responses(fx)
+    early = rows.where(F.col(SURVEY) < "2020-08").drop("guided")
+    late = rows.where(F.col(SURVEY) >= "2020-08").withColumn("lodge", F.when(F.col(SURVEY) != "2020-11", F.col("lodge")))
+    return dq.missing_strata_cols(joins.union_aligned(early, late))
 
 
 # --- calendar functions ------------------------------------------------------------------------------------
@@ -743,14 +811,67 @@ def job_month_prepost_variance(fx):
     return rounded(draw_estimate(fx).total_variance, 4)
 
 
-@query("job_month")
-def job_month(fx):
+@query("job_month_log")
+def job_month_log(fx):
     """All checks of a month as its message table, with adjustments and exclusions in place."""
     responses = resp.load_responses(fx.response_raw, True, LABELS, fx.exclude_ids, fx.adjustments)
     bundle = estimate_inst([JULY], fx.clean, responses, AREA_METHOD)
     return bundle.log
 
 
+RESULT_KEYS = ["year", "month_id", "strata_set"]
+
+
+def long_tables(tables: dict[str, DataFrame]) -> DataFrame:
+    """Result tables stacked as (table, key, name, value)."""
+    frames = []
+    for name, df in tables.items():
+        values = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in RESULT_KEYS]
+        keys = sorted(c for c in df.columns if c not in values)
+        key = F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in keys))
+        # a little off halves, which engines that add in another order would round both ways
+        rows = df.select(key.alias("key"), *((F.col(v) * 1.000000001).cast("double").alias(v) for v in values))
+        rows = rows.unpivot("key", values, "name", "value")
+        frames.append(rounded(rows, 4).select(F.lit(name).alias("table"), "key", "name", "value"))
+    return joins.union_aligned(*frames)
+
+
+@query("job_month")
+def job_month(fx):
+    """A month from files to files: registry, responses, exclusions and adjustments in, all eight tables out."""
+    root = _scratch(fx)
+    fx.licence_raw.write.parquet(f"{root}/registry")
+    fx.response_raw.write.parquet(f"{root}/july")
+    sinks.write_csv(fx.exclude_ids, f"{root}/exclude")
+    sinks.write_csv(fx.adjust_raw, f"{root}/adjusted")
+    run_month(fx.spark, JobConfig(
+        year=YEAR, periods=[JULY], registry=f"{root}/registry", registry_format="parquet", labels=LABELS,
+        responses={JULY.survey_id: f"{root}/july"}, exclude=f"{root}/exclude",
+        adjustments={JULY.survey_id: f"{root}/adjusted"}, output=f"{root}/results",
+    ))
+    return long_tables(sinks.read_bundle(fx.spark, f"{root}/results"))
+
+
+# Every other survey of the summer stratifies by the stamp, and the later ones have a split date.
+MIXED = [
+    replace(p, stamp_stratify=i % 2 == 0, split_date=dt.date(2020, 6, 15) if i > 1 else None)
+    for i, p in enumerate(MONTHLY[2:6])
+]
+
+
+@query("job_annual_run")
+def job_annual_run(fx):
+    """Surveys of different strata in one run from files to files, all tables read back."""
+    root = _scratch(fx)
+    fx.licence_raw.write.parquet(f"{root}/registry")
+    fx.response_year.write.partitionBy(SURVEY).parquet(f"{root}/responses")
+    run_annual(fx.spark, JobConfig(
+        year=YEAR, periods=MIXED, registry=f"{root}/registry", registry_format="parquet", labels=LABELS,
+        responses={p.survey_id: f"{root}/responses/{SURVEY}={p.survey_id}" for p in MIXED}, output=f"{root}/results",
+    ))
+    return long_tables(sinks.read_bundle(fx.spark, f"{root}/results"))
+
+
 @query("job_annual")
 def job_annual(fx):
     bundle = estimate_inst(MONTHLY, fx.clean, _year_responses(fx), AREA_METHOD)
@@ -776,6 +897,12 @@ def job_adjustment_template(fx):
     return resp.adjustment_template(fx.modern, fx.exclude_ids)
 
 
+@query("job_adjustment_unknown_ids")
+def job_adjustment_unknown_ids(fx):
+    """Ids asked for a template that the survey does not have."""
+    return resp.unknown_template_ids(fx.modern, fx.exclude_ids)
+
+
 @query("job_raw_export")
 def job_raw_export(fx):
     registry = fx.licence_raw.select("full_licence_id", "survey_access_key", "start_dt", "lic_year")
@@ -785,9 +912,18 @@ def job_raw_export(fx):
 
 @query("job_refresh_registry")
 def job_refresh_registry(fx):
-    """The gate of a refresh: ids of last year's snapshot against this year's sold licences."""
-    new = reg.drop_unsold(fx.registry)
-    return dq.registry_regression(normalise_registry(fx.licence_draw), new)
+    """Three deliveries: a first one, one without its unsold licences, and one that lost licences and is refused."""
+    snapshots = RegistrySnapshots(fx.spark, _scratch(fx), YEAR)
+    snapshots.refresh(fx.licence_raw.where(F.col("start_dt") < "2020-10-01"), "first")
+    snapshots.refresh(fx.licence_raw.where(F.col("fisher_id") != 1), "second")
+    try:
+        snapshots.refresh(fx.licence_raw.where(F.col("start_dt") < "2020-10-01"), "third")
+        refused = False
+    except dq.QualityError:
+        refused = True
+    return snapshots.read().select(
+        "full_licence_id", "start_dt", "fisher_id", F.lit(snapshots.current).alias("snapshot"), F.lit(refused).alias("refused")
+    )
 
 
 @query("job_parse_id_list")
@@ -815,17 +951,16 @@ def _scratch(fx: Fixture) -> str:
 @query("sink_bundle")
 def sink_bundle(fx):
     path = _scratch(fx)
-    bundle = estimate_inst([JULY], fx.clean, fx.modern, AREA_METHOD)
-    sinks.write_bundle({"summary_estimated_catch": bundle.summary_estimated_catch}, path)
-    return fx.spark.read.parquet(f"{path}/summary_estimated_catch")
+    sinks.write_bundle(estimate_inst([JULY], fx.clean, fx.modern, AREA_METHOD).tables(), path)
+    return long_tables(sinks.read_bundle(fx.spark, path))
 
 
 @query("sink_annual")
 def sink_annual(fx):
     path = _scratch(fx)
     bundle = estimate_inst(MONTHLY, fx.clean, _year_responses(fx), AREA_METHOD)
-    sinks.write_annual({"licence_summary": stack_periods(bundle.licence_summary, MONTHLY)}, path)
-    return fx.spark.read.parquet(f"{path}/licence_summary")
+    sinks.write_annual(stacked_tables(bundle, MONTHLY), path)
+    return long_tables(sinks.read_bundle(fx.spark, path))
 
 
 @query("sink_csv")
@@ -841,4 +976,7 @@ def sink_diagnostics(fx):
     return dq.diagnostics(
         dq.registry_counts(fx.registry, YEAR), dq.category_codes(fx.registry),
         dq.mixed_null(_adjusted_lines(fx), "surveykey", ["salmon_chinook_kept", "halibut_kept"]),
+        dq.grouped_ages(strata.combined_sales(fx.draw_sales, [SURVEY])), dq.strata_settings(fx.order_calendar.withColumn(
+            "stamp_stratify", F.month("survey_start") > 6
+        )),
     )

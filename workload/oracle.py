@@ -284,6 +284,69 @@ WHERE l.full_licence_id NOT IN (SELECT full_licence_id FROM {_source} WHERE {_OU
     )
 
 
+# Runs from files to files: a month with exclusions and adjustments, and surveys of different strata.
+BLOCKS["july_one"] = "SELECT '2020-07' AS survey_id, * FROM july"
+BLOCKS |= _population_blocks("july_one", "_one", ["survey_id"])
+for _tag, _rows, _cells in (("_job", "adjusted_kept", DC), ("_one", "modern", AM)):
+    BLOCKS[f"joined{_tag}"] = f"SELECT '2020-07' AS survey_id, * FROM ({BLOCKS['joined'].replace('FROM modern m', f'FROM {_rows} m')})"
+    BLOCKS |= _estimate_blocks(
+        f"joined{_tag}", "survey_access_key", "pop_one", STRATA, _cells, _cells, _tag, prefix=["survey_id"]
+    )
+SETS = [*STRATA, "stamp", "strata_set"]
+BLOCKS["calendar_mixed"] = """
+SELECT survey_id, survey_start, survey_end, month, survey_id IN ('2020-06', '2020-08') AS stamp_stratify, TRUE AS period_stratify,
+       CASE WHEN survey_id IN ('2020-08', '2020-09') THEN DATE '2020-06-15' END AS period_stratify_date
+FROM calendar WHERE survey_id BETWEEN '2020-06' AND '2020-09'"""
+BLOCKS["mixed_lic"] = """
+SELECT l.* REPLACE (CASE WHEN stamp_stratify THEN stamp END AS stamp,
+         CASE WHEN purchase_period <> 'Pre-Survey' OR period_stratify_date IS NULL THEN purchase_period
+              WHEN start_date < period_stratify_date THEN 'Early Season' ELSE 'Late Season' END AS purchase_period),
+       CAST(stamp_stratify AS INT) AS strata_set
+FROM year_lic l JOIN (SELECT survey_id, stamp_stratify, period_stratify_date FROM calendar_mixed) s ON l.survey_id = s.survey_id"""
+BLOCKS["pop_mixed"] = f"""
+SELECT survey_id, {c(SETS)}, count(*) AS lic_total FROM (SELECT DISTINCT survey_id, {c(SETS)}, licence_id FROM mixed_lic)
+GROUP BY survey_id, {c(SETS)}"""
+BLOCKS["joined_mixed"] = f"""
+SELECT m.survey_id, m.surveykey AS survey_access_key, {c(SETS, 'j.')}, m.* EXCLUDE (survey_id, surveykey)
+FROM modern_year m JOIN mixed_lic j ON m.surveykey = j.survey_access_key AND m.survey_id = j.survey_id"""
+BLOCKS |= _estimate_blocks(
+    "joined_mixed", "survey_access_key", "pop_mixed", SETS, DC, DC, "_mixed", prefix=["survey_id"]
+)
+# Many measures of which a row reports one: zeros are never written down here either.
+BLOCKS["sparse_rows"] = """
+SELECT trim(surveykey) AS surveykey, didnotfish = 1 AS did_not_fish, nullif(trim(area), '') AS area, nullif(trim(method), '') AS method,
+       CASE WHEN didnotfish = 1 THEN 0 ELSE 1 END AS effort_days, coalesce(salmon_chinook_kept, 0) AS caught,
+       coalesce(halibut_kept, 0) AS other FROM response_raw WHERE surveykey IS NOT NULL"""
+BLOCKS["sparse_joined"] = f"""
+SELECT {c(STRATA)}, m.* FROM sparse_rows m JOIN july ON m.surveykey = survey_access_key"""
+_GAP = "caught = 13 AND other * 75 < 300"
+BLOCKS["sparse_values"] = f"""
+SELECT {c(STRATA)}, surveykey, {c(AM)}, 'effort_days' AS measure, effort_days AS value FROM sparse_joined
+UNION ALL
+SELECT {c(STRATA)}, surveykey, {c(AM)}, 'finfish_kind' || lpad(CAST((caught * 7 + other) % 300 AS VARCHAR), 3, '0'), caught FROM sparse_joined
+WHERE NOT ({_GAP} AND other * 75 = (caught * 7 + other) % 300)"""
+BLOCKS["sparse_gaps"] = f"""
+SELECT {c(STRATA)}, 'finfish_kind' || lpad(CAST(other * 75 AS VARCHAR), 3, '0') AS measure, count(DISTINCT surveykey) AS gaps
+FROM sparse_joined WHERE {_GAP} GROUP BY ALL"""
+BLOCKS["sparse_gap_cells"] = f"""
+SELECT DISTINCT {c(STRATA)}, {c(AM)}, 'finfish_kind' || lpad(CAST(other * 75 AS VARCHAR), 3, '0') AS measure
+FROM sparse_joined WHERE {_GAP}"""
+BLOCKS["sparse_people"] = f"SELECT {c(STRATA)}, count(DISTINCT surveykey) AS people FROM sparse_joined GROUP BY {c(STRATA)}"
+BLOCKS["sparse_spec"] = f"""
+SELECT x.*, n, CASE WHEN n > 1 THEN (squares - total * total / n) / (n - 1) END AS variance
+FROM (SELECT {c(STRATA)}, {c(AM)}, measure, sum(total) AS total, sum(total * total) AS squares FROM (
+        SELECT {c(STRATA)}, {c(AM)}, measure, surveykey, CAST(sum(value) AS DOUBLE) AS total FROM sparse_values
+        WHERE value <> 0 GROUP BY ALL
+        UNION ALL SELECT *, '' AS surveykey, 0 FROM (SELECT {c(STRATA)}, {c(AM)}, measure FROM sparse_gap_cells)) GROUP BY ALL) x
+JOIN (SELECT k.*, people - coalesce(gaps, 0) AS n FROM (SELECT DISTINCT {c(STRATA)}, measure FROM (
+        SELECT {c(STRATA)}, measure FROM sparse_values UNION ALL SELECT {c(STRATA)}, measure FROM sparse_gap_cells)) k
+      JOIN sparse_people p ON {same('k', 'p', STRATA)}
+      LEFT JOIN sparse_gaps g ON {same('k', 'g', STRATA)} AND k.measure = g.measure) s
+  ON {same('x', 's', STRATA)} AND x.measure = s.measure"""
+BLOCKS["sparse_all"] = f"""
+SELECT x.*, lic_total FROM sparse_spec x LEFT JOIN pop p ON {same('x', 'p', STRATA)}"""
+
+
 def rounded(columns, rounded_columns, source, places=6):
     plain = f"{c(columns)}, " if columns else ""
     return f"SELECT {plain}{each(rounded_columns, 'round({m}, ' + str(places) + ') + 0.0 AS {m}')} FROM {source}"
@@ -349,6 +412,64 @@ FROM (SELECT severity, "check" AS code, detail, key,
 GROUP BY severity, code, detail"""
 
 
+def messages(source):
+    """Like ``diagnostics`` for violations that carry a survey_id."""
+    group = 'survey_id, severity, "check", detail'
+    return f"""
+SELECT survey_id, severity, code, detail, max(n) AS n,
+       string_agg(key, ', ' ORDER BY key) FILTER (WHERE rank <= 10)
+       || CASE WHEN max(n) > 10 THEN ', ...+' || CAST(max(n) - 10 AS VARCHAR) || ' more...' ELSE '' END AS sample
+FROM (SELECT survey_id, severity, "check" AS code, detail, key,
+        row_number() OVER (PARTITION BY {group} ORDER BY key) AS rank, count(*) OVER (PARTITION BY {group}) AS n
+      FROM (SELECT DISTINCT {group}, coalesce(key, '(none)') AS key FROM ({source})))
+GROUP BY survey_id, severity, code, detail"""
+
+
+GROUPED_AGES = """
+SELECT '2017-07' AS survey_id, 'ages_grouped' AS "check", 'WARNING' AS severity, 'All Ages above 15 (Pacific)' AS key,
+       'adult and senior non-resident licences are grouped' AS detail
+FROM vendor_sum WHERE resident_status = 'Non-Resident' AND licence_type = 'Annual'
+  AND age_category = 'All Ages above 15 (Pacific)' AND month_total > 0"""
+
+
+def settings(source):
+    return " UNION ALL ".join(
+        f"SELECT survey_id, 'strata_settings' AS \"check\", 'INFO' AS severity, '{key}' AS key, "
+        f"'set to ' || coalesce(CAST({key} AS VARCHAR), 'nothing') AS detail FROM {source}"
+        for key in ("stamp_stratify", "period_stratify", "period_stratify_date")
+    )
+
+
+def results(name, keys, values, source):
+    """One result table as (table, key, name, value)."""
+    key = ", ".join(f"coalesce(CAST({k} AS VARCHAR), '-')" for k in sorted(keys))
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS \"table\", concat_ws('|', {key}) AS key, '{v}' AS name, "
+        f"round(CAST({v} AS DOUBLE) * 1.000000001, 4) + 0.0 AS value FROM {source}"
+        for v in values
+    )
+
+
+def all_results(tag, pop, keys, cells, log, strata=STRATA):
+    """The eight result tables of one run from its estimate blocks; ``keys`` names the survey in each of them."""
+    n = [f"n_{m}" for m in M]
+
+    def named(block):
+        return keys[1].format(block)
+
+    summed = f"(SELECT survey_id, {c(AM)}, {each(M, 'coalesce(sum({m}), 0) AS {m}')} FROM detail{tag} GROUP BY survey_id, {c(AM)})"
+    return " UNION ALL ".join([
+        results("licence_summary", [*keys[0], *strata], ["lic_total"], named(pop)),
+        results("survey_summary", [*keys[0], *strata, *cells], ["lic_total", *M], named(f"full{tag}")),
+        results("survey_sample_sizes", [*keys[0], *strata, *cells], ["lic_total", *n], named(f"full{tag}")),
+        results("survey_specific_variance", [*keys[0], *strata, *cells], M, named(f"spec{tag}")),
+        results("detail_estimated_catch", [*keys[0], *strata, *cells], ["lic_total", *M], named(f"detail{tag}")),
+        results("summary_estimated_catch", [*keys[0], *AM], M, named(summed)),
+        results("total_variance", [*keys[0], *cells], M, named(f"total{tag}")),
+        results("log", ["survey_id", "severity", "code", "detail", "sample"], ["n"], f"({log})"),
+    ])
+
+
 CLEAN_COLUMNS = [
     *REG_COLUMNS, "licence_id", "resident_status", "age_category", "licence_type", "annual_flag", "end_date",
 ]
@@ -356,7 +477,9 @@ MODERN_COLUMNS = ["surveykey", "did_not_fish", "area", "method", "lodge", "guide
 
 # Each oracle names the blocks it reads from; their own needs are added below.
 SQL: dict[str, str] = {
-    "src_registry": f"SELECT {c(REG_COLUMNS)}, expiry_date FROM reg",
+    "src_registry": f"""
+SELECT {c([n for n in REG_COLUMNS if n != 'lic_type_cat_code'])}, expiry_date,
+       CASE WHEN lic_type_cat_code NOT IN ('', 'NA') THEN lic_type_cat_code END AS lic_type_cat_code FROM reg""",
     "src_registry_jdbc": """
 SELECT CAST(o_orderkey AS VARCHAR) AS full_licence_id, CAST(o_orderdate + to_hours(o_orderkey % 24) + INTERVAL 5 HOUR AS DATE) AS purchase_date,
        CAST(o_orderdate + INTERVAL 5 HOUR AS DATE) AS start_date, CAST(year(o_orderdate) AS INT) AS lic_year FROM orders""",
@@ -495,6 +618,14 @@ FROM (SELECT *, count(*) OVER (PARTITION BY l_suppkey) AS n,
         sum(l_quantity) OVER (PARTITION BY l_suppkey, l_linestatus, l_returnflag) AS total FROM lineitem)
 GROUP BY l_suppkey, l_linestatus, l_returnflag""",
     "agg_specific_variance": rounded([*STRATA, *AM], M, "spec_"),
+    "agg_specific_variance_long": f"""
+SELECT {c([*STRATA, *AM])}, measure, round(variance, 6) + 0.0 AS variance FROM sparse_spec""",
+    "agg_total_variance_long": f"""
+SELECT '2020-07' AS survey_id, {either('e', 'v', [*AM, 'measure'])}, round(estimate, 4) + 0.0 AS estimate, round(variance, 4) + 0.0 AS variance
+FROM (SELECT {c(AM)}, measure, coalesce(sum(total * (CAST(lic_total AS DOUBLE) / nullif(n, 0))), 0) AS estimate
+      FROM sparse_all WHERE total <> 0 AND lic_total IS NOT NULL GROUP BY {c(AM)}, measure) e FULL JOIN
+     (SELECT {c(AM)}, measure, coalesce(sum(CAST(lic_total AS DOUBLE) * (lic_total - n) / nullif(n, 0) * variance), 0) AS variance
+      FROM sparse_all GROUP BY {c(AM)}, measure) v ON {same('e', 'v', [*AM, 'measure'])}""",
     "agg_total_variance": rounded(AM, M, "total_", 4),
     "agg_max_sample_size": f"SELECT {c(STRATA)}, {each(M, 'max(n_{m}) AS n_{m}')} FROM full_ WHERE n_effort_days IS NOT NULL GROUP BY {c(STRATA)}",
     "agg_expansion_rate": f"""
@@ -569,10 +700,9 @@ SELECT 'vendor_months' AS "check", 'ERROR' AS severity, key, detail FROM (
 UNION ALL SELECT 'vendor_months', 'ERROR', 'July', 'no sales in the survey month'
 FROM (SELECT sum(July * 0) AS sold FROM vendor_wide) WHERE coalesce(sold, 0) = 0""",
     "dq_missing_strata_cols": """
-SELECT 'missing_strata_cols' AS "check", 'WARNING' AS severity, key, 'column missing' AS detail
-FROM (VALUES ('checkcrabs'), ('checkprawns'), ('checkcrabsprawns')) AS t(key)
-UNION ALL SELECT 'missing_key_ratio', 'WARNING', 'surveykey', gone || ' of ' || n
-FROM (SELECT count(*) - count(surveykey) AS gone, count(*) AS n FROM response_raw) WHERE gone > 0""",
+SELECT DISTINCT survey_id, 'missing_strata_cols' AS "check", 'WARNING' AS severity, key, 'column missing' AS detail
+FROM modern_year, (VALUES ('checkcrabs'), ('checkprawns'), ('checkcrabsprawns'), ('guided'), ('lodge')) AS t(key)
+WHERE key LIKE 'check%' OR (key = 'guided' AND survey_id < '2020-08') OR (key = 'lodge' AND survey_id = '2020-11')""",
     "fn_licence_year": """
 SELECT o_orderkey, make_date(y, 4, 1) AS lic_start, make_date(y + 1, 3, 31) AS lic_end,
        CAST(y AS VARCHAR) || '-' || CAST((y + 1) % 100 AS VARCHAR) AS lic_label
@@ -596,26 +726,73 @@ FROM modern WHERE surveykey IN (SELECT survey_access_key FROM exclude_ids)""",
     "job_raw_export": """
 SELECT full_licence_id, coalesce(l.survey_access_key, m.surveykey) AS survey_access_key, start_dt, lic_year,
        didnotfish, halibut_kept FROM licence_raw l FULL JOIN response_raw m ON l.survey_access_key = m.surveykey""",
-    "job_refresh_registry": violation(
-        "registry_regression", "ERROR", "full_licence_id", "'missing from the new snapshot'",
-        "reg_draw WHERE full_licence_id NOT IN (SELECT full_licence_id FROM reg WHERE fisher_id <> 1)",
+    "job_refresh_registry": """
+SELECT full_licence_id, start_dt, fisher_id, 'second' AS snapshot, TRUE AS refused FROM licence_raw WHERE fisher_id <> 1""",
+    "job_adjustment_unknown_ids": violation(
+        "unknown_template_ids", "WARNING", "key", "'not among the responses'",
+        "(SELECT survey_access_key AS key FROM exclude_ids EXCEPT SELECT surveykey FROM modern)",
     ),
     "job_parse_id_list": """
 SELECT CAST(l_orderkey AS VARCHAR) AS id FROM lineitem UNION SELECT CAST(l_suppkey AS VARCHAR) FROM lineitem
 UNION SELECT CAST(l_partkey AS VARCHAR) FROM lineitem""",
-    "sink_bundle": "SELECT '2020-07' AS survey_id, * FROM (" + summary("detail_") + ")",
-    "sink_annual": tagged(f"{c(STRATA)}, lic_total", "pop_year"),
     "sink_csv": f"""
 SELECT {c([n for n in REG_COLUMNS if n != 'lic_type_cat_code'])}, expiry_date,
        nullif(lic_type_cat_code, '') AS lic_type_cat_code FROM reg""",
-    "sink_diagnostics": diagnostics(f"{REGISTRY_COUNTS} UNION ALL {CATEGORY_CODES} UNION ALL {MIXED_NULL}"),
-    "job_month": f"""
+    "sink_diagnostics": messages(" UNION ALL ".join([
+        f"SELECT NULL AS survey_id, * FROM ({x})" for x in (REGISTRY_COUNTS, CATEGORY_CODES, MIXED_NULL)
+    ] + [GROUPED_AGES, settings("(SELECT *, month(survey_start) > 6 AS stamp_stratify FROM order_calendar)")])),
+    "job_month_log": f"""
 SELECT '2020-07' AS survey_id, severity, code, detail, n, sample FROM ({diagnostics(
     violation("unknown_ids", "WARNING", "surveykey", "'not in the registry'",
               "(SELECT surveykey FROM adjusted_kept EXCEPT SELECT survey_access_key FROM july)"))})""",
 }
 
 
+UNKNOWN = "SELECT survey_id, 'unknown_ids' AS \"check\", 'WARNING' AS severity, surveykey AS key, 'not in the registry' AS detail FROM "
+NO_COLUMNS = """SELECT survey_id, 'missing_strata_cols', 'WARNING', key, 'column missing'
+FROM {source}, (VALUES ('checkcrabs'), ('checkprawns'), ('checkcrabsprawns')) AS t(key)"""
+ONE = (["survey_id"], "{}")
+EACH = (["year", "month_id", "month"], "(SELECT t.*, year(survey_start) AS year, month(survey_start) AS month_id, month "
+        "FROM {} t JOIN (SELECT survey_id, survey_start, month FROM calendar) s ON t.survey_id = s.survey_id)")
+
+
+def _intake(source, name, excluded):
+    """Counts of the delivered responses of one survey or of several."""
+    kept = f"surveykey IS NOT NULL AND NOT ({excluded})"
+    return f"""
+SELECT {name} AS survey_id, 'missing_key_ratio' AS "check", CASE WHEN gone > n * 0.01 THEN 'ERROR' ELSE 'WARNING' END AS severity,
+       'surveykey' AS key, gone || ' of ' || n AS detail
+FROM (SELECT {name}, count(*) - count(surveykey) AS gone, count(*) AS n FROM {source} GROUP BY {name}) WHERE gone > 0
+UNION ALL SELECT {name}, 'excluded_responses', 'INFO', {name}, count(*) || ' rows of excluded keys' FROM {source}
+WHERE surveykey IS NOT NULL AND ({excluded}) GROUP BY {name}
+UNION ALL SELECT {name}, 'incomplete_responses', 'INFO', {name}, count(*) || ' rows of surveys not completed' FROM {source}
+WHERE {kept} AND trim(completesurvey) <> 'Complete' GROUP BY {name}"""
+
+
+JULY_DELIVERED = "(SELECT '2020-07' AS survey_id, * FROM response_raw)"
+SQL["job_month"] = all_results("_job", "pop_one", ONE, DC, messages(" UNION ALL ".join([
+    f"SELECT NULL AS survey_id, * FROM ({REGISTRY_COUNTS})",
+    _intake(JULY_DELIVERED, "survey_id", "trim(surveykey) IN (SELECT survey_access_key FROM exclude_ids)"),
+    NO_COLUMNS.format(source="(SELECT '2020-07' AS survey_id)"),
+    settings("(SELECT '2020-07' AS survey_id, FALSE AS stamp_stratify, TRUE AS period_stratify, CAST(NULL AS DATE) AS period_stratify_date)"),
+    UNKNOWN + "(SELECT '2020-07' AS survey_id, * FROM (SELECT surveykey FROM adjusted_kept EXCEPT SELECT survey_access_key FROM july))",
+])))
+SUMMER = "(SELECT * FROM response_year WHERE survey_id BETWEEN '2020-06' AND '2020-09')"
+SQL["job_annual_run"] = all_results("_mixed", "pop_mixed", EACH, DC, messages(" UNION ALL ".join([
+    f"SELECT NULL AS survey_id, * FROM ({REGISTRY_COUNTS})",
+    "SELECT NULL, 'no_exclusions', 'WARNING', '(none)', 'nobody is excluded'",
+    _intake(SUMMER, "survey_id", "FALSE"), NO_COLUMNS.format(source="calendar_mixed"), settings("calendar_mixed"),
+    UNKNOWN + "(SELECT survey_id, surveykey FROM modern_year WHERE survey_id BETWEEN '2020-06' AND '2020-09' "
+    "EXCEPT SELECT survey_id, survey_access_key FROM year_lic)",
+])), SETS)
+SQL["sink_bundle"] = all_results("_one", "pop_one", ONE, AM, messages(
+    UNKNOWN + "(SELECT '2020-07' AS survey_id, * FROM (SELECT surveykey FROM modern EXCEPT SELECT survey_access_key FROM july))"
+))
+SQL["sink_annual"] = all_results("_year", "pop_year", EACH, AM, messages(
+    UNKNOWN + "(SELECT survey_id, surveykey FROM modern_year EXCEPT SELECT survey_id, survey_access_key FROM year_lic)"
+))
+
+
 def needs(sql: str) -> list[str]:
     """Blocks that a statement reads, those they read themselves first."""
     order: list[str] = []
