@@ -11,7 +11,7 @@ from left to right. Edges are short lists, so all combinations of pieces are com
 
 The vocabulary file of the tokenizers library is read where tasks run; its path is a parameter. A Python worker remembers
 up to ``CACHE`` words and ``PAIRS`` pairs. Encoding is one narrow stage. NULL texts are empty, empty
-texts have no tokens and decode to empty texts.
+texts have no tokens and decode to empty texts. A word of n letters costs n log n, however long it is.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import re
 import sys
 import unicodedata
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain, pairwise
 
 import numpy as np
@@ -33,6 +34,8 @@ from .common import small_batches
 
 CACHE = 700_000
 PAIRS = 300_000
+#: Words of more letters are merged with a heap.
+LONG_WORD = 200
 #: Characters of text split into words at a time.
 PART = 1_000_000
 #: Texts whose letters all lie below this code point are split by a pattern of plain classes.
@@ -113,6 +116,8 @@ class Tokenizer:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Exact merging: the pair of lowest rank first, the leftmost among equals."""
+        if len(ids) > LONG_WORD:
+            return self._merge_long(ids)
         ids, size, ranks = list(ids), self.size, self.ranks
         open_ = [ranks.get(a * size + b, NEVER) for a, b in pairwise(ids)]
         while open_ and (best := min(open_)) < NEVER:
@@ -125,6 +130,24 @@ class Tokenizer:
                 open_[at] = ranks.get(ids[at] * size + ids[at + 1], NEVER)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """``merge`` by a heap of (rank, place) over a linked list, n log n for a word of n letters."""
+        ids, size, ranks, n = list(ids), self.size, self.ranks, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, (a, b) in enumerate(pairwise(ids)) if (r := ranks.get(a * size + b)) is not None]
+        heapify(heap)
+        while heap:
+            rank, i = heappop(heap)
+            if ids[i] < 0 or (j := after[i]) >= n or ranks.get(ids[i] * size + ids[j]) != rank:
+                continue  # one of the two has been merged since
+            ids[i], ids[j], after[i] = self.made[rank], -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (r := ranks.get(ids[a] * size + ids[b])) is not None:
+                    heappush(heap, (r, a))
+        return [x for x in ids if x >= 0]
+
     def propose(self, word: str) -> list[int] | None:
         """Greedy longest match over the letters of a word; None if some letter begins no token."""
         text, at, out = word + "\n" if self.suffix else word, 0, []
