@@ -72,6 +72,19 @@ def features(word: str) -> Iterator[str]:
         yield f" {word[:n]}"
 
 
+def _outside(found: dict[int, float], spans: list[tuple[int, int]]) -> dict[int, float]:
+    """The entries whose place lies in none of the spans [a, b), by one sweep over both in order."""
+    spans.sort()
+    kept, reach, i = {}, -1, 0
+    for at in sorted(found):
+        while i < len(spans) and spans[i][0] <= at:
+            reach = max(reach, spans[i][1])
+            i += 1
+        if at >= reach:
+            kept[at] = found[at]
+    return kept
+
+
 @dataclass(frozen=True)
 class Model:
     """Terms with weights, exception phrases, and the logistic function's intercept and factors."""
@@ -115,7 +128,7 @@ class Model:
                 covered.append((at, end))
             elif weight > found.get(at, 0.0):
                 found[at] = weight
-        return {at: w for at, w in found.items() if not any(a <= at < b for a, b in covered)}
+        return _outside(found, covered) if covered else found
 
     def measures(self, text: str | None) -> tuple[float, float, float]:
         words = fold(text or "")
