@@ -17,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import re
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -63,6 +64,8 @@ ROLES = frozenset(
 )
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 BOUNDS = frozenset("ul ol menu dl table tbody thead tfoot select article section div body".split())
+#: Paths of more characters are named by a digest of the parent's name and the last step.
+LONGEST_PATH = 1000
 WEIGHT = {"article": 1.2, "main": 1.1, "body": 0.8, "": 0.5}
 
 
@@ -105,6 +108,12 @@ def _step(tag: str, own: dict[str, str]) -> str:
     return ".".join([tag, *sorted(names)])
 
 
+def _below(path: str, step: str) -> str:
+    """The path of a child; a long one as a digest, so that deep nesting costs the same per element as flat pages."""
+    path = f"{path}/{step}"
+    return path if len(path) <= LONGEST_PATH else "#" + blake2b(path.encode("utf-8"), digest_size=16).hexdigest()
+
+
 def parse(page: str) -> Node:
     """The tree of a page; unclosed and misplaced tags are mended as far as blocks need it."""
     root = Node("", "", None, False, False)
@@ -138,7 +147,7 @@ def parse(page: str) -> Node:
                 close(set(CLOSES[tag].split()), BOUNDS - ({"tbody", "thead", "tfoot"} if tag == "tr" else set()))
             top = stack[-1]
             node = Node(
-                tag, f"{top.path}/{_step(tag, own)}", top, top.furniture or _is_furniture(tag, own),
+                tag, _below(top.path, _step(tag, own)), top, top.furniture or _is_furniture(tag, own),
                 top.link or tag == "a",
             )
             if tag == "header":  # inside an article a header may hold its headings
