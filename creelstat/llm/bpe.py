@@ -10,7 +10,7 @@ rank than the one that makes the next larger piece of a, and no higher rank than
 from left to right. Edges are short lists, so all combinations of pieces are compared as arrays.
 
 The vocabulary file of the tokenizers library is read where tasks run; its path is a parameter. A Python worker remembers
-up to ``CACHE`` words and ``PAIRS`` pairs. Encoding is one narrow stage. NULL texts are empty, empty
+up to ``CACHE`` words and ``PAIRS`` pairs, some 30 MB. Encoding is one narrow stage. NULL texts are empty, empty
 texts have no tokens and decode to empty texts. A word of n letters costs n log n, however long it is.
 """
 
@@ -30,10 +30,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import give_back, small_batches
 
-CACHE = 700_000
-PAIRS = 300_000
+CACHE = 150_000
+PAIRS = 60_000
 #: Words of more letters are merged with a heap.
 LONG_WORD = 200
 #: Characters of text split into words at a time.
@@ -273,7 +273,9 @@ def encode_texts(documents: DataFrame, path: str, text: str = "text", name: str
 
     @F.pandas_udf("binary")
     def encode(texts: pd.Series) -> pd.Series:
-        return pd.Series(tokenizer(path).encode([t or "" for t in texts]), dtype=object)
+        coded = pd.Series(tokenizer(path).encode([t or "" for t in texts]), dtype=object)
+        give_back()
+        return coded
 
     return documents.withColumn(name, encode(F.col(f"`{text}`")))
 

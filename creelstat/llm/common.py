@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +55,13 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(name, str(rows))
 
 
+def give_back() -> None:
+    """Hands memory that a worker has freed back to the system: it stays alive for later stages, which need it too."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # elsewhere than on Linux with the GNU library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value computed once a row, however often and wherever the body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, small_batches, stored
+from .common import give_back, pick, small_batches, stored
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = dict(zip(
@@ -48,7 +48,7 @@ DRAWN = re.compile(r"(.)\1{2,}")
 SHORTEST, LONGEST = 3, 8
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def fold_word(word: str) -> str:
     """One lower-case word in folded letters; words of digits alone stay."""
     if SIGNED.search(word) and any(c.isalpha() for c in word):
@@ -285,6 +285,8 @@ def score_texts(documents: DataFrame, model: Model, text: str = "text", name: st
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in texts], dtype="float64")
+        scores = pd.Series([model.score(t) for t in texts], dtype="float64")
+        give_back()
+        return scores
 
     return documents.withColumn(name, score(F.col(f"`{text}`")))
