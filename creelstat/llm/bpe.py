@@ -10,7 +10,7 @@ rank than the one that makes the next larger piece of a, and no higher rank than
 from left to right. Edges are short lists, so all combinations of pieces are compared as arrays.
 
 The vocabulary file of the tokenizers library is read where tasks run; its path is a parameter. A Python worker remembers
-up to ``CACHE`` words and ``PAIRS`` pairs, some 80 MB. Encoding is one narrow stage. NULL texts are empty, empty
+up to ``CACHE`` words and ``PAIRS`` pairs, some 100 MB. Encoding is one narrow stage. NULL texts are empty, empty
 texts have no tokens and decode to empty texts. A word of n letters costs n log n, however long it is.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import give_back, small_batches
 
-CACHE = 450_000
+CACHE = 600_000
 PAIRS = 100_000
 #: Words of more letters are merged with a heap.
 LONG_WORD = 200
