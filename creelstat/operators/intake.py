@@ -99,7 +99,7 @@ class Intake:
             if time.monotonic() > until:
                 return None
             time.sleep(0.02)
-        return self.seen.get
+        return self.seen.get if self.seen._jo.getRow().length() else None
 
     def violations(self) -> DataFrame:
         """All violations of the gates, to be asked for after ``watched`` was read."""
