@@ -209,8 +209,10 @@ def test_stamp_strata_and_mixed_calendars(small):
     bundle = estimate_inst([stamped], small.clean, small.modern, AM)
     assert "stamp" in bundle.licence_summary.columns
     assert bundle.licence_summary.agg(F.sum("lic_total").alias("n")).first().n == 207
-    with pytest.raises(ValueError, match="agree"):
-        estimate_inst([JULY, stamped], small.clean, small.modern.withColumn("survey_id", F.lit("2020-07")))
+    plain = SurveyPeriod.month_from(dt.date(2020, 8, 1), period_stratify=True)
+    both = estimate_inst([stamped, plain], small.clean, small.modern.withColumn("survey_id", F.lit("2020-07")), AM)
+    sets = both.licence_summary.select("survey_id", "strata_set", F.col("stamp").isNull()).distinct().collect()
+    assert {tuple(r) for r in sets} == {("2020-07", 1, False), ("2020-08", 0, True)}
     with pytest.raises(ValueError, match="survey_id"):
         estimate_inst(MONTHLY, small.clean, small.modern)
 
