@@ -3,7 +3,7 @@
 A byte goes if a string of ``length`` bytes around it starts at another place too. Texts are first cut into windows at
 content-defined places, so that equal strings always fall into windows of one key wherever they stand:
 
-* The anchor of a string is the least-hashed gram of ``GRAM`` bytes in it, the first among equals. Equal strings have
+* The anchor of a string is the gram of ``GRAM`` bytes in it with the least hash, the first among equals. Equal strings have
   equal anchors at equal offsets, and the strings of one anchor start at consecutive places, so a run of starts with the
   bytes under them is a window. Every start lies in exactly one window.
 * Windows are counted by content, with partial aggregation. All starts of a window that occurs twice are repeated; one
@@ -25,6 +25,7 @@ place of the same strings. Texts shorter than ``length`` lose nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ from .common import pick, small_batches, stored
 
 LENGTH = 400
 GRAM = 200
+#: Bytes of texts that are cut into windows at a time.
+PIECE = 1 << 15
 #: Windows in a shard and, on average, in a group; the most that one anchor may bring into a group.
 SHARD_ROWS = 500
 GROUP_ROWS = 2_000
@@ -47,25 +50,33 @@ KEY = ("doc_id", "digest")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, MULTIPLIER, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the multiplier and of its inverse."""
+    out = []
+    for factor in (MULTIPLIER, np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))):
+        x = np.full(n, factor, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+_usual_powers = lru_cache(maxsize=1)(_powers)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, each from its start on."""
+    sizes = sizes.astype(np.int64)
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """A hash of every gram of ``size`` bytes, equal for equal grams."""
     n = len(data) - size + 1
-    powers = _powers(size + 1)
-    # blocks bound the powers to a gram's length: hash(i) = sum data[i + k] * m^(size - 1 - k), rolled by cumulation
-    inverse = pow(int(MULTIPLIER), -1, 1 << 64)
-    down = np.full(len(data), np.uint64(inverse), np.uint64)
-    down[0] = 1
-    down = np.multiply.accumulate(down)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * down)])
-    up = np.full(n, MULTIPLIER, np.uint64)
-    up[0] = powers[size - 1]
-    h = (sums[size:] - sums[:n]) * np.multiply.accumulate(up)
+    # hash(i) = sum data[i + k] * m^(size - 1 - k): sums over m^-j, taken apart and raised by m^(i + size - 1)
+    powers, inverse = _usual_powers(2 * PIECE) if len(data) <= 2 * PIECE else _powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * inverse[:len(data)], out=sums[1:])
+    h = (sums[size:] - sums[:n]) * powers[size - 1:size - 1 + n]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
@@ -73,42 +84,51 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
 
 
 def first_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """For each run of ``width`` values the place of its least value, the first among equals."""
+    """For each run of ``width`` values the place of its least value by the upper 32 bits, the first among equals.
+
+    The lower bits carry the places, which therefore decide among equals.
+    """
     n = len(values) - width + 1
-    pad = -len(values) % width
-    v = np.concatenate([values, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, width)
-    at = np.arange(v.size).reshape(v.shape)
-
-    def running(x: np.ndarray) -> np.ndarray:
-        """Where the running minimum of each row stands, at its first place."""
-        low = np.minimum.accumulate(x, axis=1)
-        fresh = np.ones(x.shape, bool)
-        fresh[:, 1:] = x[:, 1:] < low[:, :-1]
-        return np.maximum.accumulate(np.where(fresh, np.arange(width), 0), axis=1)
-
-    rows = np.arange(len(v))[:, None]
-    head = at[rows, running(v)].ravel()
-    # from the right the last place of a minimum is wanted to be the first one: ties move on to the left
-    back = v[:, ::-1]
-    low = np.minimum.accumulate(back, axis=1)
-    fresh = np.ones(back.shape, bool)
-    fresh[:, 1:] = back[:, 1:] <= low[:, :-1]
-    spot = np.maximum.accumulate(np.where(fresh, np.arange(width), 0), axis=1)
-    tail = at[rows, width - 1 - spot][:, ::-1].ravel()
-    flat = v.ravel()
-    a, b = tail[:n], head[width - 1:width - 1 + n]
-    return np.where(flat[a] <= flat[b], a, b)
-
-
-def windows(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, anchor's distance from the first start, first start, and number of starts of each window."""
-    if len(data) < length:
-        return (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
-    hashes = gram_hashes(np.frombuffer(data, np.uint8), gram)
-    anchors = first_minima(hashes, length - gram + 1)
-    new = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
+    low = np.uint64((1 << 32) - 1)
+    v = np.full(len(values) + -len(values) % width, np.iinfo(np.uint64).max, np.uint64)
+    v[:len(values)] = (values & ~low) | np.arange(len(values), dtype=np.uint64)
+    rows = v.reshape(-1, width)
+    head = np.minimum.accumulate(rows, axis=1).ravel()
+    tail = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(tail[:n], head[width - 1:width - 1 + n]) & low).astype(np.int64)
+
+
+def windows(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """The windows of texts: text number, anchor hash, anchor's distance from the first start, first start, starts.
+
+    The texts are hashed in one piece; a string that would reach beyond its text is no start.
+    """
+    size = np.array([len(t) for t in texts])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    if not len(texts) or size.max() < length:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3
+    base = np.cumsum(size) - size
+    starts = np.maximum(size - length + 1, 0)
+    own = np.repeat(np.arange(len(texts)), starts)
+    at = _ranges(base, starts)
+    hashes = gram_hashes(data, gram)
+    anchors = first_minima(hashes, length - gram + 1)[at]
+    new = np.flatnonzero(np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (own[1:] != own[:-1])]))
     count = np.diff(np.append(new, len(anchors)))
-    return hashes[anchors[new]], anchors[new] - new, new, count
+    own, first, anchor = own[new], at[new], anchors[new]
+    return own, hashes[anchor], anchor - first, first - base[own], count
+
+
+def pieces(texts: list[bytes], size: int = PIECE) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts in pieces of about so many bytes, with the number of the first; a longer text is a piece alone."""
+    first, held = 0, 0
+    for i, text in enumerate(texts):
+        if i > first and held + len(text) > size:
+            yield first, texts[first:i]
+            first, held = i, 0
+        held += len(text)
+    if texts:
+        yield first, texts[first:]
 
 
 def cut(documents: DataFrame, length: int, gram: int) -> DataFrame:
@@ -117,25 +137,22 @@ def cut(documents: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows, cols = [], [[], [], [], []]
-                for i, text in enumerate(part.column(2)):
-                    data = (text.as_py() or "").encode("utf-8")
-                    anchor, offset, start, count = windows(data, length, gram)
-                    rows.append(np.full(len(start), i))
+                texts = [(t.as_py() or "").encode("utf-8") for t in part.column(2)]
+                for first, some in pieces(texts):
+                    own, anchor, offset, start, count = windows(some, length, gram)
                     content = [
-                        xxhash.xxh3_64_intdigest(data[a:b], seed=s)
-                        for a, b, s in zip(
-                            start.tolist(), (start + count + length - 1).tolist(), offset.tolist(), strict=True
+                        xxhash.xxh3_64_intdigest(some[i][a:b], seed=s)
+                        for i, a, b, s in zip(
+                            own.tolist(), start.tolist(), (start + count + length - 1).tolist(), offset.tolist(),
+                            strict=True,
                         )
                     ]
-                    for c, v in zip(cols, (anchor, np.array(content, np.uint64), start, count), strict=True):
-                        c.append(v)
-                index = pa.array(np.concatenate(rows) if rows else [], pa.int64())
-                anchor, content, start, count = (np.concatenate(c) for c in cols)
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0).take(index), part.column(1).take(index), pa.array(anchor.view(np.int64)),
-                    pa.array(content.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)),
-                ], names=["doc_id", "digest", "anchor", "content", "start", "n"])
+                    index = pa.array(own + first)
+                    yield pa.RecordBatch.from_arrays([
+                        part.column(0).take(index), part.column(1).take(index), pa.array(anchor.view(np.int64)),
+                        pa.array(np.array(content, np.uint64).view(np.int64)), pa.array(start.astype(np.int32)),
+                        pa.array(count.astype(np.int32)),
+                    ], names=["doc_id", "digest", "anchor", "content", "start", "n"])
 
     return documents.select("doc_id", "digest", "text").mapInArrow(
         windows_of, "doc_id long, digest long, anchor long, content long, start int, n int"
@@ -196,8 +213,8 @@ def followers(last: np.ndarray) -> np.ndarray:
 class Merge:
     """Interleaves the suffixes of several shards by refinement, down to a depth.
 
-    order has the suffixes in merged order, and block[s] is the place at which the block of suffix s begins: the
-    suffixes that share the letters compared so far. common[p] is the common prefix of the neighbours at p - 1 and p
+    order has the suffixes in merged order, and block[s] is the number of the block of suffix s, the suffixes that share
+    the letters compared so far: the place at which it begins, until rounds of one letter start. common[p] is the common prefix of the neighbours at p - 1 and p
     once they have parted.
     """
 
@@ -272,14 +289,12 @@ class Merge:
 
     def _places(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All places of the blocks, and the block of each."""
-        size = self.sizes[blocks].astype(np.int64)
-        own = np.repeat(blocks, size)
-        return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + own, own
+        return _ranges(blocks, self.sizes[blocks]), np.repeat(blocks, self.sizes[blocks])
 
     def refine(self, depth: int) -> None:
         """Splits blocks until they share ``depth`` letters: the first rounds a few letters deeper, later ones by one.
 
-        A round of one letter looks only at blocks with members whose followers were split in the round before.
+        A round of one letter looks only at suffixes whose followers were split off in the round before.
         """
         step = self.packed
         if depth < step:  # as deep as one packed number: cut it short
@@ -302,15 +317,95 @@ class Merge:
             self.common[new] = shared + self._letters(ahead[self.order[new - 1]], ahead[self.order[new]])
             ahead = np.where(ahead >= 0, self.ahead[np.maximum(ahead, 0)], -1)
             shared += step
+        self._number_blocks()
         touched = np.arange(self.n)
         for deep in range(shared, depth):
             ask = self.before[touched]
-            blocks = np.unique(self.block[ask[ask >= 0]])
-            at, own = self._places(blocks[self.sizes[blocks] > 1])
-            if not len(at):
+            touched, new = self._part(ask[ask >= 0])
+            if not len(touched):
                 return
-            touched, new = self._split(at, own, self.block[self.after[self.order[at]]])
-            self.common[new] = deep
+            self.common[new[self.common[new] < 0]] = deep
+
+    def _number_blocks(self) -> None:
+        """From here on a block has a number that its largest part keeps, and start[b] is the place at which b begins."""
+        heads = np.flatnonzero(self.sizes > 0)
+        number = np.zeros(self.n, np.int32)
+        number[heads] = np.arange(len(heads))
+        self.block = number[self.block]
+        self.start, sizes = np.zeros(self.n, np.int32), np.zeros(self.n, np.int32)
+        self.start[:len(heads)], sizes[:len(heads)] = heads, self.sizes[heads]
+        self.sizes, self.blocks = sizes, len(heads)
+        self.place = np.empty(self.n, np.int32)
+        self.place[self.order] = np.arange(self.n)
+        self.origin = self.block.copy()  # the block that a suffix left last
+        self.moving, self.taken = np.zeros(self.n, bool), np.zeros(self.n, bool)
+
+    def _leaving(self, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The suffixes that leave the largest parts of their blocks, with their blocks and the places of their followers
+        and of the followers of the largest part, in the order of blocks and followers.
+
+        ask are the suffixes whose followers left a largest part. Where they are the lesser half of a block, the rest of
+        it follows that part and is the largest itself; it isn't looked at. Other blocks are looked at as a whole.
+        """
+        own = self.block[ask]
+        asked, back, count = np.unique(own, return_inverse=True, return_counts=True)
+        size = self.sizes[asked]
+        whole, few = 2 * count > size, (2 * count <= size)[back]
+        wanted = asked[whole & (size > 1)]
+        members = self.order[_ranges(self.start[wanted], self.sizes[wanted])]
+        lesser = ask[few]
+        both = np.concatenate([members, lesser])
+        after = self.after[both]
+        own, by = self.block[both], self.start[self.block[after]]
+        rest = self.start[self.origin[after]]
+        sort = np.argsort(own.astype(np.int64) * self.n + by)
+        both, own, by, rest = both[sort], own[sort], by[sort], rest[sort]
+        if len(members):  # blocks as a whole: the largest of the parts, one among equals
+            cutting = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (by[1:] != by[:-1])]))
+            parts = np.diff(np.append(cutting, len(own)))
+            first = np.flatnonzero(np.concatenate([[True], own[cutting[1:]] != own[cutting[:-1]]]))
+            most = np.repeat(np.maximum.reduceat(parts, first), np.diff(np.append(first, len(parts))))
+            largest = np.flatnonzero(parts == most)
+            block = np.searchsorted(asked, own)
+            follows = np.zeros(len(asked), np.int32)
+            follows[block[cutting[largest[::-1]]]] = by[cutting[largest[::-1]]]
+            rest = np.where(whole[block], follows[block], rest)
+        go = by != rest
+        return both[go], own[go], by[go], rest[go]
+
+    def _part(self, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Splits the blocks of ask by their followers; the suffixes that left largest parts, and where blocks begin now.
+
+        What leaves is moved to the front or the back of its block, and what stood there takes the places left, so
+        that a round costs what moves and not the blocks it moves in.
+        """
+        gone, own, by, rest = self._leaving(ask)
+        if not len(gone):
+            return gone, gone
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        shrunk = own[first]
+        count = np.diff(np.append(first, len(own)))
+        front = np.add.reduceat((by < rest).astype(np.int32), first)
+        rank = np.arange(len(own)) - np.repeat(first, count)
+        ends = np.repeat(self.sizes[shrunk] - count, count)
+        to = np.repeat(self.start[shrunk], count) + rank + np.where(by < rest, 0, ends)
+        held = self.place[gone]
+        self.moving[gone], self.taken[to] = True, True
+        there = self.order[to]
+        there, holes = there[~self.moving[there]], held[~self.taken[held]]
+        self.moving[gone], self.taken[to] = False, False
+        self.order[holes], self.place[there] = there, holes
+        self.order[to], self.place[gone] = gone, to
+        cutting = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (by[1:] != by[:-1])]))
+        size = np.diff(np.append(cutting, len(own)))
+        numbers = np.arange(self.blocks, self.blocks + len(cutting))
+        self.blocks += len(cutting)
+        self.start[numbers], self.sizes[numbers] = to[cutting], size
+        self.start[shrunk] += front
+        self.sizes[shrunk] -= count
+        self.origin[gone] = own
+        self.block[gone] = np.repeat(numbers, size)
+        return gone, np.concatenate([to[cutting], self.start[shrunk]])
 
 
 def repeated_starts(shards: list[tuple[np.ndarray, np.ndarray]], length: int) -> dict[int, np.ndarray]:
