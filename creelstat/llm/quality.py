@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpointed, let, pick, words
+from .common import SPACE, checkpointed, let, pick, stored, words
 
 WINDOW = 5
 #: Above this number of strata x rules the thresholds are joined by a shuffle instead of a broadcast.
@@ -185,16 +185,18 @@ def judge(
 
     documents has (doc_id, text, lang), labels (doc_id, quality). The stratum is the language; NULL is one too.
     Labels without a quality count for nothing; a document labelled both ways counts as good. Documents that fail
-    the base rules are no part of the calibration, since no threshold decides about them.
+    the base rules are no part of the calibration, since no threshold decides about them. Rows of one stratum, doc_id
+    and text are one trial however often they are listed: the binomial bound holds for independent trials only.
     """
-    frame = checkpointed(measured(documents).withColumn("base_failed", base_failed()))
+    texts = pick(documents, "doc_id", "text", "lang").withColumn("digest", F.xxhash64("text"))
+    frame = stored(measured(texts, ("lang", "digest")).withColumn("base_failed", base_failed()))
     frame = frame.withColumn("stratum", F.coalesce("lang", F.lit("\0")))
     known = pick(labels, "doc_id", "quality").where("quality is not null").groupBy("doc_id").agg(
         (F.max("quality") > 0).alias("good")
     )
     labelled = (
-        frame.where("not base_failed").select("doc_id", "stratum", cells(rules).alias("cells"))
-        .join(known, "doc_id").select("stratum", "good", "cells")
+        frame.where("not base_failed").join(known, "doc_id").dropDuplicates(["stratum", "doc_id", "digest"])
+        .select("stratum", "good", cells(rules).alias("cells"))
     )
     strata = frame.select("stratum").distinct().count()
     rows = checkpointed(thresholds(labelled, strata, rules, risk, error))
@@ -211,5 +213,5 @@ def judge(
         frame.join(limits, "stratum", "left")
         .withColumn("rejected_by", F.when(F.col("limits").isNull(), none).otherwise(F.coalesce(hit, none)))
         .withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
-        .drop("stratum", "limits")
+        .drop("stratum", "digest", "limits")
     )
