@@ -1,15 +1,16 @@
 """Line dedup that can be taken back: exact reference counts behind sharded cuckoo filters.
 
-The state is a table of references, one row per document and distinct line key, and one cuckoo filter per shard of
-the keys. The filter of a shard holds the keys that at least two documents refer to. Inserting documents adds the keys
-that become shared, deleting documents takes out those that stop being shared, so the state after a deletion is the
-state without these documents. A filter says no for certain and yes with a small error, so only the lines that pass
-are joined with the exact counts; the filters spare that join for all lines that are found once.
-
-References are counted with partial aggregation, so a line in every document costs one row a task. Probing is grouped
-by shard and by a salt of the documents: the number of shards follows the number of references, the number of salts
-the most frequent key, and each group holds about ``GROUP_ROWS`` references. No filter is sent to tasks that do not
-read its shard.
+The state is a table of references, one row per document and distinct line key, a table of exact counts per key, and one
+cuckoo filter per shard of the keys. The filter of a shard holds the keys that at least two documents refer to. Inserting
+documents adds the keys that become shared, deleting documents takes out those that stop being shared, so the state after
+a deletion is the state without these documents. Only the counts of keys in the change are made anew: after an insertion
+by adding up, after a deletion from the references left. A filter says no for certain and yes with a small error, so only
+the lines that pass are joined with the exact counts; the filters spare that join for all lines that are found once.
+
+References are counted with partial aggregation, so a line in every document costs one row a task. Keys with more than
+``GROUP_ROWS`` references are known to be shared and need no filter: there are few of them, and their references are
+joined with their counts at once. The others are probed shard by shard; the number of shards follows the number of
+references, so that a shard holds about ``GROUP_ROWS``. No filter is sent to tasks that do not read its shard.
 
 Defined results: a NULL or empty text is one empty line. Rows with the same doc_id are one document; those with a NULL
 doc_id are one document that comes after all others. Keys shorter than ``shortest`` code points are never dropped.
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import pick, small_batches, stored
 
 GROUP_ROWS = 200_000
+#: Up to so many frequent keys are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 KEYS = ("hi", "lo")
 BLANK = b" \t\n\x0b\x0c\r"
 
@@ -151,13 +154,25 @@ def references(documents: DataFrame, shortest: int) -> DataFrame:
 
 
 def counted(refs: DataFrame) -> DataFrame:
-    """(hi, lo, refs, owner, shared) by key: the rows that refer to it, the smallest doc_id, and whether two do."""
+    """(hi, lo, refs, owner, last, unnamed) by key: the rows that refer to it, the smallest and the largest doc_id, and
+    whether one is NULL."""
     return refs.groupBy(*KEYS).agg(
-        F.count("*").alias("refs"), F.min("doc_id").alias("owner"),
-        (
-            (F.min("doc_id") != F.max("doc_id")) | (F.count_if(F.col("doc_id").isNull()) > 0) & (F.count("doc_id") > 0)
-        ).alias("shared"),
-    ).withColumn("shared", F.coalesce("shared", F.lit(False)))
+        F.count("*").alias("refs"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"),
+        F.max(F.col("doc_id").isNull()).alias("unnamed"),
+    )
+
+
+def added_up(counts: DataFrame) -> DataFrame:
+    """Counts of the same keys made one."""
+    return counts.groupBy(*KEYS).agg(
+        F.sum("refs").alias("refs"), F.min("owner").alias("owner"), F.max("last").alias("last"),
+        F.max("unnamed").alias("unnamed"),
+    )
+
+
+def shared() -> Column:
+    """Whether at least two documents refer to a counted key."""
+    return F.coalesce((F.col("owner") != F.col("last")) | F.col("unnamed") & F.col("owner").isNotNull(), F.lit(False))
 
 
 @dataclass(frozen=True)
@@ -165,6 +180,7 @@ class LineIndex:
     """References and filters of a set of documents. Every change gives a new index; the old one stays valid."""
 
     refs: DataFrame
+    counts: DataFrame
     filters: DataFrame
     shards: int
     shortest: int
@@ -173,9 +189,10 @@ class LineIndex:
     def build(cls, documents: DataFrame, shortest: int = 10) -> LineIndex:
         refs = stored(references(documents, shortest))
         shards = max(16, refs.count() // GROUP_ROWS)
+        counts = stored(counted(refs))
         empty = documents.sparkSession.createDataFrame([], "shard int, filter binary")
-        index = cls(refs, empty, shards, shortest)
-        return cls(refs, index._changed(counted(refs).where("shared"), None), shards, shortest)
+        index = cls(refs, counts, empty, shards, shortest)
+        return replace(index, filters=index._changed(counts.where(shared()), None))
 
     def _shard(self) -> Column:
         return F.pmod(F.col("hi"), F.lit(self.shards)).cast("int").alias("shard")
@@ -201,32 +218,32 @@ class LineIndex:
             .applyInPandas(change, "shard int, filter binary")
         )
 
-    def _after(self, refs: DataFrame) -> LineIndex:
-        then, now = counted(self.refs).where("shared"), counted(refs).where("shared")
-        added, removed = now.join(then, [*KEYS], "left_anti"), then.join(now, [*KEYS], "left_anti")
-        return LineIndex(refs, self._changed(added, removed), self.shards, self.shortest)
+    def _after(self, refs: DataFrame, old: DataFrame, now: DataFrame, keys: DataFrame) -> LineIndex:
+        """The index of refs, whose counts differ from these in keys alone: there they were old and are now."""
+        was, is_ = old.where(shared()), now.where(shared())
+        added, removed = is_.join(was, [*KEYS], "left_anti"), was.join(is_, [*KEYS], "left_anti")
+        counts = stored(self.counts.join(keys, [*KEYS], "left_anti").unionByName(now))
+        return replace(self, refs=refs, counts=counts, filters=self._changed(added, removed))
 
     def insert(self, documents: DataFrame) -> LineIndex:
-        return self._after(stored(self.refs.unionByName(references(documents, self.shortest))))
+        new = stored(references(documents, self.shortest))
+        own = stored(counted(new))
+        old = stored(self.counts.join(own.select(*KEYS), [*KEYS], "left_semi"))
+        now = stored(added_up(old.unionByName(own)))
+        return self._after(stored(self.refs.unionByName(new)), old, now, own.select(*KEYS))
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Without the documents of a column doc_id; ids that are not there change nothing."""
         gone = pick(doc_ids, "doc_id").distinct().select(F.col("doc_id").cast("long").alias("gone"))
-        return self._after(stored(
-            self.refs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-        ))
+        hit = F.col("doc_id").eqNullSafe(F.col("gone"))
+        keys = stored(self.refs.join(gone, hit, "left_semi").select(*KEYS).distinct())
+        refs = stored(self.refs.join(gone, hit, "left_anti"))
+        old = stored(self.counts.join(keys, [*KEYS], "left_semi"))
+        return self._after(refs, old, stored(counted(refs.join(keys, [*KEYS], "left_semi"))), keys)
 
-    def passing(self, refs: DataFrame, counts: DataFrame) -> DataFrame:
+    def passing(self, refs: DataFrame) -> DataFrame:
         """The references whose keys pass the filters."""
-        most = counts.agg(F.max("refs")).first()[0] or 0
-        salts = int(most // GROUP_ROWS) + 1
-        probes = refs.select(
-            self._shard(), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
-            F.col("doc_id").cast("string").alias("doc_id"), *KEYS,
-        )
-        filters = self.filters.select(
-            "shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "filter"
-        )
+        probes = refs.select(self._shard(), F.col("doc_id").cast("string").alias("doc_id"), *KEYS)
 
         def probe(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
             if not len(own) or not len(rows):
@@ -236,18 +253,18 @@ class LineIndex:
             )
             return rows.loc[held, ["doc_id", *KEYS]].astype({"doc_id": object})  # Arrow strings fail without rows
 
-        group = ("shard", "salt")
-        return filters.groupBy(*group).cogroup(  # numbers with NULLs lose digits in pandas
-            probes.groupBy(*group)
+        return self.filters.groupBy("shard").cogroup(  # numbers with NULLs lose digits in pandas
+            probes.groupBy("shard")
         ).applyInPandas(probe, "doc_id string, hi long, lo long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
     def drops(self) -> DataFrame:
         """(doc_id, keys): per document the keys, 16 bytes each, of the lines that it loses."""
-        counts = stored(counted(self.refs).where("shared"))
-        passed = self.passing(self.refs, counts)
-        lost = passed.join(counts.select(*KEYS, "owner"), [*KEYS]).where(
-            ~F.col("doc_id").eqNullSafe(F.col("owner"))
-        )
+        counts = self.counts.where(shared()).select(*KEYS, "refs", "owner")
+        often = stored(counts.where(F.col("refs") > GROUP_ROWS))
+        few = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
+        passed = self.passing(self.refs.join(few.select(*KEYS), [*KEYS], "left_anti"))
+        found = self.refs.join(few, [*KEYS]).unionByName(passed.join(counts, [*KEYS]))
+        lost = found.where(~F.col("doc_id").eqNullSafe(F.col("owner")))
         return lost.groupBy("doc_id").agg(F.collect_set(F.struct(*KEYS)).alias("keys"))
 
     def apply(self, documents: DataFrame) -> DataFrame:
