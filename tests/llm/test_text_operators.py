@@ -417,9 +417,58 @@ def test_urls(spark):
     assert url_filter.filter_urls(spark, df.limit(0)).count() == 0
 
 
+def test_a_hundred_thousand_rules(spark):
+    """Rules as a table: few candidates a url, and verdicts as by walking up the hosts of each."""
+    n = 100_000
+    sites = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, "allow").otherwise("block").alias("action"),
+        F.concat(F.lit("Site"), "id", F.lit(".group"), F.col("id") % 50, F.lit(".com")).alias("host"),
+        F.when(F.col("id") % 2 == 0, "/a.b/c").otherwise("").alias("path"),
+    ).unionByName(spark.createDataFrame([(None, "x.com", ""), ("block", "x.com", None)], "action string, host string, path string"))
+    rules = url_filter.site_rules(sites)
+    rules = rules.unionByName(rules.limit(5)).withColumn("number", F.lit("x"))
+    rules = rules.unionByName(spark.createDataFrame(
+        [(None, "block", None, None, "x"), ("(?i)zzz", "block", None, [None], "x")], rules.select(
+            "expression", "action", "site", "tokens", "number").schema
+    ).select(*rules.columns))
+    rng = random.Random(4)
+    urls = [(i, f"http://{rng.choice(['', 'www.'])}site{k}.group{rng.choice([k % 50, 3])}.com{rng.choice(['', '/', '/a.b/cd', '/aXb/c', '/ZZZ'])}")
+            for i, k in enumerate(rng.sample(range(n + 1000), 400))]
+
+    def plain(url):
+        host, _, path = url.removeprefix("http://").partition("/")
+        path = "/" + path if "/" in url.removeprefix("http://") else ""
+        number, group = map(int, re.findall(r"site(\d+)\.group(\d+)", host)[0])
+        want = "/a.b/c" if number % 2 == 0 else ""
+        if number < n and group == number % 50 and path.startswith(want):
+            return f"site{number}.group{group}.com{want}", "allow" if number % 3 == 0 else "block"
+        return None, "block" if "ZZZ" in path else "allow"
+
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    got = rows(url_filter.filter_urls(spark, df, rules), "page_id", "rule", "verdict")
+    assert got == sorted(((i, *plain(u)) for i, u in urls), key=repr)
+    host, path = url_filter.split_url(F.col("url"))
+    found = url_filter.candidates(spark, df.select("url", host.alias("host"), path.alias("path")), rules)
+    assert found.count() <= 3 * len(urls)  # the rule of its number, the one without tokens, and what ties file elsewhere
+
+
 # 5
 
 
+def test_copies_are_one_trial(spark):
+    """A labelled document that is listed a thousand times certifies nothing that one listing doesn't."""
+    rng = random.Random(9)
+    data = [(i, " ".join(["word"] * 6 + [f"w{rng.randrange(10**6)}" for _ in range(30)] + ["#" * (60 if i % 5 == 0 else 1)]), "en")
+            for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i, *_ in data], "doc_id long, quality int")
+    once = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    often = spark.createDataFrame(data + [data[1]] * 1000 + [data[5]] * 1000, once.schema).repartition(4)
+    names = ("doc_id", "rejected_by", "kept")
+    single, many = (quality.judge(d, labels).select(*names).distinct() for d in (once, often))
+    assert rows(single, *names) == rows(many, *names)
+    assert quality.judge(often, labels).count() == 2300
+
+
 def test_measures(docs):
     def plain(i, text):
         words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
@@ -543,7 +592,9 @@ def brute_lines(data, shortest=10):
     ) for i, t in data), key=repr)
 
 
-def test_lines_inserted_and_deleted(docs, spark):
+@pytest.mark.parametrize("group", [200_000, 1])
+def test_lines_inserted_and_deleted(docs, spark, monkeypatch, group):
+    monkeypatch.setattr(line_dedup, "GROUP_ROWS", group)  # with 1, all shared keys are frequent ones
     data = [d[:2] for d in DOCS]
     show = ("row.doc_id", "line_text", "n_lines", "n_dropped")
     index = line_dedup.LineIndex.build(docs)
@@ -555,6 +606,8 @@ def test_lines_inserted_and_deleted(docs, spark):
     assert rows(grown.apply(both), *show) == brute_lines(data + more)
     back = grown.delete(extra)
     assert rows(back.apply(docs), *show) == brute_lines(data)
+    assert rows(back.counts, "hi", "lo", "refs", "owner", "last", "unnamed") == rows(
+        index.counts, "hi", "lo", "refs", "owner", "last", "unnamed")
     fewer = back.delete(spark.createDataFrame([(1,), (99,)], "doc_id long"))
     assert rows(fewer.apply(docs.where("doc_id <> 1 or doc_id is null")), *show) == brute_lines([d for d in data if d[0] != 1])
 
