@@ -775,4 +775,4 @@ def test_every_query_is_registered():
 
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(oracle.SQL) <= set(queries.QUERIES)
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
