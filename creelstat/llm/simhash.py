@@ -32,6 +32,8 @@ BITS = 64
 SEED = 42
 #: Fingerprints that a block of the trie is meant to hold.
 BLOCK = 500_000
+#: The same where fingerprints carry lanes of their sketches: a group of two such blocks has some 50 bytes a row.
+LIKELY_BLOCK = 2_000_000
 #: Node pairs that are walked at a time, and leaf pairs compared at a time.
 SLICE = 1 << 16
 LEAF = 8
@@ -231,7 +233,7 @@ def _descend(fps: np.ndarray, first: int | None, depth: int, spent: int, budget:
 
 
 class Likely:
-    """Pairs of places whose whole sketches differ in at most ``most`` bits.
+    """Pairs of places whose sketches differ in at most ``most`` bits.
 
     Without trees, the pairs found are those that joined two trees of a forest, and pairs within one tree are passed
     over. With trees, a number for each place, they are all pairs between different trees.
@@ -408,14 +410,16 @@ def trie_join(prints: DataFrame, budget: int = 4, top: int = 4, block: int = BLO
 
 
 def likely_join(
-    prints: DataFrame, budget: int, lanes: int, most: float, trees: bool = False, top: int = 1, block: int = BLOCK,
+    prints: DataFrame, budget: int, lanes: int, most: float, trees: bool = False, top: int = 1,
+    block: int = LIKELY_BLOCK,
 ) -> DataFrame:
-    """(a, b): pairs of nodes within the budget by fp and within most bits by their whole sketches.
+    """(a, b): pairs of nodes within the budget by fp and within most bits by the lanes that they carry.
 
     prints has (part, fp, node, s0, s1, ...), and tree if trees. The pairs connect all such pairs; with trees, they are
     all of them whose trees differ.
     """
     sent, depth = _dealt(prints, budget, top, block)
+    sent = sent.withColumns({"part": F.col("part").cast("int"), "at": F.col("at").cast("int")})
 
     def join(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         _, at, mask, *_ = key
@@ -462,7 +466,7 @@ def _named(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def similar_documents(
     documents: DataFrame, size: int = 5, similarity: float = 0.8, lanes: int = 8, bits: int = 32, budget: int = 3,
-    slack: float = 2.5,
+    slack: float = 2.5, carried: int = 2, carried_slack: float = 4.0, block: int = LIKELY_BLOCK,
 ) -> DataFrame:
     """(doc_id, digest, component_id, stays) of every row: documents linked by a resemblance of shingle sets.
 
@@ -472,18 +476,25 @@ def similar_documents(
 
     One fingerprint of 64 bits can't tell a resemblance of 0.8 from chance within a budget that a trie can prune by. So
     ``lanes`` SimHashes are cut into pieces of ``bits``; each piece has a trie of its own, whose self-join within the
-    small budget finds pairs. Such a pair is proposed if all pieces together differ in no more bits than the
-    resemblance lets expect, with ``slack`` standard deviations: for the angle t between two shingle sets of
-    resemblance r, cos t = 2r / (1 + r), and the share of bits is t / pi. The shingle sets themselves decide at last.
-    A pair at 0.8 is found by some piece with a probability over 0.99. Sketches are of distinct shingles, as the
-    resemblance is of sets.
+    small budget finds pairs. Such a pair is proposed if two sketches differ in no more bits than the resemblance lets
+    expect, with so many standard deviations: for the angle t between two shingle sets of resemblance r,
+    cos t = 2r / (1 + r), and the share of bits is t / pi. Fingerprints go to several groups of a trie, so they take
+    only ``carried`` lanes with them, which are compared with ``carried_slack``; one pair of strangers in seven
+    million passes. The pairs left are joined with their whole sketches, compared with ``slack``, and the shingle sets
+    themselves decide at last. A pair at 0.8 is found by some piece with a probability
+    over 0.99. Sketches are of distinct shingles, as the resemblance is of sets.
 
     Documents with equal shingle sets meet in one node first. Each trie proposes a forest of likely pairs, not all of
     them. A pair that the sets refuse may have hidden others of its tree, so the nodes of the components at both its
     ends go through the tries once more, and then every likely pair between different components is decided.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = (share + slack * math.sqrt(share * (1 - share) / (lanes * BITS))) * lanes * BITS
+
+    def most(of: int, deviations: float) -> float:
+        """Bits in which sketches of so many lanes may differ."""
+        return (share + deviations * math.sqrt(share * (1 - share) / (of * BITS))) * of * BITS
+
+    near = most(carried, carried_slack)
     texts = pick(documents, "doc_id", "text").withColumn("digest", F.xxhash64("text"))
     rows = stored(set_sketches(texts, size, lanes).select("doc_id", "digest", "sketch", "node"))
     nodes = stored(
@@ -503,11 +514,11 @@ def similar_documents(
             F.lit(BITS - bits),
         ).alias("fp"),
     ))
-    whole = [F.col("sketch")[i].alias(f"s{i}") for i in range(lanes)]
+    some = [F.col("sketch")[i].alias(f"s{i}") for i in range(carried)]
 
     def prints(of: DataFrame, *more: str) -> DataFrame:
-        names = ["node", *more, *[f"s{i}" for i in range(lanes)]]
-        return of.select("node", *more, *whole, F.explode(pieces).alias("p")).select("p.part", "p.fp", *names)
+        names = ["node", *more, *[f"s{i}" for i in range(carried)]]
+        return of.select("node", *more, *some, F.explode(pieces).alias("p")).select("p.part", "p.fp", *names)
 
     @F.pandas_udf("double")
     def resemblance(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -515,17 +526,25 @@ def similar_documents(
         return pd.Series([len(a & b) / max(1, len(a | b)) for a, b in zip(map(sets, x), map(sets, y), strict=True)])
 
     def decided(likely: DataFrame) -> DataFrame:
-        """likely (a, b) with alike, whether their shingle sets are."""
-        own = nodes.select("node", "digest")
-        pairs = stored(likely.join(own.toDF("a", "text_a"), "a").join(own.toDF("b", "text_b"), "b"))
+        """likely (a, b) with alike, whether their whole sketches and then their shingle sets are."""
+        own = nodes.select("node", "digest", "sketch")
+        differing = F.aggregate(
+            F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, bits: n + bits
+        )
+        sketched = stored(
+            likely.join(own.toDF("a", "text_a", "x"), "a").join(own.toDF("b", "text_b", "y"), "b")
+            .select("a", "b", "text_a", "text_b", (differing <= most(lanes, slack)).alias("close"))
+        )
+        pairs = sketched.where("close")
         wanted = pairs.select(F.explode(F.array("text_a", "text_b")).alias("digest")).distinct()
         found = texts.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("text"))
         return stored(
             pairs.join(found.toDF("text_a", "x"), "text_a").join(found.toDF("text_b", "y"), "text_b")
             .select("a", "b", (resemblance("x", "y") >= similarity).alias("alike"))
+            .unionByName(sketched.where("not close").select("a", "b", F.lit(False).alias("alike")))
         )
 
-    proposed = decided(likely_join(prints(nodes), budget, lanes, most))
+    proposed = decided(likely_join(prints(nodes), budget, carried, near, block=block))
     links = proposed.where("alike").select("a", "b")
     refused = proposed.where("not alike").select("a", "b")
     if not refused.isEmpty():
@@ -537,7 +556,7 @@ def similar_documents(
         again = nodes.join(roots.withColumnRenamed("root", "tree"), "node", "left").withColumn(
             "tree", F.coalesce("tree", "node")
         ).join(torn, "tree", "left_semi")
-        late = likely_join(prints(stored(again), "tree"), budget, lanes, most, trees=True)
+        late = likely_join(prints(stored(again), "tree"), budget, carried, near, trees=True, block=block)
         links = stored(links.unionByName(
             decided(late.join(refused, ["a", "b"], "left_anti")).where("alike").select("a", "b")
         ))

@@ -276,7 +276,8 @@ def test_similar_documents_among_chance_neighbours(spark, many):
     assert got == brute_similar(texts)
 
 
-def test_similar_documents_beside_pairs_that_the_sets_refuse(spark):
+@pytest.mark.parametrize("block", [simhash.LIKELY_BLOCK, 20])  # tries of depth 1, and of depth 3 with full blocks
+def test_similar_documents_beside_pairs_that_the_sets_refuse(spark, block):
     # families at about 0.75 to their head, so near in bits, with pairs of their own at over 0.8
     texts = []
     for k in range(12):
@@ -289,7 +290,7 @@ def test_similar_documents_beside_pairs_that_the_sets_refuse(spark):
             texts.append((100 * k + v, " ".join(own)))
             own[9] = f"z{k}{v}"
             texts.append((100 * k + 50 + v, " ".join(own)))
-    got = dict(rows(simhash.similar_documents(spark.createDataFrame(texts, "doc_id long, text string")),
+    got = dict(rows(simhash.similar_documents(spark.createDataFrame(texts, "doc_id long, text string"), block=block),
                     "doc_id", "component_id"))
     assert got == brute_similar(texts)
 
