@@ -411,12 +411,12 @@ def trie_join(prints: DataFrame, budget: int = 4, top: int = 4, block: int = BLO
 
 def likely_join(
     prints: DataFrame, budget: int, lanes: int, most: float, trees: bool = False, top: int = 1,
-    block: int = LIKELY_BLOCK,
+    block: int = LIKELY_BLOCK, nearest: bool = False,
 ) -> DataFrame:
     """(a, b): pairs of nodes within the budget by fp and within most bits by the lanes that they carry.
 
     prints has (part, fp, node, s0, s1, ...), and tree if trees. The pairs connect all such pairs; with trees, they are
-    all of them whose trees differ.
+    all of them whose trees differ, or if nearest the nearest one of each two trees in a group.
     """
     sent, depth = _dealt(prints, budget, top, block)
     sent = sent.withColumns({"part": F.col("part").cast("int"), "at": F.col("at").cast("int")})
@@ -434,6 +434,13 @@ def likely_join(
             fps, first, depth, int(mask).bit_count(), budget, np.asfortranarray(sketches), most,
             group["tree"].to_numpy() if trees else None,
         )
+        if nearest and len(a):
+            x, y = group["tree"].to_numpy()[a], group["tree"].to_numpy()[b]
+            low, high = np.minimum(x, y), np.maximum(x, y)
+            order = np.lexsort((np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1, dtype=np.int64), high, low))
+            low, high = low[order], high[order]
+            new = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
+            a, b = a[order[new]], b[order[new]]
         return pd.DataFrame({"a": nodes[a], "b": nodes[b]})
 
     found = sent.groupBy("part", "at", "mask", "s", "t").applyInPandas(join, "a long, b long")
@@ -486,7 +493,8 @@ def similar_documents(
 
     Documents with equal shingle sets meet in one node first. Each trie proposes a forest of likely pairs, not all of
     them. A pair that the sets refuse may have hidden others of its tree, so the nodes of the components at both its
-    ends go through the tries once more, and then every likely pair between different components is decided.
+    ends go through the tries again, twice: first the nearest pair of each two components is decided, which unites most
+    that belong together, and then every likely pair between components that are still different.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
 
@@ -514,10 +522,10 @@ def similar_documents(
             F.lit(BITS - bits),
         ).alias("fp"),
     ))
-    some = [F.col("sketch")[i].alias(f"s{i}") for i in range(carried)]
 
-    def prints(of: DataFrame, *more: str) -> DataFrame:
-        names = ["node", *more, *[f"s{i}" for i in range(carried)]]
+    def prints(of: DataFrame, taken: int, *more: str) -> DataFrame:
+        some = [F.col("sketch")[i].alias(f"s{i}") for i in range(taken)]
+        names = ["node", *more, *[f"s{i}" for i in range(taken)]]
         return of.select("node", *more, *some, F.explode(pieces).alias("p")).select("p.part", "p.fp", *names)
 
     @F.pandas_udf("double")
@@ -544,22 +552,28 @@ def similar_documents(
             .unionByName(sketched.where("not close").select("a", "b", F.lit(False).alias("alike")))
         )
 
-    proposed = decided(likely_join(prints(nodes), budget, carried, near, block=block))
+    proposed = decided(likely_join(prints(nodes, carried), budget, carried, near, block=block))
     links = proposed.where("alike").select("a", "b")
     refused = proposed.where("not alike").select("a", "b")
-    if not refused.isEmpty():
+    for nearest in (True, False):
+        if refused.isEmpty():
+            break
         roots = stored(components(links))
-        tree = lambda end: roots.toDF(end, f"tree_{end}")
+        tree = lambda end: roots.toDF(end, f"tree_{end}")  # noqa: B023, E731
         torn = refused.join(tree("a"), "a", "left").join(tree("b"), "b", "left").select(
             F.coalesce("tree_a", "a").alias("x"), F.coalesce("tree_b", "b").alias("y")
         ).where("x != y").select(F.explode(F.array("x", "y")).alias("tree")).distinct()
         again = nodes.join(roots.withColumnRenamed("root", "tree"), "node", "left").withColumn(
             "tree", F.coalesce("tree", "node")
         ).join(torn, "tree", "left_semi")
-        late = likely_join(prints(stored(again), "tree"), budget, carried, near, trees=True, block=block)
-        links = stored(links.unionByName(
-            decided(late.join(refused, ["a", "b"], "left_anti")).where("alike").select("a", "b")
-        ))
+        # these few nodes take their whole sketches, as pairs are not only those of a forest
+        late = likely_join(
+            prints(stored(again), lanes, "tree"), budget, lanes, most(lanes, slack), trees=True, block=block,
+            nearest=nearest,
+        )
+        late = decided(late.join(refused, ["a", "b"], "left_anti"))
+        links = stored(links.unionByName(late.where("alike").select("a", "b")))
+        refused = stored(refused.unionByName(late.where("not alike").select("a", "b")))
     named = _named(nodes.select("node", "first"), links)
     head = F.col("component_id")
     return rows.join(named.select("node", "component_id"), "node", "left").select(
