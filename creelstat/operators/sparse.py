@@ -26,13 +26,21 @@ def long_states(responses: DataFrame, unit: str, cells: Sequence[str], counted:
     the rows that count, and whether a row of a surveyed respondent lacks it. One pass, combined before the shuffle.
     """
     counted = is_counted() if counted is None else counted
-    # zeros go before rows are made of the columns, so that a response costs as many rows as it reports values
-    values = ", ".join(f"CAST({quoted(m)} AS DOUBLE)" for m in measure_cols(responses))
-    reported = "transform(_values, (x, i) -> if(x <=> 0D, NULL, named_struct('place', i, 'value', x)))"
+    # zeros go before rows are made of the columns, so that a response costs as many rows as it reports values;
+    # short lists are flattened in a projection, which is compiled, unlike functions of elements or a generator
+    value, none = "CAST({m} AS DOUBLE)", "CAST(array() AS ARRAY<STRUCT<place: INT, value: DOUBLE>>)"
+    reported = ", ".join(
+        f"if({x} <=> 0D, {none}, array(named_struct('place', {i}, 'value', {x})))"
+        for i, x in enumerate((value.format(m=quoted(m)) for m in measure_cols(responses)), PRESENT + 1)
+    )
     long = responses.select(
         SURVEY, unit, *cells, counted.alias("_counted"), F.coalesce(is_surveyed(), F.lit(False)).alias("_surveyed"),
-        F.expr(f"array(1D, {values})").alias("_values"),
-    ).select(SURVEY, unit, *cells, "_counted", "_surveyed", F.expr(f"inline(filter({reported}, x -> x IS NOT NULL))"))
+        F.expr(f"flatten(array({none}, {reported}))" if reported else none).alias("_values"),
+    )
+    present = f"array(named_struct('place', {PRESENT}, 'value', 1D))"
+    # of the bare list Spark would first ask whether it is empty, which computes it twice
+    rows = F.expr(f"inline(concat({present}, _values))")
+    long = long.select(SURVEY, unit, *cells, "_counted", "_surveyed", rows)
     return long.groupBy(SURVEY, unit, *cells, "place").agg(
         F.expr("coalesce(sum(value), 0D) AS total"),
         F.expr("coalesce(sum(value) FILTER (WHERE _counted), 0D) AS counted"),

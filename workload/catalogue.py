@@ -544,34 +544,40 @@ def _many_measures(fx: Fixture) -> DataFrame:
         F.nullif(F.trim("area"), F.lit("")).alias("area"), F.nullif(F.trim("method"), F.lit("")).alias("method"),
         F.when(F.col("didnotfish") == 1, 0).otherwise(1).alias("effort_days"),
         F.coalesce("salmon_chinook_kept", F.lit(0)).alias("caught"), F.coalesce("halibut_kept", F.lit(0)).alias("other"),
-    ).where("surveykey IS NOT NULL").withColumn(SURVEY, F.lit(JULY.survey_id))
+    ).where("surveykey IS NOT NULL").withColumn(SURVEY, F.lit(JULY.survey_id)).withColumns({
+        "kind": F.expr("(caught * 7 + other) % 300"), "lacking": F.expr("if(caught = 13, other * 75, -1)"),
+    })
     kinds = [
-        F.expr(f"CASE WHEN caught = 13 AND other * 75 = {i} THEN NULL WHEN (caught * 7 + other) % 300 = {i} THEN caught ELSE 0 END AS {m}")
+        F.expr(f"CASE WHEN lacking = {i} THEN NULL WHEN kind = {i} THEN caught ELSE 0 END AS {m}")
         for i, m in enumerate(SPARSE_MEASURES)
     ]
-    path = _scratch(fx)  # as such responses arrive: a table of 300 columns
-    lines.select(SURVEY, "surveykey", "did_not_fish", "area", "method", "effort_days", *kinds).write.parquet(path)
-    return fx.spark.read.parquet(path)
+    # rows of 300 columns, as such responses arrive
+    return lines.select(SURVEY, "surveykey", "did_not_fish", "area", "method", "effort_days", *kinds)
 
 
-def _sparse_cells(fx: Fixture) -> DataFrame:
+def _sparse_cells(fx: Fixture) -> tuple[DataFrame, DataFrame]:
+    """The cells of the long layout and the licences that they are estimated for, both computed once."""
+    _shared_folder(fx)
     rows = _many_measures(fx)
+    licences = checkpointed(fx.july.select(SURVEY, "licence_id", "survey_access_key", *PERIOD_STRATA))
     states = checkpointed(sparse.long_states(rows, "surveykey", AREA_METHOD))
-    return sparse.long_cells(
-        states, fx.july, "surveykey", "survey_access_key", PERIOD_STRATA, AREA_METHOD, measure_cols(rows)
-    )
+    return checkpointed(sparse.long_cells(
+        states, licences, "surveykey", "survey_access_key", PERIOD_STRATA, AREA_METHOD, measure_cols(rows)
+    )), licences
 
 
 @query("agg_specific_variance_long")
 def agg_specific_variance_long(fx):
     """The variance of 301 measures in the long layout, for the cells in which they are not zero."""
-    return sparse.specific_variance(_sparse_cells(fx), PERIOD_STRATA, AREA_METHOD).drop(SURVEY)
+    table, _ = _sparse_cells(fx)
+    return sparse.specific_variance(table, PERIOD_STRATA, AREA_METHOD).drop(SURVEY)
 
 
 @query("agg_total_variance_long")
 def agg_total_variance_long(fx):
     """Expanded totals and their variances of 301 measures in the long layout."""
-    table, pop = _sparse_cells(fx), est.population(fx.july, "licence_id", PERIOD_STRATA)
+    table, licences = _sparse_cells(fx)
+    pop = checkpointed(est.population(licences, "licence_id", PERIOD_STRATA))
     detail = sparse.estimate_detail(table, pop, PERIOD_STRATA, AREA_METHOD)
     spread = sparse.total_variance(table, pop, PERIOD_STRATA, AREA_METHOD)
     keys = [SURVEY, *AREA_METHOD, sparse.MEASURE]
@@ -938,14 +944,18 @@ def job_parse_id_list(fx):
 # --- sinks -------------------------------------------------------------------------------------------------
 
 
-def _scratch(fx: Fixture) -> str:
-    """A new folder next to the session's checkpoints, which all executors share."""
+def _shared_folder(fx: Fixture) -> str:
+    """Where the session's checkpoints go, which all executors share."""
     context = fx.spark.sparkContext
     if context.getCheckpointDir() is None and context.master.startswith("local["):  # one machine, as in tests
         context.setCheckpointDir(fx.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sink-"))
     ensure_checkpoint_dir(fx.spark)
-    shared = context.getCheckpointDir()
-    return f"{shared}/sink-{fx.spark.sql('select uuid() as u').first().u}"
+    return context.getCheckpointDir()
+
+
+def _scratch(fx: Fixture) -> str:
+    """A new folder next to the session's checkpoints."""
+    return f"{_shared_folder(fx)}/sink-{fx.spark.sql('select uuid() as u').first().u}"
 
 
 @query("sink_bundle")
