@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from creelstat import sinks
 from creelstat.domains import AREA_METHOD
 from creelstat.operators import sparse
 from workload import catalogue
@@ -17,6 +18,19 @@ def test_results_come_from_kept_tables(small, name):
     assert "FileScan" not in plan(catalogue.CATALOGUE[name](small))
 
 
+@pytest.mark.parametrize("name, writer", [("sink_bundle", "write_bundle"), ("sink_annual", "write_annual")])
+def test_written_tables_come_from_kept_tables(small, monkeypatch, name, writer):
+    seen, write = [], getattr(sinks, writer)
+
+    def watched(tables, path, *rest):
+        seen.extend(plan(table) for table in tables.values())
+        return write(tables, path, *rest)
+
+    monkeypatch.setattr(sinks, writer, watched)
+    catalogue.CATALOGUE[name](small)
+    assert len(seen) == 8 and not any("FileScan" in text for text in seen)
+
+
 def test_long_states_need_no_functions_of_elements(spark):
     rows = spark.createDataFrame(
         [("a", "k1", "x", "y", False, 1, 0, 2.5), ("a", "k1", "x", "y", False, 1, None, -0.0), ("a", "k2", None, None, True, 0, 0, 0.0)],

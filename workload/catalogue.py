@@ -961,14 +961,14 @@ def _scratch(fx: Fixture) -> str:
 @query("sink_bundle")
 def sink_bundle(fx):
     path = _scratch(fx)
-    sinks.write_bundle(estimate_inst([JULY], fx.clean, fx.modern, AREA_METHOD).tables(), path)
+    sinks.write_bundle(estimate_inst([JULY], fx.clean, fx.modern, AREA_METHOD, checkpointed).tables(), path)
     return long_tables(sinks.read_bundle(fx.spark, path))
 
 
 @query("sink_annual")
 def sink_annual(fx):
     path = _scratch(fx)
-    bundle = estimate_inst(MONTHLY, fx.clean, _year_responses(fx), AREA_METHOD)
+    bundle = estimate_inst(MONTHLY, fx.clean, _year_responses(fx), AREA_METHOD, checkpointed)
     sinks.write_annual(stacked_tables(bundle, MONTHLY), path)
     return long_tables(sinks.read_bundle(fx.spark, path))
 
