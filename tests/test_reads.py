@@ -13,7 +13,7 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["agg_total_variance_long", "agg_specific_variance_long"])
+@pytest.mark.parametrize("name", ["agg_total_variance_long", "agg_specific_variance_long", "job_month_log"])
 def test_results_come_from_kept_tables(small, name):
     assert "FileScan" not in plan(catalogue.CATALOGUE[name](small))
 

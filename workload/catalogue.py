@@ -820,8 +820,9 @@ def job_month_prepost_variance(fx):
 @query("job_month_log")
 def job_month_log(fx):
     """All checks of a month as its message table, with adjustments and exclusions in place."""
+    _shared_folder(fx)
     responses = resp.load_responses(fx.response_raw, True, LABELS, fx.exclude_ids, fx.adjustments)
-    bundle = estimate_inst([JULY], fx.clean, responses, AREA_METHOD)
+    bundle = estimate_inst([JULY], fx.clean, responses, AREA_METHOD, checkpointed)
     return bundle.log
 
 
