@@ -100,11 +100,16 @@ class InstantAnalysis(_Analysis):
         self.responses = drop_pii(with_survey(responses, periods))
         self.strata = instant_strata(periods)
         licences = period_strata(eligible(registry, periods))
-        self.licences = stamp_sets(licences) if "strata_set" in self.strata else licences
+        self.eligible = stamp_sets(licences) if "strata_set" in self.strata else licences
         self.expected_cells = cell_cols
         self.sum_cells = self.spread_cells = [c for c in cell_cols if c in responses.columns]
         self.keep = keep
 
+    @cached_property
+    def licences(self) -> DataFrame:
+        """Keys and strata of the eligible licences: the registry is cleaned once for all that asks for them."""
+        return self.keep(self.eligible.select(SURVEY, "licence_id", "survey_access_key", *self.strata))
+
     @cached_property
     def pop(self) -> DataFrame:
         return self.keep(est.population(self.licences, "licence_id", self.strata))

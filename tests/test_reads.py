@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from creelstat import sinks
-from creelstat.domains import AREA_METHOD
+from creelstat.domains import AREA_METHOD, SURVEY
 from creelstat.operators import sparse
+from creelstat.plans import estimate_inst
 from workload import catalogue
+from workload.fixtures import JULY
 
 
 def plan(df):
@@ -47,3 +49,16 @@ def test_long_states_need_no_functions_of_elements(spark):
     }
     assert sparse.long_states(rows.drop("effort_days", "finfish_a", "finfish_b").withColumn(
         "effort_days", F.lit(0)), "surveykey", AREA_METHOD).count() == 2
+
+
+def test_a_job_cleans_the_registry_once(small):
+    kept = []
+
+    def keep(df):
+        kept.append(plan(df))
+        return df.checkpoint()
+
+    bundle = estimate_inst([JULY], small.clean, small.modern, AREA_METHOD, keep)
+    tables = [bundle.pop, bundle.sums, bundle.violations]
+    assert SURVEY in tables[0].columns
+    assert sum("fisher_id" in text for text in kept) == 1
