@@ -7,8 +7,8 @@ endings on them. A word counts with its heaviest term unless an exception phrase
 logarithm and its share of the text's length go through a logistic function.
 
 Lexicon, exceptions and the three factors are learnt from labelled texts. At most ``sample`` labelled ids, chosen by a
-hash of doc_id, are used, each with its different texts; that bounds the lexicon. The driver sees terms and counts, no
-texts. Everything else covers all rows:
+hash of doc_id, are used, each with its different texts; that bounds the lexicon. They are folded once and kept folded
+for the four passes over them. The driver sees terms and counts, no texts. Everything else covers all rows:
 scoring is one narrow stage without a shuffle.
 
 Defined results: NULL and empty texts have no words and get the score of a text without hits. Without any labels, or
@@ -19,16 +19,17 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, pick, small_batches, stored
@@ -42,12 +43,28 @@ LOOKALIKES = dict(zip(
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"}
 FOLD = str.maketrans(LOOKALIKES)
 SPELT = re.compile(r"(?<![^\W_])((?:[^\W\d_][.\-_*·]+){2,}[^\W\d_])(?![^\W_])")
-WORD = re.compile(r"[^\W_]+(?:[@$!|]+(?=[^\W_])[^\W_]+)*")
+#: In every text that SPELT matches; found much faster.
+MAYBE_SPELT = re.compile(r"[.\-_*·][^\W\d_][.\-_*·]")
+#: Signs that belong to a word where letters or digits stand on both sides.
+INNER = "@$!|"
 SIGNED = re.compile(r"[0-9@$!|]")
 DRAWN = re.compile(r"(.)\1{2,}")
 SHORTEST, LONGEST = 3, 8
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """By code point: look-alikes folded; letters, digits and signs as they are; a space for everything else."""
+    n = sys.maxunicode + 1
+    codes = np.arange(n, dtype="<u4")
+    codes[~np.fromiter((chr(c).isalnum() for c in range(n)), bool, n)] = ord(" ")
+    for c in INNER:
+        codes[ord(c)] = ord(c)
+    for a, b in LOOKALIKES.items():
+        codes[ord(a)] = ord(b)
+    return codes
+
+
 @lru_cache(maxsize=50_000)
 def fold_word(word: str) -> str:
     """One lower-case word in folded letters; words of digits alone stay."""
@@ -56,13 +73,31 @@ def fold_word(word: str) -> str:
     return DRAWN.sub(r"\1", word).replace("l", "i")
 
 
+def folded(text: str) -> str:
+    """The folded words of a text, each between two single spaces; empty without words.
+
+    Letters are folded for the whole text at once; only words with digits or signs are looked at one by one.
+    """
+    low = unicodedata.normalize("NFKC", text).lower()
+    if MAYBE_SPELT.search(low):
+        low = SPELT.sub(lambda m: re.sub(r"[.\-_*·]+", "", m[1]), low.translate(FOLD))
+    codes = _letters()[np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4")]
+    same = codes[1:] == codes[:-1]
+    drawn = (same[1:] & same[:-1] & (codes[2:] != ord(" "))).any()
+    raw = codes.tobytes().decode("utf-32-le").split()
+    plain = " ".join(raw)
+    words = (DRAWN.sub(r"\1", plain) if drawn else plain).replace("l", "i")
+    if SIGNED.search(plain):
+        each = (
+            fold_word(w.strip(INNER)) if SIGNED.search(w) else other for w, other in zip(raw, words.split(" "), strict=True)
+        )
+        words = " ".join(filter(None, each))
+    return f" {words} " if words else ""
+
+
 def fold(text: str) -> list[str]:
     """The folded words of a text."""
-    low = unicodedata.normalize("NFKC", text).lower()
-    if not low.isascii():
-        low = low.translate(FOLD)
-    low = SPELT.sub(lambda m: re.sub(r"[.\-_*·]+", "", m[1]), low)
-    return list(map(fold_word, WORD.findall(low)))
+    return folded(text).split()
 
 
 def features(word: str) -> Iterator[str]:
@@ -72,6 +107,11 @@ def features(word: str) -> Iterator[str]:
         yield f" {word[:n]}"
 
 
+def all_terms(words: str) -> set[str]:
+    """The terms that folded words can match."""
+    return {f for w in set(words.split()) for f in features(w)}
+
+
 def _outside(found: dict[int, float], spans: list[tuple[int, int]]) -> dict[int, float]:
     """The entries whose place lies in none of the spans [a, b), by one sweep over both in order."""
     spans.sort()
@@ -85,6 +125,16 @@ def _outside(found: dict[int, float], spans: list[tuple[int, int]]) -> dict[int,
     return kept
 
 
+def _automaton(found: Iterable[tuple[str, object]]) -> ahocorasick.Automaton:
+    """Matches strings and gives what stands for each."""
+    a = ahocorasick.Automaton()
+    for string, value in found:
+        a.add_word(string, value)
+    if len(a):
+        a.make_automaton()
+    return a
+
+
 @dataclass(frozen=True)
 class Model:
     """Terms with weights, exception phrases, and the logistic function's intercept and factors."""
@@ -103,26 +153,21 @@ class Model:
             object.__setattr__(self, name, value)
         object.__setattr__(self, "_built", {})
 
-    def _automaton(self):
+    def _matcher(self):
         if "a" not in self._built:
-            a = ahocorasick.Automaton()
-            for term, weight in self.terms.items():
-                a.add_word(term, (len(term), weight, False))
-            for phrase in self.exceptions:
-                a.add_word(f" {phrase} ", (len(phrase) + 2, 0.0, True))
-            if len(a):
-                a.make_automaton()
-            self._built["a"] = a
+            self._built["a"] = _automaton([
+                *((term, (len(term), weight, False)) for term, weight in self.terms.items()),
+                *((f" {phrase} ", (len(phrase) + 2, 0.0, True)) for phrase in self.exceptions),
+            ])
         return self._built["a"]
 
-    def hits(self, words: list[str]) -> dict[int, float]:
-        """Weight by the place in the joined text at which a matched word begins."""
-        automaton = self._automaton()
+    def hits(self, words: str) -> dict[int, float]:
+        """Weight by the place in the folded words at which a matched word begins, its space included."""
+        automaton = self._matcher()
         if not len(automaton) or not words:
             return {}
-        text = f" {' '.join(words)} "
         found, covered = {}, []
-        for end, (size, weight, exception) in automaton.iter(text):
+        for end, (size, weight, exception) in automaton.iter(words):
             at = end - size + 1
             if exception:
                 covered.append((at, end))
@@ -130,33 +175,62 @@ class Model:
                 found[at] = weight
         return _outside(found, covered) if covered else found
 
-    def measures(self, text: str | None) -> tuple[float, float, float]:
-        words = fold(text or "")
+    def measures(self, words: str) -> tuple[float, float, float]:
+        """Of a text's folded words."""
         total = sum(self.hits(words).values())
-        return total, math.log1p(total), 10 * total / (len(words) + 10)
+        return total, math.log1p(total), 10 * total / (max(0, words.count(" ") - 1) + 10)
 
     def score(self, text: str | None) -> float:
-        x = self.intercept + sum(f * m for f, m in zip(self.factors, self.measures(text), strict=True))
+        x = self.intercept + sum(f * m for f, m in zip(self.factors, self.measures(folded(text or "")), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
+def _frame(seen: dict[bool, Counter]) -> pd.DataFrame:
+    terms = list(seen[True].keys() | seen[False].keys())
+    return pd.DataFrame({
+        "term": pd.Series(terms, dtype=object),
+        "toxic": pd.Series([seen[True][t] for t in terms], dtype="int64"),
+        "clean": pd.Series([seen[False][t] for t in terms], dtype="int64"),
+    })
+
+
+def _summed(rows: DataFrame, count) -> DataFrame:
+    return rows.mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
+    )
+
+
 def _counted(rows: DataFrame, terms_of) -> DataFrame:
     """(term, toxic, clean): texts that hold each term, summed inside tasks before the shuffle."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen = {True: Counter(), False: Counter()}
-            for text, toxic in zip(batch.text, batch.toxic, strict=True):
-                seen[bool(toxic)].update(terms_of(text))
-            terms = list(seen[True].keys() | seen[False].keys())
-            yield pd.DataFrame({
-                "term": pd.Series(terms, dtype=object),
-                "toxic": pd.Series([seen[True][t] for t in terms], dtype="int64"),
-                "clean": pd.Series([seen[False][t] for t in terms], dtype="int64"),
-            })
+            for words, toxic in zip(batch.words, batch.toxic, strict=True):
+                seen[bool(toxic)].update(terms_of(words))
+            yield _frame(seen)
 
-    return rows.mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
-    )
+    return _summed(rows, count)
+
+
+def _counted_up_to(rows: DataFrame, most: dict[str, int]) -> DataFrame:
+    """(term, toxic, clean) of the terms in most.
+
+    A task may stop counting a term once more than ``most`` of its clean texts hold it: the sum is above ``most`` then as
+    well, and a lower count of toxic texts makes the term no more toxic.
+    """
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left, seen = dict(most), {True: Counter(), False: Counter()}
+        automaton = _automaton((t, t) for t in left)
+        for batch in batches:
+            for words, toxic in zip(batch.words, batch.toxic, strict=True):
+                if words and left:
+                    seen[bool(toxic)].update({t for _, t in automaton.iter(words)})
+            left = {t: limit for t, limit in left.items() if seen[False][t] <= limit}
+            if len(left) < 0.9 * len(automaton):
+                automaton = _automaton((t, t) for t in left)
+        yield _frame(seen)
+
+    return _summed(rows, count)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> tuple[float, np.ndarray]:
@@ -199,9 +273,10 @@ def learn(
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30)))
     texts = pick(documents, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     # copies of a document under one id are one; different texts under it stay
+    # and words are folded once for all passes
     rows = stored(
         texts.join(F.broadcast(chosen), "doc_id").withColumn("digest", F.xxhash64("text"))
-        .dropDuplicates(["doc_id", "digest"]).select("text", "toxic")
+        .dropDuplicates(["doc_id", "digest"]).select(_folded_words("text").alias("words"), "toxic")
     )
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = n.get(True, 0), n.get(False, 0)
@@ -211,15 +286,13 @@ def learn(
 
     least, prior = max(support, math.ceil(share * toxic)), toxic / (toxic + clean)
 
-    def all_terms(text: str) -> set[str]:
-        return {f for w in set(fold(text)) for f in features(w)}
-
-    first = _counted(rows.where("toxic"), all_terms).where(F.col("toxic") >= support).select("term").collect()
-    wanted = frozenset(r["term"] for r in first)
+    first = _counted(rows.where("toxic"), all_terms).where(F.col("toxic") >= support).select("term", "toxic").collect()
+    # one more than the clean texts a term may have at these odds, so that rounding decides nothing
+    most = {r["term"]: math.ceil((r["toxic"] + 0.5) / (toxic + 1) * (clean + 1) / odds) for r in first}
     ratio = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1))
-    both = _counted(rows, lambda text: all_terms(text) & wanted).where(ratio >= odds).collect()
+    both = _counted_up_to(rows, most).where(ratio >= odds).collect()
     both = [
-        r for r in both if r["toxic"] >= least or _by_chance(r["toxic"], r["clean"], prior) * len(wanted) <= error
+        r for r in both if r["toxic"] >= least or _by_chance(r["toxic"], r["clean"], prior) * len(most) <= error
     ]
     weight = {
         r["term"]: math.log((r["toxic"] + 0.5) / (toxic + 1) / ((r["clean"] + 0.5) / (clean + 1))) for r in both
@@ -227,13 +300,14 @@ def learn(
     terms = _chosen(weight, {r["term"]: r["toxic"] for r in both})
     lexicon = Model(terms)
 
-    def phrases(text: str) -> set[str]:
-        words, out, at = fold(text), set(), 0
-        hits = lexicon.hits(words)
-        for i, w in enumerate(words):
-            if at in hits:
-                out.update(" ".join(words[a:b]) for a, b in ((i - 1, i + 1), (i, i + 2)) if a >= 0 and b <= len(words))
-            at += len(w) + 1
+    def phrases(words: str) -> set[str]:
+        out = set()
+        for at in lexicon.hits(words):
+            end = words.index(" ", at + 1)
+            if (before := words.rfind(" ", 0, at)) >= 0:
+                out.add(words[before + 1:end])
+            if (after := words.find(" ", end + 1)) >= 0:
+                out.add(words[at + 1:after])
         return out
 
     spared = _counted(rows, phrases).where(
@@ -243,17 +317,27 @@ def learn(
     model = Model(terms, frozenset({r["term"] for r in spared} | own))
 
     @F.pandas_udf("a double, b double, c double")
-    def measure(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.measures(t) for t in text], columns=["a", "b", "c"])
+    def measure(words: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([model.measures(w) for w in words], columns=["a", "b", "c"])
 
     # the driver sees how many texts have the same measures, to four digits, not the texts
-    seen = rows.select(measure("text").alias("m"), F.col("toxic").cast("double").alias("y")).groupBy(
+    seen = rows.select(measure("words").alias("m"), F.col("toxic").cast("double").alias("y")).groupBy(
         *[F.round(f"m.{c}", 4).alias(c) for c in "abc"], "y"
     ).count().orderBy("a", "b", "c", "y").toPandas()
     intercept, factors = _logistic(*(seen[c].to_numpy(float) for c in (["a", "b", "c"], "y", "count")))
     return Model(terms, model.exceptions, intercept, tuple(map(float, factors)))
 
 
+def _folded_words(text: str) -> Column:
+    @F.pandas_udf("string")
+    def fold_texts(texts: pd.Series) -> pd.Series:
+        words = pd.Series([folded(t) for t in texts], dtype=object)
+        give_back()
+        return words
+
+    return fold_texts(text)
+
+
 def _by_chance(toxic: int, clean: int, prior: float) -> float:
     """Chernoff's bound of the probability that so many of a term's texts are toxic, each with the prior."""
     n = toxic + clean

@@ -4,6 +4,8 @@ import html
 import itertools
 import random
 import re
+import time
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -640,6 +642,65 @@ def test_folding_and_exceptions():
     assert model.score(LONG + " idiot") > 0.9
 
 
+def fold_by_word(text):
+    """Folding word by word, by the rules alone."""
+    low = unicodedata.normalize("NFKC", text).lower().translate(toxicity.FOLD)
+    low = toxicity.SPELT.sub(lambda m: re.sub(r"[.\-_*·]+", "", m[1]), low)
+    return [toxicity.fold_word(w) for w in re.findall(r"[^\W_]+(?:[@$!|]+(?=[^\W_])[^\W_]+)*", low)]
+
+
+def test_folding_whole_texts_equals_folding_words():
+    codes = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}b {c}{c}{c}{c} 1{c}l {c}.{c}-x" for c in codes[i:i + 2000]) for i in range(0, len(codes), 2000)]
+    rng = np.random.default_rng(8)
+    letters = list("abl1i0$@!|._-*· \nlLéßжοсǅ%½²_³i")
+    texts += ["".join(rng.choice(letters, n)) for n in rng.integers(0, 40, 20_000)]
+    texts += ["", " ", "lll", "llli", "l1li", "a!!!b", "$$$", "@a@", "a$$$ b", "i.d.i.o.t", "\ud800a"]
+    for text in texts:
+        assert toxicity.fold(text) == fold_by_word(text)
+
+
+def test_folding_costs_less_than_word_by_word():
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdefghijklmnopéèü"), n)) for n in rng.integers(2, 9, 200_000)]
+    texts = [" ".join(words[i:i + 500]) + "." for i in range(0, len(words), 500)]
+
+    def seconds(fold):
+        toxicity.fold_word.cache_clear()
+        began = time.process_time()
+        for text in texts:
+            fold(text)
+        return time.process_time() - began
+
+    toxicity.fold("")
+    assert min(seconds(toxicity.fold) for _ in range(3)) < 0.6 * min(seconds(fold_by_word) for _ in range(3))
+
+
+def test_learning_folds_a_text_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(toxicity, "stored", lambda df, keep=toxicity.stored: kept.append(keep(df)) or kept[-1])
+    texts = [(i, f"You 1d1ot number{i}, goes!", 1) for i in range(20)] + [(100 + i, f"Lovely FRIEND{i}", 0) for i in range(30)]
+    table = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    assert " idiot " in toxicity.learn(table, table).terms
+    (table,) = kept
+    assert sorted(r["words"] for r in table.collect()) == sorted(" " + " ".join(fold_by_word(t)) + " " for _, t, _ in texts)
+
+
+def test_counts_end_early_only_above_the_limit(spark):
+    texts = [(f" a b{i % 7} ccc{i % 3} ", i % 5 == 0) for i in range(2_000)]
+    table = spark.createDataFrame(texts, "words string, toxic boolean").repartition(3)
+    want = {}
+    for words, toxic in texts:
+        for term in toxicity.all_terms(words):
+            want.setdefault(term, [0, 0])[not toxic] += 1
+    for part in (0.0, 0.2, 0.7, 1.0):
+        most = {t: int(part * clean) for t, (_, clean) in want.items()} | {" never": 3}
+        got = {r["term"]: [r["toxic"], r["clean"]] for r in toxicity._counted_up_to(table, most).collect()}
+        assert set(got) == set(want)
+        for term, (toxic, clean) in got.items():
+            assert [toxic, clean] == want[term] or clean > most[term] and toxic <= want[term][0], term
+
+
 def test_held_out_accuracy(spark):
     data = "/root/testdata/sf0.1"
     scored = queries.op8_toxicity(spark, data).join(queries.table(spark, data, "labels"), "doc_id").where("held_out")
