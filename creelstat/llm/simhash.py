@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, pick, small_batches, stored
-from .components import components
+from .components import Forest, components
 
 BITS = 64
 SEED = 42
@@ -119,47 +119,6 @@ def fingerprints(documents: DataFrame, size: int = 4, lanes: int = 1, text: str
     return documents.withColumn("sketch", hashed(F.col(f"`{text}`")))
 
 
-class Forest:
-    """Union-find over the places of an array; the root of a tree is its smallest place."""
-
-    def __init__(self, size: int):
-        self.parent = np.arange(size)
-
-    def roots(self, at: np.ndarray) -> np.ndarray:
-        parent = self.parent
-        out = parent[at]
-        while True:
-            up = parent[out]
-            if (up == out).all():
-                parent[at] = out
-                return out
-            out = up
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Unites a[i] with b[i], for all i."""
-        while len(a):
-            a, b = self.roots(a), self.roots(b)
-            apart = a != b
-            a, b = a[apart], b[apart]
-            if not len(a):
-                return
-            high, low = np.maximum(a, b), np.minimum(a, b)
-            np.minimum.at(self.parent, high, low)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Unites a[i] with b[i], for all i; the places i of those pairs that joined two trees."""
-        left, out = np.arange(len(a)), []
-        while True:
-            x, y = self.roots(a[left]), self.roots(b[left])
-            apart = x != y
-            left, x, y = left[apart], x[apart], y[apart]
-            if not len(left):
-                return np.concatenate([*out, left])
-            high, at = np.unique(np.maximum(x, y), return_index=True)
-            self.parent[high] = np.minimum(x, y)[at]
-            out.append(left[at])
-
-
 def walk(own: np.ndarray, other: np.ndarray | None, depth: int, spent: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between sorted distinct fingerprints (uint64) that share their first ``depth`` bits on each side.
 

@@ -223,6 +223,50 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 150)}
 
 
+def test_components_of_shuffled_chains(spark):
+    rng = random.Random(11)
+    names = rng.sample(range(-10**12, 10**12), 3_000)
+    chains = [names[i:i + 300] for i in range(0, 3_000, 300)]
+    links = [x for c in chains for x in zip(c, c[1:], strict=False)] + [(names[0], n) for n in names[1:300:7]] * 2
+    links += [(chains[1][5], chains[2][9]), (names[-1], names[-1])]
+    rng.shuffle(links)
+    want = {n: min(c) for c in [chains[0], chains[1] + chains[2], *chains[3:]] for n in c}
+    frame = spark.createDataFrame(links, "a long, b long").repartition(5)
+    got = rows(components.components(frame), "node", "root")
+    assert len(got) == len(want) and dict(got) == want
+    some = rows(components._united(frame.coalesce(1).toDF("u", "v"), some=64), "u", "v")
+    parent = {n: n for n in names}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in some:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert {n: root(n) for n in names} == want
+
+
+def test_components_of_few_links_take_few_tasks(spark):
+    context, held = spark.sparkContext, {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    links = [(i, i + 1) for i in range(500)] + [(1_000, i) for i in range(1_001, 1_500)]
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few links", "")
+        got = dict(rows(components.components(spark.createDataFrame(links, "a long, b long").coalesce(4)), "node", "root"))
+        tracker = context.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("few links") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(x.numTasks for s in stages if (x := tracker.getStageInfo(s)))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(501)} | {i: 1_000 for i in range(1_000, 1_500)}
+    assert 0 < tasks < 700
+
+
 def test_similar_documents_at_four_fifths(spark):
     rng = random.Random(3)
     words = [f"w{rng.randrange(10**6)}" for _ in range(600)]
