@@ -301,3 +301,58 @@ def test_phases_lose_nothing(spark):
     kth = np.sort(whole, axis=1)[:, -5]
     reached = np.any([p >= np.ceil(kth / topk_search.LISTS)[:, None] for p in parts], axis=0)
     assert (reached | (whole < kth[:, None])).all()
+
+
+def test_what_lists_report_stays_in_the_task(spark):
+    """Vectors without structure, of which lists report many: disk follows the vectors, not the pairs."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(0, 1, 8).tolist()) for i in range(12_000)]
+    frame = spark.createDataFrame([(*r, 7, "x") for r in rows], "vec_id long, embedding array<double>, class int, id string")
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def kept():
+        found = files.getAllFiles().iterator()
+        held = {}
+        while found.hasNext():
+            file = found.next()
+            held[file.getName()] = file.length()
+        return held
+
+    before = kept()
+    got = topk_search.search(frame, frame.where("vec_id % 4 = 0"), k=5).collect()
+    written = sum(size for name, size in kept().items() if name not in before)
+    assert written < 6_000_000  # two million, of 768,000 bytes of vectors; entries of lists as rows are forty
+    whole = np.floor(np.array([v for _, v in rows]) * 256).astype(np.int64)
+    score = whole[::4] @ whole.T
+    score[np.arange(3000), np.arange(0, 12_000, 4)] = -(1 << 40)
+    want = np.argsort(-score, axis=1, kind="stable")[:, :5]  # ties: the smaller id
+    assert sorted(got) == [
+        (4 * q, rank + 1, int(i), int(score[q, i])) for q, ids in enumerate(want) for rank, i in enumerate(ids)
+    ]
+
+
+@pytest.mark.parametrize("grid", [(1, 1), (3, 1), (1, 4), (5, 3)])
+def test_any_grid_gives_the_same(spark, monkeypatch, grid):
+    """Small integers, so that scores tie across stripes, with copies, NULL ids and a query of zeros."""
+    monkeypatch.setattr(topk_search, "_grid", lambda *_: grid)
+    monkeypatch.setattr(topk_search, "SHARD", 64)
+    monkeypatch.setattr(topk_search, "FIRST", 16)
+    rng = np.random.default_rng(4)
+    rows = [(i % 400, rng.integers(-1, 2, rng.integers(2, 5)).astype(float).tolist()) for i in range(500)]
+    rows += [(None, [1.0, 1.0]), (None, [1.0]), (100, [0.0, 0.0]), (2**63 - 1, [1.0, 1.0, 1.0]), (450, [200.0, -3000.0])]
+    got = search_rows(spark, rows, "vec_id % 50 = 0", k=7)
+    assert in_order(got.collect()) == in_order(plain_search(rows, lambda i: i is not None and i % 50 == 0, 7))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.one_of(
+    st.integers(-130, 130), st.integers(-(2**15) - 1, 2**15), st.integers(-(2**31) - 1, 2**31), st.integers(-(2**63), 2**63 - 1)
+), max_size=4), max_size=8))
+def test_vectors_as_bytes(lists):
+    offsets = np.cumsum([0, *map(len, lists)])
+    coded = topk_search._encoded(offsets, np.array([x for v in lists for x in v], np.int64))
+    back = topk_search._matrix(coded)
+    assert [list(map(int, row[:len(v)])) for row, v in zip(back, lists, strict=True)] == lists
+    assert not any(row[len(v):].any() for row, v in zip(back, lists, strict=True))
+    for a, b in itertools.combinations(range(len(lists)), 2):
+        assert (coded[a] == coded[b]) == (lists[a] == lists[b])
